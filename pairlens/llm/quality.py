@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of the learned vectors of its words, the character n-grams (3 to 5) of its words, and its word pairs, all
-hashed to ``BUCKETS``; a softmax over two labels follows.  It is trained by numpy stochastic gradient descent, a document a step, on
+hashed to ``BUCKETS`` (pairs of a word with itself to one of them); a softmax over two labels follows.  It is trained by numpy stochastic gradient descent, a document a step, on
 at most about ``max_train`` labelled documents, chosen by a hash of the id; that bound is a parameter.  The features of the sample are
 made in tasks; the driver holds only them.  For scoring, vectors and output layer are multiplied once to one number a bucket.
 
@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from .common import durable, fraction, small_batches
 from .units import code_points, factorized
 
-BUCKETS, DIMS, EPOCHS, RATE, MAX_TRAIN, SEED = 1 << 17, 8, 15, 4.0, 3000, 4
+BUCKETS, DIMS, EPOCHS, RATE, MAX_TRAIN, SEED = 1 << 17, 8, 8, 4.0, 2400, 4
+#: The bucket of all pairs of a word with itself: new words repeat as known ones do.
+TWICE = 0
 NGRAMS = (3, 4, 5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +64,8 @@ def _features(texts) -> tuple:
     buckets, places, hashes = word_features(words)
     same = docs[1:] == docs[:-1]
     with np.errstate(over="ignore"):
-        pairs = _bucket(hashes[codes[:-1][same]] * np.uint64(3) + hashes[codes[1:][same]] * _MIX)
+        a, b = codes[:-1][same], codes[1:][same]
+        pairs = np.where(a == b, TWICE, _bucket(hashes[a] * np.uint64(3) + hashes[b] * _MIX))
     return codes, docs, buckets, places, pairs, docs[1:][same]
 
 
