@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: What counts as a word where a contract says so: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_own: dict[str, str] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,10 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of its own where that is unset (tests)."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        at = tempfile.mkdtemp(prefix="pairlens-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="pairlens-"))
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -78,9 +78,9 @@ QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_f
 #: op1 and op3 are all SQL; the others train, hash by XXH64, or cut by a vocabulary, and are tested against brute force.
 ORACLES = {
     "op1_topk_search": """
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
-                   where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-             s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) as score
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
                    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
              r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
