@@ -131,13 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             own = bags(pdf["text"])
-            yield pd.DataFrame({"y": pdf["y"], "buckets": [b for b, _ in own], "counts": [c for _, c in own]})
+            yield pd.DataFrame({"y": pdf["y"], "buckets": [b.tobytes() for b, _ in own], "counts": [c.tobytes() for _, c in own]})
 
-    got = sample.mapInPandas(task, "y int, buckets array<int>, counts array<float>").toPandas()
+    # as bytes: lists of numbers would take the driver many times the memory
+    got = sample.mapInPandas(task, "y int, buckets binary, counts binary").toPandas().sort_values(["buckets", "y"], kind="stable")  # whatever order the rows came in
     if not len(got):
         return Model(np.zeros(BUCKETS), 0.0)
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (len(got["buckets"].iloc[i]), *got["buckets"].iloc[i][:8], got["y"].iloc[i]))]  # whatever order the rows came in
-    return fit([(np.asarray(b), np.asarray(c)) for b, c in zip(got["buckets"], got["counts"], strict=True)], got["y"].to_numpy(), seed=seed)
+    return fit([(np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.float32)) for b, c in zip(got["buckets"], got["counts"], strict=True)], got["y"].to_numpy(), seed=seed)
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
