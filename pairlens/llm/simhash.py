@@ -79,7 +79,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
     of_doc = durable(fingerprints(docs, key, text, k))
-    groups = components(links(of_doc.select("fp").distinct(), radius))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = of_doc.select("fp").repartition(parts, "fp").distinct()  # a set number: each row becomes 65, so few partitions won't do
+    groups = components(links(distinct, radius))
     root = F.coalesce("component", "fp")
     joined = of_doc.join(groups, of_doc["fp"] == groups["node"], "left").select(key, "fp", root.alias("root"))
     names = joined.groupBy("root").agg(F.min(key).alias("component_id"))
