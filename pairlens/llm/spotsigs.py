@@ -43,20 +43,16 @@ def one_of(words: list[str]) -> str:
     return written(tree)
 
 
-def _pieces(prepared: Column, plain: Column) -> tuple[Column, Column]:
-    """(chains, words) from the segments between anchors and the plain line."""
-    at = lambda i: F.trim(F.coalesce(F.get(prepared, i), F.lit("")))
-    chains = F.transform(F.sequence(F.lit(1), F.size(prepared) - 1), lambda i: F.trim(F.substring_index(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)), " ", CHAIN)))
-    chains = F.when(F.size(prepared) > 1, F.array_remove(chains, "")).otherwise(F.array().cast("array<string>"))
-    return chains, F.array_remove(F.split(plain, " "), "")
-
-
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: the sorted array of the text's signatures."""
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    df = df.withColumn("_line", line).withColumn("_parts", F.split("_line", f" (?:{one_of(COMMON)} )+"))
-    chains, words = _pieces(F.col("_parts"), F.col("_line"))
+    # cut at each common word by itself: a pattern for runs of them would nest as deep as the longest run
+    df = df.withColumn("_line", line).withColumn("_parts", F.split("_line", f" {one_of(COMMON)}(?= )"))
+    df = df.withColumn("_parts", F.array_remove(F.transform(F.slice("_parts", F.lit(2), F.size("_parts")), lambda s: F.trim(s)), ""))
+    at = lambda i: F.coalesce(F.get(F.col("_parts"), i), F.lit(""))
+    chains = F.transform("_parts", lambda s, i: F.trim(F.substring_index(F.concat_ws(" ", s, at(i + 1), at(i + 2)), " ", CHAIN)))
     df = df.withColumn("_chains", chains)
+    words = F.array_remove(F.split(F.col("_line"), " "), "")
     own = F.when(F.size("_chains") < FEW, F.concat("_chains", F.transform(words, lambda w: F.concat(F.lit("="), w)))).otherwise(F.col("_chains"))
     return df.withColumn(out, F.array_sort(F.array_distinct(F.transform(own, lambda s: F.xxhash64(s))))).drop("_line", "_parts", "_chains")
 

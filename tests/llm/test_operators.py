@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
     (1, None, "en", "a", 0), (2, "", None, "a", 0), (3, "  \n\t ", "en", None, 3), (4, "the cat sat on the mat and ran", "en", "b", 30), (4, "the cat sat on the mat and ran", "en", "b", 30),
     (5, "the cat sat on the mat and ran", "en", "c", 30), (6, "!!! 123 ***", "en", "b", 9), (7, "long " * 20_000, "en", "c", 100_000), (8, "x" * 50_000, "de", "c", 50_000), (None, "no id here at all", "en", "a", 3),
-    (9, "naïve Łódź ▁ 東京 \U0001f600 ½", "en", "a", 5),
+    (10, "the de " * 30_000, "en", "c", 210_000), (9, "naïve Łódź ▁ 東京 \U0001f600 ½", "en", "a", 5),
 ]
 
 
@@ -231,7 +231,7 @@ def test_simhash_odd_rows(spark, odd, none):
     assert {r["component_id"] for r in out if r["doc_id"] in (1, 2, 3)} == {1} and {r["component_id"] for r in out if r["doc_id"] in (4, 5)} == {4}
     assert next(r for r in out if r["doc_id"] == 1)["fingerprint"] == "0" * 16
     assert simhash.near_duplicates(none).count() == 0
-    assert sorted(r["doc_id"] or -1 for r in rows(simhash.representatives(odd))) == [-1, 1, 4, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] or -1 for r in rows(simhash.representatives(odd))) == [-1, 1, 4, 6, 7, 8, 9, 10]
     with pytest.raises(ValueError):
         simhash.links(spark.range(1).withColumnRenamed("id", "fp"), 3)
 
