@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-CHAIN, FEW, BLOCK, THRESHOLD = 3, 4, 512, 0.8
+#: Above MAX_SENT blocks, their first keys are joined by a shuffle instead of being sent to all executors.
+CHAIN, FEW, BLOCK, THRESHOLD, MAX_SENT = 3, 4, 512, 0.8, 500_000
 #: Common words of English, French, German and Spanish.
 COMMON = (
     "the of and to in a is that it for was on as with be by this are at an from or "
@@ -74,10 +75,11 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Rows are dealt by blocks of keys, and each block also gets the first rows of the next block that has any: no global sort."""
     block = F.coalesce(F.floor(F.col(key) / BLOCK), F.lit(-(1 << 62)))
     rows = df.withColumn("_block", block)
-    edges = rows.select("_block", key).groupBy("_block").agg(F.min(key).alias("_first"))  # one row for BLOCK keys
+    edges = durable(rows.select("_block", key).groupBy("_block").agg(F.min(key).alias("_first")))  # one row for BLOCK keys
     order = Window.orderBy("_block")
     ends = edges.select(F.col("_block").alias("_of"), F.lag("_block").over(order).alias("_before"), "_first", F.max("_block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
     ends = ends.select("_of", "_first", F.coalesce("_before", "_last").alias("_target"))
+    ends = F.broadcast(ends) if edges.count() <= MAX_SENT else ends  # else a join that shuffles the rows once more
     heads = rows.join(ends, (rows["_block"] == ends["_of"]) & rows[key].eqNullSafe(ends["_first"])).drop("_block", "_of", "_first").withColumnRenamed("_target", "_block")
     both = rows.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1)))
     after = Window.partitionBy("_block").orderBy("_head", F.col(key).asc_nulls_first(), *[F.xxhash64(c) for c in columns])
