@@ -11,13 +11,15 @@ likeness 1; equal texts have equal fingerprints; repeated rows stay rows; an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
 #: Above MAX_SENT blocks, their first keys are joined by a shuffle instead of being sent to all executors.
-CHAIN, FEW, BLOCK, THRESHOLD, MAX_SENT = 3, 4, 512, 0.8, 500_000
+CHAIN, FEW, BLOCK, SPAN, THRESHOLD, MAX_SENT = 3, 4, 512, 4096, 0.8, 500_000
 #: Common words of English, French, German and Spanish.
 COMMON = (
     "the of and to in a is that it for was on as with be by this are at an from or "
@@ -69,20 +71,24 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Adds ``next_<column>`` of the row with the next key (after the last: the first), null keys first.
-
-    Rows are dealt by blocks of keys, and each block also gets the first rows of the next block that has any: no global sort."""
-    block = F.coalesce(F.floor(F.col(key) / BLOCK), F.lit(-(1 << 62)))
-    rows = df.withColumn("_block", block)
-    edges = durable(rows.select("_block", key).groupBy("_block").agg(F.min(key).alias("_first")))  # one row for BLOCK keys
-    order = Window.orderBy("_block")
-    ends = edges.select(F.col("_block").alias("_of"), F.lag("_block").over(order).alias("_before"), "_first", F.max("_block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
-    ends = ends.select("_of", "_first", F.coalesce("_before", "_last").alias("_target"))
+def with_next(df: DataFrame, key: str, text: str, prepared: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``prepared(df)`` with ``next_<column>`` of the row with the next key (after the last: the first), null keys first.
+
+    Rows are dealt by blocks of keys, and each block also gets the first rows of the next block that has any: no global sort.  Those
+    first rows are picked before they are prepared, so what is costly is done once for a row."""
+    raw = df.withColumn("_block", F.coalesce(F.floor(F.col(key) / BLOCK), F.lit(-(1 << 62))))
+    edges = durable(raw.groupBy("_block").agg(F.min(key).alias("_first")))  # one row for BLOCK keys
+    edges = edges.withColumn("_span", F.floor(F.col("_block") / SPAN))
+    # the one window without a partition sees a row for BLOCK * SPAN keys: 50,000 rows for 100 billion
+    order = Window.orderBy("_span")
+    last = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    spans = edges.groupBy("_span").agg(F.max("_block").alias("_last")).select("_span", F.coalesce(F.lag("_last").over(order), last).alias("_prior"))
+    before = F.lag("_block").over(Window.partitionBy("_span").orderBy("_block"))
+    ends = edges.join(spans, "_span").select(F.col("_block").alias("_of"), "_first", F.coalesce(before, "_prior").alias("_target"))
     ends = F.broadcast(ends) if edges.count() <= MAX_SENT else ends  # else a join that shuffles the rows once more
-    heads = rows.join(ends, (rows["_block"] == ends["_of"]) & rows[key].eqNullSafe(ends["_first"])).drop("_block", "_of", "_first").withColumnRenamed("_target", "_block")
-    both = rows.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1)))
-    after = Window.partitionBy("_block").orderBy("_head", F.col(key).asc_nulls_first(), *[F.xxhash64(c) for c in columns])
+    heads = raw.join(ends, (raw["_block"] == ends["_of"]) & raw[key].eqNullSafe(ends["_first"])).drop("_block", "_of", "_first").withColumnRenamed("_target", "_block")
+    both = prepared(raw.withColumn("_head", F.lit(0))).unionByName(prepared(heads.withColumn("_head", F.lit(1))))
+    after = Window.partitionBy("_block").orderBy("_head", F.col(key).asc_nulls_first(), F.xxhash64(text))
     out = both
     for c in columns:
         out = out.withColumn(f"next_{c}", F.lead(c).over(after))
@@ -92,7 +98,7 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def near_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's fingerprint, that of its edited text (its last quarter replaced by the start of the next row's), and likenesses."""
     slim = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    slim = with_next(with_signatures(slim, "text", "sigs"), key, ["text", "sigs"])
+    slim = with_next(slim, key, "text", lambda d: with_signatures(d, "text", "sigs"), ["text", "sigs"])
     quarter = F.floor(F.length("text") / 4).cast("int")
     slim = slim.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), quarter)))
     slim = with_signatures(slim.select(key, F.length("text").cast("long").alias("n_chars"), "edited", "sigs", "next_sigs"), "edited", "edited_sigs")

@@ -468,3 +468,12 @@ def test_language_odd_rows(spark, odd, none):
     empty = language_id.train(none)
     assert {r["lang_pred"] for r in rows(language_id.identify(odd, empty))} == {"und"} and language_id.identify(none, empty).count() == 0
     assert language_id.accepted(odd, model).columns == odd.columns
+
+
+def test_spotsigs_next_row_over_far_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BLOCK", 2)
+    monkeypatch.setattr(spotsigs, "SPAN", 2)
+    ids = [None, -9, 0, 1, 2, 3, 5, 40, 41, 1000, 1_000_000]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(df, "doc_id", "text", lambda d: d, ["text"]).collect()}
+    assert got == {a: f"text {b}" for a, b in zip(ids, ids[1:] + ids[:1])}
