@@ -80,7 +80,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
     of_doc = durable(fingerprints(docs, key, text, k))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = of_doc.select("fp").repartition(parts, "fp").distinct()  # a set number: each row becomes 65, so few partitions won't do
+    # copies are dropped before they are shuffled; then a set number of partitions, as each row becomes 65 and few won't do
+    distinct = of_doc.select("fp").distinct().repartition(parts, "fp")
     groups = components(links(distinct, radius))
     root = F.coalesce("component", "fp")
     joined = of_doc.join(groups, of_doc["fp"] == groups["node"], "left").select(key, "fp", root.alias("root"))
