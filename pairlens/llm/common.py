@@ -51,3 +51,13 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with the column ``name``, computed once for each row.  A plain projection may be copied by the optimizer into filters and
     into the bodies of lambdas, where a split text would be split again for each element; it copies nothing through a generator."""
     return df.withColumn(name, F.explode(F.array(value)))
+
+
+def spread_join(rows: DataFrame, few: DataFrame, on: str, count: str, hot: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``few``, which has one row for each value of ``on`` and in ``count`` how many rows have it.  Values
+    that have over 1/``hot`` of all rows, of which there are fewer than ``hot``, are joined by broadcast, so no task gets all rows of
+    one; the rest by shuffle.  Both inputs are read twice: pass written tables."""
+    total = few.agg(F.sum(count)).first()[0] or 0
+    many = F.broadcast(few.where(F.col(count) > total / hot).drop(count))
+    rest = rows.join(many.select(on), on, "left_anti").join(few.where(F.col(count) <= total / hot).drop(count), on)
+    return rows.join(many, on).unionByName(rest)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, small_batches
+from .common import durable, small_batches, spread_join
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -79,14 +79,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
     of_doc = durable(fingerprints(docs, key, text, k))
+    per_fp = durable(of_doc.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))  # copies end here
+    # a set number of partitions of a written table, as each row becomes 65 and few won't do
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # copies are dropped before they are shuffled; then a set number of partitions, as each row becomes 65 and few won't do
-    distinct = of_doc.select("fp").distinct().repartition(parts, "fp")
-    groups = components(links(distinct, radius))
-    root = F.coalesce("component", "fp")
-    joined = of_doc.join(groups, of_doc["fp"] == groups["node"], "left").select(key, "fp", root.alias("root"))
-    names = joined.groupBy("root").agg(F.min(key).alias("component_id"))
-    return joined.join(names, "root").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = components(links(per_fp.select("fp").repartition(parts, "fp"), radius))
+    rooted = durable(per_fp.join(groups, per_fp["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root")))
+    names = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    named = durable(spread_join(rooted, names, "root", "fps").select("fp", "component_id", "n"))
+    return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
