@@ -31,8 +31,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 24 << 20) -> None:
-    """Bounds what a Python task holds at once: so many rows, and so many bytes."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Bounds what a Python task holds at once: so many rows, and so many bytes (a longer row comes alone).  The words of a batch take
+    some ten times its bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
