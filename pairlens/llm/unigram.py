@@ -286,11 +286,11 @@ class Tokenizer:
 def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """key, ids, n_tokens of each row; with ``decoded``, also the text that the ids decode to."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(read_pieces(model_file))
+    sent = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_pieces(model_file)))  # arrays, built once; a worker unpacks them once
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decoded)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value)
+        tokenizer = sent.value
         for batch in it:
             texts = batch.column(1).to_pylist()
             ids, counts = tokenizer.encode_batch(texts)
@@ -306,11 +306,11 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
 
 def decode(rows: DataFrame, model_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and text of rows of ids; null ids give a null text, and ids outside the vocabulary raise an error."""
-    sent = rows.sparkSession.sparkContext.broadcast(read_pieces(model_file))
+    sent = rows.sparkSession.sparkContext.broadcast(Tokenizer(read_pieces(model_file)))
     schema = T.StructType([rows.schema[key], T.StructField("text", T.StringType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(sent.value)
+        tokenizer = sent.value
         for batch in it:
             lists = batch.column(1).to_pylist()
             counts = np.array([len(x or ()) for x in lists], dtype=np.int64)
