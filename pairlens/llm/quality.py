@@ -100,13 +100,13 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS))
     out, bias = np.zeros((DIMS, 2)), np.zeros(2)
-    shares = [c / max(1.0, c.sum()) for _, c in samples]
     steps, at = epochs * max(1, len(samples)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):
             now = rate * (1 - at / steps)
             at += 1
-            rows, share = samples[i][0], shares[i]
+            rows, counts = samples[i]
+            share = counts / max(1.0, counts.sum())
             mean = share @ vectors[rows]
             logits = mean @ out + bias
             p = np.exp(logits - logits.max())

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,42 +90,33 @@ class DoubleArray:
 
     @staticmethod
     def build(pieces: dict[bytes, int]) -> DoubleArray:
-        kids: list[dict[int, int]] = [{}]
-        ends = [-1]
-        for piece, number in sorted(pieces.items()):
-            node = 0
-            for b in piece:
-                if b not in kids[node]:
-                    kids[node][b] = len(kids)
-                    kids.append({})
-                    ends.append(-1)
-                node = kids[node][b]
-            ends[node] = number
-        base, check, value = [0] * (4 * len(kids) + 1024), [-1] * (4 * len(kids) + 1024), [-1] * (4 * len(kids) + 1024)
+        items = sorted(pieces.items())
+        base, check, value = (array("i", [fill]) * 1024 for fill in (0, -1, -1))
         check[0] = 0
-        free, top, pending = 1, 1, [(0, 0)]
+        free, top, pending = 1, 1, [(0, len(items), 0, 0)]
         while pending:
-            node, state = pending.pop()
-            value[state] = ends[node]
-            if not kids[node]:
+            lo, hi, depth, state = pending.pop()  # the first ``depth`` bytes of pieces lo to hi - 1 lead to this state
+            if lo < hi and len(items[lo][0]) == depth:
+                value[state] = items[lo][1]
+                lo += 1
+            if lo == hi:
                 continue
-            labels = [b + 1 for b in kids[node]]
+            while len(check) < top + 600:
+                for x, fill in ((base, 0), (check, -1), (value, -1)):
+                    x.extend(array("i", [fill]) * len(x))
+            starts = [i for i in range(lo, hi) if i == lo or items[i][0][depth] != items[i - 1][0][depth]]
+            labels = [items[i][0][depth] + 1 for i in starts]
             while check[free] >= 0:
                 free += 1
             first = max(1, free - labels[0])
             # near the first gap, else behind everything
             at = next((p for p in range(first, first + 40) if all(check[p + x] < 0 for x in labels)), top)
-            if at + 514 > len(check):
-                for x, fill in ((base, 0), (check, -1), (value, -1)):
-                    x.extend([fill] * len(x))
             base[state] = at
             for x in labels:
                 check[at + x] = state
-            top = max(top, at + max(labels) + 1)
-            pending += [(kid, at + b + 1) for b, kid in kids[node].items()]
-        n = top + 258
-        base, check, value = (np.array((x + [fill] * n)[:n], dtype=np.int32) for x, fill in ((base, 0), (check, -1), (value, -1)))
-        return DoubleArray(base, check, value)
+            top = max(top, at + labels[-1] + 1)
+            pending += [(i, j, depth + 1, at + x) for i, j, x in zip(starts, [*starts[1:], hi], labels, strict=True)]
+        return DoubleArray(*(np.array(x[: top + 258], dtype=np.int32) for x in (base, check, value)))
 
 
 class Tokenizer:
