@@ -477,3 +477,15 @@ def test_spotsigs_next_row_over_far_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
     got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(df, "doc_id", "text", lambda d: d, ["text"]).collect()}
     assert got == {a: f"text {b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+def test_spread_join_equals_a_join(spark):
+    from pairlens.llm.common import spread_join
+
+    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, -1, id % 7) as k")
+    few = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    want = {(r["id"], r["top"]) for r in left.join(few, "k").collect()}
+    for hot in (2, 4, 1000):
+        got = spread_join(left, few, "k", "n", hot).collect()
+        assert len(got) == 3000 and {(r["id"], r["top"]) for r in got} == want
+    assert spread_join(left.limit(0), few.limit(0), "k", "n").count() == 0
