@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import WORDS
-from .operators.support import POOL, SEED, TRIANGLES
+from .operators.support import POOL, SEED, TRIANGLES, WHOLE_TRIANGLES
 from .operators.token_paths import PATHS
 
 ATTRS = ["name", "brand", "type", "size"]
@@ -197,3 +197,24 @@ ORACLES: dict[str, str] = {
     "judge_picks": "select pick, count(*) as n from (select case when event_id % 3 = 0 then 'system1' when event_id % 3 = 1 then 'system2' else 'tie' end as pick from events) group by 1",
     "pandas_matcher": sql("select pair_id, cast(decision as double) as match_score, 'ok' as status from dec", "dec"),
 }
+
+#: The same SQL without the pool, with as many triangles as the reference's scripts take; the entries above stay as they are.
+_n = WHOLE_TRIANGLES
+_CAND = f"""select * from (select *, row_number() over (partition by pair_id, side order by case when decision = 0 then -score else score end, c_id) as place
+        from ({_side('L', 'rtable_', 'rtable_', 'lall')} union all {_side('R', 'ltable_', 'ltable_', 'rall')})) where place <= {2 * _n}"""
+CTE |= {
+    "lall": (f"select *, {words(text(''))} as w from lsrc", ["lsrc"]),
+    "rall": (f"select *, {words(text(''))} as w from rsrc", ["rsrc"]),
+    "cand_w": (_CAND, ["dec", "lall", "rall"]),
+    "bal_w": (CTE["bal"][0].replace("from cand ", "from cand_w ").replace(f"ord <= {TRIANGLES // 2} or ord > t - {TRIANGLES // 2} or t <= {TRIANGLES}", f"ord <= {_n // 2} or ord > t - {_n // 2} or t <= {_n}"), ["cand_w"]),
+    "pert_w": (CTE["pert"][0].replace("from bal ", "from bal_w "), ["bal_w"]),
+    "flip_w": (CTE["flip_"][0].replace("from pert", "from pert_w"), ["pert_w"]),
+    "ranks_w": (CTE["ranks"][0].replace("from flip_ ", "from flip_w "), ["flip_w"]),
+    "sal_w": (CTE["sal"][0].replace("from ranks ", "from ranks_w "), ["ranks_w"]),
+}
+ORACLES |= {
+    "threshold_candidates_whole": sql(f"select m.ltable_id, c.id as rtable_id, round({cosine('m.ltable_w', 'c.w')}, 6) as score from dec m cross join rall c where m.label = 1 and {cosine('m.ltable_w', 'c.w')} >= 0.6", "dec", "rall"),
+    "candidate_topk_whole": sql("select pair_id, side, c_id, place, round(score, 6) as score, c_decision from cand_w", "cand_w"),
+    "support_set_whole": sql("select pair_id, side, c_id, ord, decision from bal_w", "bal_w"),
+    "attr_saliency_whole": sql("select pair_id, feature, round(saliency, 6) as saliency from sal_w", "sal_w"),
+}

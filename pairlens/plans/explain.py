@@ -60,7 +60,8 @@ class Explanation:
         return token_paths.token_saliency(self.token_steps)
 
 
-def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = support.TRIANGLES, pool: int = support.POOL, vary: list[str] | None = None) -> Explanation:
-    """Explains every pair of ``pairs``(ltable_id, rtable_id, label); sources stay as they are."""
+def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = support.WHOLE_TRIANGLES, pool: int | None = None, vary: list[str] | None = None) -> Explanation:
+    """Explains every pair of ``pairs``(ltable_id, rtable_id, label); sources stay as they are.  Supports come from the whole sources,
+    or from a pool of each."""
     rows = merge(pairs, left, right)
     return Explanation(rows, support.balanced(support.candidates(rows, left, right, n, pool), n), attributes(rows), vary)

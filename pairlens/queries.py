@@ -59,6 +59,11 @@ def decided(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explained(spark: SparkSession, d: str) -> Explanation:
+    """With the pool and the number of triangles that the SQL of these queries has."""
+    return explain(pair_list(spark, d), *sources(spark, d), support.TRIANGLES, support.POOL)
+
+
+def explained_whole(spark: SparkSession, d: str) -> Explanation:
     return explain(pair_list(spark, d), *sources(spark, d))
 
 
@@ -164,6 +169,20 @@ def threshold_candidates(spark, d):
 
 @query
 def candidate_topk(spark, d):
+    left, right = sources(spark, d)
+    return support.candidates(rows_of(spark, d), left, right, support.TRIANGLES, support.POOL).select("pair_id", "side", "c_id", "place", r6("score").alias("score"), "c_decision")
+
+
+@query
+def threshold_candidates_whole(spark, d):
+    text = lambda p: pairs.record_text(*[p + a for a in NAMES])
+    asked = rows_of(spark, d).where("label = 1").withColumn("text", text(L))
+    found = support.scored_whole(asked.select("text", F.lit(True).alias("most")), sources(spark, d)[1].select(F.col("id").alias("c_id"), text("").alias("c_text")), least=0.6)
+    return asked.join(found, "text").select(f"{L}id", F.col("c_id").alias(f"{R}id"), r6("score").alias("score"))
+
+
+@query
+def candidate_topk_whole(spark, d):
     left, right = sources(spark, d)
     return support.candidates(rows_of(spark, d), left, right).select("pair_id", "side", "c_id", "place", r6("score").alias("score"), "c_decision")
 
@@ -199,6 +218,11 @@ def support_set(spark, d):
     return explained(spark, d).support.select("pair_id", "side", "c_id", "ord", "decision")
 
 
+@query
+def support_set_whole(spark, d):
+    return explained_whole(spark, d).support.select("pair_id", "side", "c_id", "ord", "decision")
+
+
 @query
 def subsequence_augment(spark, d):
     return support.subsequences(records(spark, d), NAMES)
@@ -234,6 +258,11 @@ def attr_saliency(spark, d):
     return explained(spark, d).saliency.withColumn("saliency", r6("saliency"))
 
 
+@query
+def attr_saliency_whole(spark, d):
+    return explained_whole(spark, d).saliency.withColumn("saliency", r6("saliency"))
+
+
 @query
 def cf_summary(spark, d):
     return explained(spark, d).summary.select("pair_id", lattice.subset_name(F.col("side"), F.col("mask"), NAMES).alias("subset"), r6("sufficiency").alias("sufficiency"))

@@ -111,3 +111,18 @@ def test_files(spark, tmp_path):
     assert {(r["file"], r["id"]) for r in io.read_results(spark, str(tmp_path / "r")).collect()} == {("one.json", 1), ("two.json", 2)}
     (tmp_path / "p.txt").write_text("system::be brief\nuser::{ltuple}\n")
     assert [(r["role"], r["content"]) for r in io.read_prompts(spark, str(tmp_path / "p.txt")).collect()] == [("system", "be brief"), ("user", "{ltuple}")]
+
+
+@pytest.mark.parametrize("block", [13, 2000])
+@pytest.mark.parametrize("name", ["threshold_candidates_whole", "candidate_topk_whole", "support_set_whole", "attr_saliency_whole"])
+def test_whole_search_matches_sql(spark, name, block, monkeypatch):
+    monkeypatch.setattr(support, "BLOCK", block)
+    test_query_matches_sql(spark, name)
+
+
+def test_explain_searches_the_whole_source(spark):
+    left = spark.createDataFrame([(i, f"filler{i} word{i} x{i}") for i in range(300)] + [(999, "red steel bolt nine")], "id long, name string")
+    right = spark.createDataFrame([(1, "red steel bolt nine")] + [(i, f"other{i} thing{i}") for i in range(2, 300)], "id long, name string")
+    rows = pairs.merge(spark.createDataFrame([(0, 1, 0)], "ltable_id long, rtable_id long, label int"), left, right)
+    best = support.candidates(rows, left, right).where("side = 'L' and place = 1").first()
+    assert (best["c_id"], best["c_decision"]) == (999, 1) and best["score"] == 1
