@@ -1,21 +1,24 @@
 """URL filters: host and path rules, and for the rest a path-template tree that learns from the pages that rules decide.
 
 Per host, the tree's branches are path segments.  A segment of digits, hex or a date is a wildcard by its form; a branch point at
-which nearly each page has a segment of its own becomes a wildcard by count.  Sibling leaves whose labelled pages are alike (two
-proportions closer than chance explains, both with labels) merge.  A template is rejected if the smoothed share of blocked pages
-among its labelled ones is over one half: (blocked + strength * prior) / (labelled + strength).
+which nearly each page has a segment of its own becomes a wildcard by count.  Sibling branches at any level whose labelled pages are
+alike (two proportions closer than chance explains, both with labels) merge.  A template is rejected if the smoothed share of blocked
+pages among its labelled ones is over one half: (blocked + strength * prior) / (labelled + strength).  A template without labelled
+pages takes the share of its nearest ancestor that has some, up to the host.
 
 All of it is joins and aggregates on (host, template): a hot host is summed before it is shuffled, and no host meets in one task.
 
-Defined cases: null urls and urls without ``://`` have an empty host and path; templates without labelled pages are allowed; urls
-repeat freely; an empty table gives no rows.
+Defined cases: null urls and urls without ``://`` have an empty host and path; templates of hosts without labelled pages are
+allowed; urls repeat freely; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: The rules of the contract, as (host suffix, path prefix, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Deepest branch that is told apart, labelled pages that the prior counts for, and when a branch point is a wildcard.
@@ -57,6 +60,14 @@ def templates(pages: DataFrame) -> DataFrame:
     return named.groupBy("host", "raw").agg(F.array_join(F.transform(ordered, lambda x: x["seg"]), "/").alias("template"))
 
 
+def nodes(leaves: DataFrame, template: str) -> DataFrame:
+    """A row for each node above a template and itself, from the host (level 0) down: level, node, its parent and its last segment."""
+    rows = leaves.withColumn("_s", F.split(template, "/")).withColumn("level", F.explode(F.sequence(F.lit(0), F.size("_s"))))
+    prefix = lambda n: F.array_join(F.slice("_s", F.lit(1), n), "/")
+    rows = rows.withColumn("node", prefix(F.col("level"))).withColumn("parent", prefix(F.greatest(F.col("level") - 1, F.lit(0))))
+    return rows.withColumn("seg", F.coalesce(F.get("_s", F.col("level") - 1), F.lit(""))).drop("_s")
+
+
 def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, strength: float = STRENGTH) -> DataFrame:
     """``df`` with host, path, rule, verdict, template and purity.  Columns of ``df`` with those names are replaced."""
     host, path = split_url(url)
@@ -64,21 +75,28 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = R
     pages = pages.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_raw", F.array_join(segments(F.col("path")), "/"))
     judged = F.col("_rule").isNotNull()
     blocked = F.coalesce((F.col("_rule.verdict") == "block"), F.lit(False))
-    tree = templates(pages.select("host", "path"))
-    counted = pages.groupBy("host", F.col("_raw").alias("raw")).agg(F.sum(judged.cast("long")).alias("labelled"), F.sum(blocked.cast("long")).alias("bad"))
-    leaves = counted.join(tree, ["host", "raw"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    # siblings: the same template but for the last named segment; alike ones share their counts
-    family = F.regexp_replace("template", r"[^/*]+((?:/\*+)*)$", "?$1")
-    by = Window.partitionBy("host", "family")
-    leaves = leaves.withColumn("family", family).withColumn("fl", F.sum("labelled").over(by)).withColumn("fb", F.sum("bad").over(by))
+    tree = durable(templates(pages.select("host", "path")))
+    counted = durable(pages.groupBy("host", F.col("_raw").alias("raw")).agg(F.sum(judged.cast("long")).alias("labelled"), F.sum(blocked.cast("long")).alias("bad")))
+    leaves = durable(counted.join(tree, ["host", "raw"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    # siblings: named children of one node; alike ones share a branch, at each level of the tree
+    counts = nodes(leaves, "template").groupBy("host", "level", "node").agg(F.max("seg").alias("seg"), F.max("parent").alias("parent"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    counts = durable(counts.where((F.col("level") > 0) & ~F.col("seg").isin("", "*")))
+    families = counts.groupBy("host", "level", "parent").agg(F.sum("labelled").alias("fl"), F.sum("bad").alias("fb"))
     others, other_bad = F.col("fl") - F.col("labelled"), F.col("fb") - F.col("bad")
     pooled = F.try_divide(F.col("fb"), F.col("fl"))
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-6)) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
     alike = (F.col("labelled") > 0) & (others > 0) & (F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(other_bad, others)) <= ALIKE_Z * error)
-    leaves = leaves.withColumn("alike", F.coalesce(alike, F.lit(False)))
+    merging = counts.join(families, ["host", "level", "parent"]).where(alike).select("host", "level", "node", F.lit(True).alias("alike"))
+    steps = nodes(leaves, "template").where("level > 0").join(merging, ["host", "level", "node"], "left").withColumn("seg", F.when(F.col("alike"), "?").otherwise(F.col("seg")))
+    ordered = F.array_sort(F.collect_list(F.struct("level", "seg")))  # the segments of one template
+    merged = durable(steps.groupBy("host", "template").agg(F.array_join(F.transform(ordered, lambda x: x["seg"]), "/").alias("merged"), F.first("labelled").alias("labelled"), F.first("bad").alias("bad")))
+    # a template has the share of its deepest node with labels, the host being the last resort
+    known = nodes(merged, "merged").groupBy("host", "level", "node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).where("labelled > 0")
+    nearest = nodes(merged.drop("labelled", "bad"), "merged").join(known, ["host", "level", "node"]).groupBy("host", "template").agg(F.max(F.struct("level", "labelled", "bad")).alias("near"))
     prior = counted.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("prior"))  # one row
-    share = (F.when(F.col("alike"), F.col("fb")).otherwise(F.col("bad")) + F.lit(strength) * F.least(F.col("prior"), F.lit(0.5))) / (F.when(F.col("alike"), F.col("fl")).otherwise(F.col("labelled")) + F.lit(strength))
-    leaves = leaves.crossJoin(F.broadcast(prior)).select("host", "template", share.alias("purity"), F.when(F.col("alike"), F.col("family")).otherwise(F.col("template")).alias("merged"))
+    near = lambda c: F.coalesce(F.col(f"near.{c}"), F.lit(0))
+    share = (near("bad") + F.lit(strength) * F.least(F.col("prior"), F.lit(0.5))) / (near("labelled") + F.lit(strength))
+    leaves = merged.join(nearest, ["host", "template"], "left").crossJoin(F.broadcast(prior)).select("host", "template", share.alias("purity"), "merged")
     known = tree.join(leaves, ["host", "template"]).select("host", F.col("raw").alias("_raw"), F.col("merged").alias("template"), "purity")
     out = pages.join(known, ["host", "_raw"], "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("purity") > 0.5, "block").otherwise("allow"))

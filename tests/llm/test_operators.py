@@ -419,6 +419,16 @@ def test_url_tree_learns_templates(spark):
     assert all(r["verdict"] == ("block" if "/shop/" in r["url"] else "allow") for r in free) and {r["template"] for r in free} == {"shop/*", "news/*"}
 
 
+def test_url_tree_decides_pages_below_no_rule(spark):
+    rules = [("a.test", "/x/p", "block"), ("a.test", "/x/q", "block"), ("a.test", "/y/", "allow"), ("b.test", "/one/", "block")]
+    urls = [f"http://a.test/x/{s}/t" for s in "pq" for _ in range(30)] + ["http://a.test/y/t"] * 60 + ["http://b.test/one/t"] * 30
+    free = {"http://a.test/x/new/deep/er": "block", "http://a.test/y": "allow", "http://a.test/z/t": "allow", "http://b.test/two/t": "block", "http://c.test/one/t": "allow"}
+    table = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *free])], "page_id long, url string")
+    got = {r["url"]: r for r in rows(url_filter.judge(table, rules=rules))}
+    assert {u: got[u]["verdict"] for u in free} == free and all(got[u]["rule"] is None for u in free)
+    assert got["http://a.test/x/p/t"]["template"] == got["http://a.test/x/q/t"]["template"] == "x/?/t"  # merged at an inner node
+
+
 # 10
 
 
