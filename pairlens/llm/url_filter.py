@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and for the rest a path-template tree that learns from the pages that rules decide.
 
 Per host, the tree's branches are path segments.  A segment of digits, hex or a date is a wildcard by its form; a branch point at
-which nearly each page has a segment of its own becomes a wildcard by count.  Sibling branches at any level whose labelled pages are
+which nearly each distinct path has a segment of its own becomes a wildcard by count.  Sibling branches at any level whose labelled pages are
 alike (two proportions closer than chance explains, both with labels) merge.  A template is rejected if the smoothed share of blocked
 pages among its labelled ones is over one half: (blocked + strength * prior) / (labelled + strength).  A template without labelled
 pages takes the share of its nearest ancestor that has some, up to the host.
@@ -14,15 +14,17 @@ allowed; urls repeat freely; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, spread_join
 
 #: The rules of the contract, as (host suffix, path prefix, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Deepest branch that is told apart, labelled pages that the prior counts for, and when a branch point is a wildcard.
-DEPTH, STRENGTH, MANY, SPREAD, ALIKE_Z = 6, 4.0, 20, 0.5, 2.0
+#: Labelled pages that the prior counts for, when a branch point is a wildcard, and how far alike siblings may differ.
+STRENGTH, MANY, SPREAD, ALIKE_Z = 4.0, 20, 0.5, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,20 +46,30 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def segments(path: Column) -> Column:
-    """Path segments, wildcards by form: at most DEPTH, the rest as one."""
-    form = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"^[0-9._-]+(\.[A-Za-z]+)?$|^[0-9a-fA-F-]{16,}$"), "*").otherwise(s))
-    return F.when(F.size(form) > DEPTH, F.concat(F.slice(form, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(form)
+    """Path segments, wildcards by form."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"^[0-9._-]+(\.[A-Za-z]+)?$|^[0-9a-fA-F-]{16,}$"), "*").otherwise(s))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, path) to (host, raw, template): ``raw`` are the segments by form, ``template`` those after wildcards by count."""
-    raw = pages.select("host", F.array_join(segments(F.col("path")), "/").alias("raw")).groupBy("host", "raw").count()
-    steps = raw.select("host", "raw", "count", F.posexplode(F.split("raw", "/")).alias("level", "seg")).withColumn("parent", F.expr("substring_index(raw, '/', level)"))
-    points = steps.groupBy("host", "level", "parent", "seg").agg(F.sum("count").alias("n")).groupBy("host", "level", "parent").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    wild = points.where((F.col("kinds") >= MANY) & (F.col("kinds") > SPREAD * F.col("n"))).select("host", "level", "parent", F.lit(True).alias("wild"))
-    named = steps.join(wild, ["host", "level", "parent"], "left").withColumn("seg", F.when(F.col("wild"), "*").otherwise(F.col("seg")))
-    ordered = F.array_sort(F.collect_list(F.struct("level", "seg")))  # at most DEPTH
-    return named.groupBy("host", "raw").agg(F.array_join(F.transform(ordered, lambda x: x["seg"]), "/").alias("template"))
+    """(host, path) to (host, raw, template): ``raw`` are the segments by form, ``template`` those after wildcards by count.
+
+    Level by level from the root: a branch point is a host and a prefix that is generalised already, and counts distinct paths.  One
+    with under MANY paths has no wildcards below, so its paths are done; rounds end when all are."""
+    raw = pages.distinct().select("host", F.array_join(segments(F.col("path")), "/").alias("raw")).groupBy("host", "raw").agg(F.count("*").alias("n"))
+    left = durable(raw.select("host", "raw", "n", F.split("raw", "/").alias("segs"), F.array().cast("array<string>").alias("done"), F.concat("host", F.lit("/")).alias("at")))
+    out, level = [], 0
+    while True:
+        seg = F.get("segs", F.lit(level))
+        points = left.groupBy("at", seg.alias("seg")).agg(F.sum("n").alias("n")).groupBy("at").agg(F.count("*").alias("kinds"), F.sum("n").alias("paths"), F.sum("n").alias("count"))
+        named = spread_join(left, durable(points), "at", "count")
+        wild = (F.col("kinds") >= MANY) & (F.col("kinds") > SPREAD * F.col("paths"))
+        named = named.withColumn("done", F.concat("done", F.array(F.when(wild, "*").otherwise(seg)))).withColumn("open", (F.col("paths") >= MANY) & (F.size("segs") > level + 1))
+        named, level = durable(named), level + 1
+        rest = F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0)))
+        out.append(named.where("not open").select("host", "raw", F.array_join(F.concat("done", rest), "/").alias("template")))
+        left = named.where("open").select("host", "raw", "n", "segs", "done", F.concat("host", F.lit("/"), F.array_join("done", "/")).alias("at"))
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, out)
 
 
 def nodes(leaves: DataFrame, template: str) -> DataFrame:

@@ -429,6 +429,14 @@ def test_url_tree_decides_pages_below_no_rule(spark):
     assert got["http://a.test/x/p/t"]["template"] == got["http://a.test/x/q/t"]["template"] == "x/?/t"  # merged at an inner node
 
 
+def test_url_templates_by_distinct_paths_and_levels(spark):
+    paths = [f"/user/u{i}x/post/p{i}y" for i in range(30)] + [f"/a/b/c/d/e/f/g/{x}" for x in ("h", "i")]
+    want = {p: "user/*/post/*" if "user" in p else p[1:] for p in paths}
+    for urls in ([f"http://a.test{p}" for p in paths], [f"http://a.test{p}?n={k}" for p in paths for k in range(3)], [f"http://a.test{p}" for p in paths] * 4):
+        got = rows(url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), rules=[]))
+        assert len(got) == len(urls) and {r["path"]: r["template"] for r in got} == want
+
+
 # 10
 
 
