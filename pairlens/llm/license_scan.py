@@ -9,7 +9,10 @@ What meets is verified by exact containment of the template's shingles in the wi
 A window can only meet a template in a band if it holds the shingle that is the template's least in that band.  So texts without any
 of those shingles, whose bands could not meet, are let go before windows are made; nothing is lost by it.
 
-Defined cases: null and short texts (under five words) match nothing; templates under five words are refused; repeated rows of an id
+A template under five words is one shingle of its whole word sequence, with windows of one shingle: ``scan_short`` finds these exactly,
+and ``scan`` refuses them.
+
+Defined cases: null and short texts (under five words) match nothing in ``scan``; repeated rows of an id
 give one row for each template, the best; ids that are null are one id; an empty table gives no rows.
 """
 
@@ -43,16 +46,25 @@ NOTICES = {
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "no-warranty": "The software is provided \"as is\", without warranty of any kind, express or implied",
 }
+#: Notices of fewer words than a shingle, for ``scan_short``.
+SHORT_NOTICES = {"all-rights-reserved": "All rights reserved.", "spdx-mit": "SPDX-License-Identifier: MIT"}
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(NOTICES.items()), "template_id string, text string")
 
 
+def short_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SHORT_NOTICES.items()), "template_id string, text string")
+
+
+def with_words(df: DataFrame, text: str = "text") -> DataFrame:
+    return settled(df, "_words", F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
+
+
 def with_shingles(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``h``: the hashes of its shingles, in order."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    df = settled(df, "_words", words)
+    df = with_words(df, text)
     at = lambda i: F.get(F.col("_words"), i)
     long_enough = F.size("_words") >= SHINGLE
     hashes = F.transform(F.sequence(F.lit(0), F.size("_words") - SHINGLE), lambda i: F.xxhash64(*[at(i + j) for j in range(SHINGLE)]))
@@ -99,3 +111,21 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     found = met.select(key, "template_id", "at", share.alias("containment")).where(F.col("containment") >= contained)
     best = F.max_by("at", F.struct("containment", -F.col("at")))
     return found.groupBy(key, "template_id").agg(F.max("containment").alias("containment"), best.alias("position"), F.count_distinct("at").alias("windows"))
+
+
+def scan_short(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``scan`` gives, for templates of under five words: the places where all words of one stand in a row."""
+    spark = docs.sparkSession
+    made = with_words(templates.select("template_id", F.col("text"))).select("template_id", "_words").limit(MAX_TEMPLATES + 1).collect()
+    if len(made) > MAX_TEMPLATES:
+        raise ValueError(f"over {MAX_TEMPLATES} templates")
+    if other := [t["template_id"] for t in made if not 0 < len(t["_words"]) < SHINGLE]:
+        raise ValueError(f"templates of no words, or of {SHINGLE} and more: {other}")
+    index = spark.createDataFrame([(t["template_id"], t["_words"][-1], t["_words"]) for t in made], "template_id string, last string, own array<string>")
+    lasts = F.array(*[F.lit(x) for x in sorted({t["_words"][-1] for t in made})]).cast("array<string>")
+    hashed = with_words(docs.select(F.col(key), F.col(text).alias("text"))).where(F.arrays_overlap("_words", lasts))
+    ends = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.array_contains(lasts, F.get(F.col("_words"), i)))
+    places = hashed.select(key, "_words", F.explode(ends).alias("end")).withColumn("last", F.get("_words", F.col("end")))
+    met = places.join(F.broadcast(index), "last").withColumn("at", F.col("end") - F.size("own") + 1).where("at >= 0")
+    met = met.where(F.slice("_words", F.col("at") + 1, F.size("own")) == F.col("own"))
+    return met.groupBy(key, "template_id").agg(F.lit(1.0).alias("containment"), F.min("at").alias("position"), F.count_distinct("at").alias("windows"))

@@ -23,7 +23,8 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+    docs = read(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.default_templates(spark)).unionByName(license_scan.scan_short(docs, license_scan.short_templates(spark)))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,17 @@ def test_license_scan_odd_rows(spark, odd, none):
         license_scan.scan(none, spark.createDataFrame([("x", "a b c d")], "template_id string, text string"))
 
 
+def test_license_query_finds_short_notices(spark, odd, none):
+    sf = "/root/testdata/sf0.01"
+    got = {(r["doc_id"], r["template_id"]): r for r in rows(queries.op2_license_scan(spark, sf)) if r["template_id"] in license_scan.SHORT_NOTICES}
+    words = {r["doc_id"]: [w for w in re.split(r"[\W_]+", (r["text"] or "").lower()) if w] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    at = {d: [i for i in range(len(w)) if w[i : i + 3] == ["all", "rights", "reserved"]] for d, w in words.items()}
+    assert {k[0]: (r["position"], r["windows"], r["containment"]) for k, r in got.items() if k[1] == "all-rights-reserved"} == {d: (p[0], len(p), 1.0) for d, p in at.items() if p} and any(at.values())
+    more = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(99), "text": F.lit("// SPDX-License-Identifier: MIT\nrights reserved mit SPDX-License-Identifier: MIT")}))
+    assert [(r["doc_id"], r["template_id"], r["position"], r["windows"]) for r in rows(license_scan.scan_short(more, license_scan.short_templates(spark)))] == [(99, "spdx-mit", 0, 2)]
+    assert license_scan.scan_short(none, license_scan.short_templates(spark)).count() == 0
+
+
 def test_license_bands_keep_their_promise():
     for n in (1, 2, 3, 5, 9, 30, 200):
         m, w, step, bands = license_scan.class_of(n)
