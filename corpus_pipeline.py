@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlens.llm import language_id, mixing, quality, simhash, unigram
-from pairlens.llm.common import durable, read
-from pairlens.llm.queries import PIECES
+from pairlens.llm.common import durable, read, temporary
+from pairlens.llm.queries import pieces
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    return unigram.encode(docs, PIECES)
+    return unigram.encode(docs, pieces(spark))
 
 
 STAGES = [("language ID", languages), ("quality classifier", good_quality), ("SimHash near-dedup", one_of_each), ("mixing", mixed), ("SentencePiece encoding", tokens)]
@@ -42,5 +42,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+        with temporary(spark):  # what a stage writes on its way goes when its result is there
+            docs = durable(stage(spark, docs, sf_dir), keep=True)
     return docs

@@ -11,7 +11,8 @@ character.  Every backslash in escaped text then stands before the character it
 unescaped marker can come from a text.
 
 Defined cases: null roles and texts are empty; records that are null, no JSON object or of an unknown layout have no turns and the
-status ``unknown``; an empty table gives no rows; other columns of the input are carried along.
+layout ``unknown``; texts of any length go in whole; repeated rows are formatted each, and repeated turns of a conversation are turns
+of their own; an empty table gives no rows; other columns of the input are carried along.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 #: Control strings of common chat templates, as regular expressions that match after the first character was seen.
 CONTROL = r"<(?=\|)|<(?=/?s>)|<(?=</?SYS>>)|<(?=/?(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>)|\[(?=/?INST\])|\[(?=/?(?:SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\])"
 #: A layout: required paths, and the turns as (role or path of the role, path of the text); ``list`` names a list of turns.
@@ -74,8 +77,9 @@ def to_turns(record: dict, mapping: dict, roles: dict[str, str]) -> list[dict]:
 
 
 def canonical_turns(df: DataFrame, record: str = "record", mappings: list[dict] = MAPPINGS, roles: dict[str, str] = ROLES) -> DataFrame:
-    """``df`` without ``record``, with ``schema_id``, ``layout`` and ``turns``."""
-    rest = [c for c in df.columns if c != record]
+    """``df`` without ``record``, with ``schema_id``, ``layout`` and ``turns``, which replace columns of those names.  ``roles`` maps
+    other names of the roles, as some layouts have them; with none, roles stay as they are."""
+    rest = [c for c in df.columns if c not in (record, "schema_id", "layout", "turns")]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("schema_id", T.StringType()), T.StructField("layout", T.StringType()), T.StructField("turns", TURNS)])
     by_print = _table(mappings)
 
@@ -107,21 +111,24 @@ def unescape(text: Column) -> Column:
 
 
 def render(df: DataFrame, trained: str = "assistant") -> DataFrame:
-    """Adds ``formatted`` and ``loss_spans`` (start from 1, length; in code points of ``formatted``) from ``turns``."""
+    """Adds ``formatted`` and ``loss_spans`` (start from 1, length; in code points of ``formatted``) from ``turns``; they replace
+    columns of those names."""
     empty = F.coalesce(F.col("turns"), F.array().cast(TURNS))
-    safe = F.transform(empty, lambda t: F.struct(escape(F.coalesce(t["role"], F.lit(""))).alias("role"), escape(F.coalesce(t["text"], F.lit(""))).alias("text"), (t["role"] == trained).alias("on")))
-    heads = F.transform("safe", lambda t: F.struct(F.concat(F.lit("<|turn|>"), t["role"], F.lit("<|text|>")).alias("head"), t["text"].alias("text"), t["on"].alias("on")))
+    heads, kept = unused(df, "heads"), [c for c in df.columns if c not in ("formatted", "loss_spans")]
+    safe = lambda t, c: escape(F.coalesce(t[c], F.lit("")))
+    marked = F.transform(empty, lambda t: F.struct(F.concat(F.lit("<|turn|>"), safe(t, "role"), F.lit("<|text|>")).alias("head"), safe(t, "text").alias("text"), (t["role"] == trained).alias("on")))
+    df = df.select(*kept).withColumn(heads, marked)
     zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     spans = F.aggregate(
-        "heads", zero,
+        heads, zero,
         lambda acc, t: F.struct(
             (acc["at"] + F.length(t["head"]) + F.length(t["text"]) + F.length(F.lit("<|end|>"))).alias("at"),
             F.when(t["on"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
-    text = F.array_join(F.transform("heads", lambda t: F.concat(t["head"], t["text"], F.lit("<|end|>"))), "")
-    return df.withColumn("safe", safe).withColumn("heads", heads).withColumn("formatted", text).withColumn("loss_spans", spans).drop("safe", "heads")
+    text = F.array_join(F.transform(heads, lambda t: F.concat(t["head"], t["text"], F.lit("<|end|>"))), "")
+    return df.withColumn("formatted", text).withColumn("loss_spans", spans).drop(heads)
 
 
 def parse(df: DataFrame) -> DataFrame:
@@ -136,9 +143,19 @@ def parse(df: DataFrame) -> DataFrame:
 
 
 def gather(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Conversation rows (key, turn, role, text) as one messages record for each key; rows by turn, then role and text.  A
-    conversation is one text in the end, so a task holds a whole one; 2 GB is Spark's limit for a text."""
-    messages = F.transform(F.array_sort(F.collect_list(F.struct(
-        F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")))),
-        lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return rows.groupBy(key).agg(messages.alias("messages")).select(key, F.to_json(F.struct("messages")).alias("record"))
+    """Conversation rows (key, turn, role, text) as one record for each key, rows by turn, then role and text, in the plainest layout
+    that holds them: one question and its answer as ``prompt`` and ``response``, with a system text before them as ``system``; one
+    that doesn't begin with a user or system turn as ``conversations``; any other as ``messages``.  A conversation is one text in the
+    end, so a task holds a whole one; 2 GB is Spark's limit for a text."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    told = rows.groupBy(key).agg(ordered.alias("o"))
+    roles, text = F.col("o.role"), lambda i: F.col("o")[i]["text"]
+    like = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    renamed = lambda role, content: F.transform("o", lambda x: F.struct(x["role"].alias(role), x["text"].alias(content)))
+    record = (
+        F.when(like("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when(like("system", "user", "assistant") & (text(0) != ""), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
+        .when(~roles[0].isin("user", "system"), F.to_json(F.struct(renamed("from", "value").alias("conversations"))))
+        .otherwise(F.to_json(F.struct(renamed("role", "content").alias("messages"))))
+    )
+    return told.select(key, record.alias("record"))

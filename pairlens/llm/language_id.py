@@ -6,11 +6,11 @@ and one of context keys, with the weight that goes to the order below.  The pred
 per character.  A language rejects a text whose cross-entropy lies further above what its calibration documents have, by
 length, than nearly all of those do.
 
-Training reads a sample of at most about ``per_language`` documents for each language, chosen by a hash of the id and bounded by that
-parameter; a fifth of it is held back for calibration.  5-grams are counted by Spark; what the driver gathers is bounded by the sample.
+Training reads a sample of at most about ``per_language`` documents for each language, chosen by a hash of id and text and bounded by that
+parameter, equal texts once; a fifth of it is held back for calibration.  5-grams are counted by Spark; what the driver gathers is bounded by the sample.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and rejected; characters never seen share the
-uniform rest; ties go to the language that sorts first; without training rows every text is ``und``; an empty table gives no rows.
+uniform rest; of languages with equal cross-entropy the first in code-point order wins; without training rows every text is ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ START, END = 0, 1
 #: Calibration: a text is rejected beyond SLACK times the distance that all but TAIL of the calibration documents keep, and in any
 #: case only SURE nats a character above the mean.
 TAIL, SLACK, SURE = 0.002, 2.0, 0.6
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What counts as alphanumeric but is neither a letter (category L) nor a decimal digit: fractions, superscripts, circled numbers.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -155,8 +157,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not sizes:
         return Model([], [], [], [], [], np.zeros(0))
     rate = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, min(1.0, per_language / n))])
-    part = fraction(key, seed)
-    sample = durable(known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (part / rate[F.col(lang)]).alias("part")).where("part < 1"))
+    part = fraction(seed, key, text)
+    sample = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (part / rate[F.col(lang)]).alias("part")).where("part < 1")
+    sample = durable(sample.groupBy("lang", "text").agg(F.min("part").alias("part")))  # a text that repeats teaches once
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

@@ -5,11 +5,11 @@ patterns to source quotas: an arc from a pattern carries its tokens once at cost
 (convex, so repetition is spread), up to ``repeats`` times.  The tokens a pattern then gives are taken in whole passes over its
 documents, and the rest from its documents in the order of a seeded hash.
 
-What reaches the driver are the sums by pattern; their number is checked.  The cut within a pattern is found from sums by hash bin,
+What reaches the driver are the sums by pattern and by source; more than MAX_PATTERNS of either are refused, none is cut.  The cut within a pattern is found from sums by hash bin,
 then within the one bin that it falls in, so a pattern that holds a third of all rows is never in one task.
 
 Defined cases: null texts have size 0 and take 0; a null source is a source of its own, last in order; repeated rows count each time;
-ties of the hash are split by id and text hash; an empty table gives no rows.
+ties of the hash are split by id and text hash; a text of any length counts whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, fraction
+from .common import WORD, durable, fraction, unused
 
 REPEATS, BINS, MAX_PATTERNS, SEED = 3, 4096, 100_000, 7
+PLACES = ("pattern", "size", "tie", "h", "bin", "cut", "taken")
 
 
 def words(text: str) -> Column:
@@ -93,7 +94,7 @@ def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> di
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> dict[tuple, int]:
-    """``flow`` for each set of patterns and sources that hang together; a pattern alone with its source needs none."""
+    """``flow`` for each set of patterns and sources that hang together."""
     root = {s: s for s in quotas}
 
     def find(s):
@@ -106,56 +107,78 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> d
             root[find(s)] = find(p[0])
     groups: dict = {}
     for p in patterns:
-        groups.setdefault(find(p[0]) if p else (), []).append(p)
+        groups.setdefault(find(p[0]) if p else None, []).append(p)
     out: dict[tuple, int] = {}
     for group in groups.values():
-        if len(group) == 1 and len(group[0]) <= 1:
-            p = group[0]
-            out[p] = min(repeats * patterns[p], quotas[p[0]]) if p else 0
-        else:
-            out |= flow({p: patterns[p] for p in group}, {s: quotas[s] for p in group for s in p}, repeats)
+        out |= flow({p: patterns[p] for p in group}, {s: quotas[s] for p in group for s in p}, repeats)
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", member: str | None = None, weights: dict | None = None, seed: int = SEED, repeats: int = REPEATS) -> DataFrame:
-    """key, source, size, source_size, target, taken of each row.  ``member`` names a column of source lists; without it a row
-    counts for its source.  Weights default to 1, 2, 3, repeating, by source in code-point order."""
+def few(df: DataFrame, what: str) -> list:
+    """All rows of ``df``, of which there must be at most MAX_PATTERNS: none is left out."""
+    got = df.limit(MAX_PATTERNS + 1).collect()
+    if len(got) > MAX_PATTERNS:
+        raise ValueError(f"over {MAX_PATTERNS} {what}: group sources first")
+    return got
+
+
+def measured(docs: DataFrame, key: str, text: str, source: str, member: str | None, seed: int, names: dict[str, str]) -> DataFrame:
+    """``docs`` with pattern, size, and place in the seeded order (h, its bin, and a tie-break), under the given names."""
     lists = F.col(member) if member else F.array(F.col(source))
-    slim = durable(docs.select(F.col(key), F.col(source).alias("source"), F.array_sort(F.array_distinct(lists)).alias("pattern"), words(text).alias("size"), F.xxhash64(key, text).alias("tie")))
-    summed = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    found = summed.limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns: group sources first")
-    patterns = {tuple(r["pattern"] or ()): int(r["size"]) for r in found}
-    own = {r["source"]: int(r["size"]) for r in slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()}
+    out = docs.withColumns({names["pattern"]: F.array_sort(F.array_distinct(F.coalesce(lists, F.array().cast("array<string>")))), names["size"]: words(text), names["tie"]: F.xxhash64(key, text)})
+    out = out.withColumn(names["h"], fraction(seed, names["tie"]))
+    return out.withColumn(names["bin"], F.floor(F.col(names["h"]) * BINS).cast("int"))
+
+
+def taken(rows: DataFrame, slim: DataFrame, key: str, names: dict[str, str], weights: dict | None, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with the words that the mix takes of each, under ``names``; a row of source, source_size and target for each source).
+    ``slim`` is a written table of all rows as ``measured``; ``rows`` are the same ones, with any columns."""
+    spark = slim.sparkSession
+    patterns = {tuple(r["pattern"] or ()): int(r["size"]) for r in few(slim.groupBy("pattern").agg(F.sum("size").alias("size")), "membership patterns")}
+    own = {r["source"]: int(r["size"]) for r in few(slim.groupBy("source").agg(F.sum("size").alias("size")), "sources")}
     named = {s for p in patterns for s in p} | set(own)
     order = sorted((s for s in named if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in named)
     weights = weights or {s: 1 + i % 3 for i, s in enumerate(order)}
-    reach = {s: sum(n for p, n in patterns.items() if s in p) for s in order}
+    reach = dict.fromkeys(order, 0)
+    for p, n in patterns.items():
+        for s in p:
+            reach[s] += n
     want = targets(reach, weights, sum(patterns.values()), repeats)
-    quotas = {s: int(round(want[s])) for s in order}
-    given = route(patterns, quotas, repeats)
-    spark = docs.sparkSession
+    given = route(patterns, {s: int(round(want[s])) for s in order}, repeats)
     plan = [(list(p), given[p] // n if n else 0, given[p] % n if n else 0) for p, n in patterns.items()]
     plan = F.broadcast(spark.createDataFrame(plan, "mixed array<string>, passes long, rest long"))  # at most MAX_PATTERNS rows, as the next
     info = F.broadcast(spark.createDataFrame([(s, own.get(s, 0), float(want[s])) for s in order], "named string, source_size long, target double"))
-    rows = slim.withColumn("h", fraction("tie", seed)).withColumn("bin", F.floor(F.col("h") * BINS).cast("int"))
     # of each pattern: the last bin that gives anything, and what the bins before it give
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = rows.groupBy("pattern", "bin").agg(F.sum("size").alias("n")).withColumn("before", before)
-    cuts = bins.join(plan, F.col("pattern").eqNullSafe(F.col("mixed"))).where("before < rest").groupBy("mixed").agg(F.max(F.struct("bin", "before")).alias("cut"))
-    cuts = F.broadcast(cuts.select(F.col("mixed").alias("cut_of"), F.col("cut.bin").alias("cut"), F.col("cut.before").alias("before")))
-    joined = rows.join(plan, F.col("pattern").eqNullSafe(F.col("mixed"))).join(cuts, F.col("pattern").eqNullSafe(F.col("cut_of")), "left")
-    in_cut = F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
-    within = F.sum("size").over(Window.partitionBy("pattern", "bin").orderBy("h", "tie", key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    cut = joined.where(in_cut).withColumn("extra", F.least("size", F.greatest(F.col("rest") - F.col("before") - within, F.lit(0))))
-    whole = joined.where(~in_cut).withColumn("extra", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(0))
-    out = whole.unionByName(cut).withColumn("taken", F.col("size") * F.col("passes") + F.col("extra"))
-    return out.join(info, F.col("source").eqNullSafe(F.col("named")), "left").select(key, "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", "taken")
+    bins = slim.groupBy("pattern", "bin").agg(F.sum("size").alias("n")).withColumn("before", before)
+    cuts = bins.join(plan, F.col("pattern").eqNullSafe(F.col("mixed"))).where("before < rest").groupBy("mixed", "passes", "rest").agg(F.max(F.struct("bin", "before")).alias("cut"))
+    all_cuts = plan.select(F.col("mixed").alias("_m"), "passes", "rest").join(cuts.select("mixed", "cut"), F.col("_m").eqNullSafe(F.col("mixed")), "left")
+    cuts = F.broadcast(all_cuts.select(F.struct(F.col("_m").alias("pattern"), "passes", "rest", F.coalesce("cut.bin", F.lit(-1)).alias("bin"), F.coalesce("cut.before", F.lit(0)).alias("before")).alias(names["cut"])))
+    at, size, tie = F.col(names["cut"]), F.col(names["size"]), names["tie"]
+    joined = rows.join(cuts, F.col(names["pattern"]).eqNullSafe(at["pattern"]))
+    in_cut = F.col(names["bin"]) == at["bin"]
+    order = Window.partitionBy(names["pattern"], names["bin"]).orderBy(names["h"], tie, key)
+    within = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size
+    cut = joined.where(in_cut).withColumn(names["taken"], F.least(size, F.greatest(at["rest"] - at["before"] - within, F.lit(0))))
+    whole = joined.where(~in_cut).withColumn(names["taken"], F.when(F.col(names["bin"]) < at["bin"], size).otherwise(0))
+    return whole.unionByName(cut).withColumn(names["taken"], size * at["passes"] + F.col(names["taken"])), info
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", member: str | None = None, weights: dict | None = None, seed: int = SEED, repeats: int = REPEATS) -> DataFrame:
+    """key, source, size, source_size, target, taken of each row.  ``member`` names a column of source lists; without it a row
+    counts for its source.  Weights default to 1, 2, 3, repeating, by source in code-point order."""
+    names = {c: c for c in PLACES}
+    slim = durable(measured(docs.select(F.col(key), F.col(text).alias("text"), F.col(source).alias("source"), *([F.col(member).alias("member")] if member else [])), key, "text", "source", member and "member", seed, names).select(key, "source", *PLACES[:5]))
+    out, info = taken(slim, slim, key, names, weights, repeats)
+    return out.join(info, F.col("source").eqNullSafe(F.col("named")), "left").select(key, "source", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """``docs`` as mixed: each row as often as the mix takes it, to the nearest whole number; rows that it doesn't take go.  ``docs``
-    must have distinct keys, or repeated rows of a key multiply."""
-    times = mix(docs, key, text, source, seed=seed).select(F.col(key).alias("_key"), F.round(F.try_divide("taken", "size")).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(times, docs[key].eqNullSafe(times["_key"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` as mixed: each row as often as the mix takes it, to the nearest whole number; rows that it doesn't take go.  What is
+    taken is found for each row where it stands: rows are never joined by key, so null and repeated keys do no harm."""
+    names = {c: unused(docs, f"mix_{c}") for c in PLACES}
+    plain = {c: c for c in PLACES}
+    slim = durable(measured(docs.select(F.col(key), F.col(text).alias("text"), F.col(source).alias("source")), key, "text", "source", None, seed, plain).select(key, "source", *PLACES[:5]))
+    out, _ = taken(measured(docs, key, text, source, None, seed, names), slim, key, names, None, REPEATS)
+    times = F.round(F.try_divide(F.col(names["taken"]), F.col(names["size"]))).cast("int")
+    return out.withColumn(names["taken"], times).where(F.col(names["taken"]) > 0).withColumn(names["cut"], F.explode(F.sequence(F.lit(1), F.col(names["taken"])))).select(*docs.columns)

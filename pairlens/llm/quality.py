@@ -5,8 +5,8 @@ hashed to ``BUCKETS`` (pairs of a word with itself to one of them); a softmax ov
 at most about ``max_train`` labelled documents, chosen by a hash of the id; that bound is a parameter.  The features of the sample are
 made in tasks; the driver holds only them.  For scoring, vectors and output layer are multiplied once to one number a bucket.
 
-Defined cases: null and empty texts have the score of the bias alone; null labels teach nothing; repeated rows are scored each; a
-document with several labels teaches each of them; without labelled rows every score is 0.5; an empty table gives no rows.
+Defined cases: null and empty texts have the score of the bias alone; null labels teach nothing; repeated rows are scored each, and
+teach once; a document with several labels teaches each of them; texts of any length are scored whole; without labelled rows every score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,10 +123,13 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", may_learn: Column | None = None, max_train: int = MAX_TRAIN, seed: int = SEED) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
-    marked = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (F.lit(True) if may_learn is None else may_learn))
+    marked = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (F.lit(True) if may_learn is None else may_learn)).distinct()
     n = marked.count()
-    chosen = marked.where(fraction(key, seed) < (min(1.0, max_train / n) if n else 0.0))
-    sample = durable(docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "y"))  # about max_train rows
+    chosen = marked.where(fraction(seed, key) < (min(1.0, max_train / n) if n else 0.0))
+    # each id at most twice in ``chosen``, so about max_train rows at most; documents of one id may be many, so they are thinned again
+    sample = durable(docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "y").distinct())
+    if (got := sample.count()) > 2 * max_train:
+        sample = sample.where(fraction(seed, "text") < max_train / got)
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, language_id, license_scan, mixing, quality, simhash, spotsigs, topk_search, unigram, url_filter
 from .common import crc_mod, read
 
-try:  # the place of the public vocabularies is a parameter; without the package its usual folder is tried
-    from public_tokenizers import path as _path
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
-    PIECES = _path("piece_bpe_32k.model")
-except ImportError:
-    PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+def pieces(spark: SparkSession) -> str:
+    """The place of the vocabulary file: the setting ``spark.pairlens.pieces``, else that of the public package, if there is one."""
+    if at := spark.conf.get("spark.pairlens.pieces", None):
+        return at
+    return importlib.import_module("public_tokenizers").path("piece_bpe_32k.model") if importlib.util.find_spec("public_tokenizers") else PIECES
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    out = chat_format.parse(chat_format.render(chat_format.canonical_turns(chat_format.gather(rows))))
+    out = chat_format.parse(chat_format.render(chat_format.canonical_turns(chat_format.gather(rows), roles={})))
     told = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
@@ -56,7 +60,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = unigram.encode(docs, PIECES, decoded=True)
+    out = unigram.encode(docs, pieces(spark), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("decoded_chars"))
 
 
@@ -76,6 +80,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id)}
 
+_LAYOUTS = {m["name"]: chat_format.fingerprint(m["paths"]) for m in chat_format.MAPPINGS}
+#: What the template escapes, for an engine without look-ahead: whole control strings, none of which holds the start of another.
+_CONTROL = r"<\||</?s>|<</?SYS>>|</?(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>|\[/?INST\]|\[/?(?:SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]"
+_ESCAPED = lambda c: f"length({c}) + length({c}) - length(replace({c}, chr(92), '')) + len(regexp_extract_all({c}, '{_CONTROL}'))"
+
 #: op1 and op3 are all SQL; the others train, hash by XXH64, or cut by a vocabulary, and are tested against brute force.
 ORACLES = {
     "op1_topk_search": """
@@ -85,4 +94,15 @@ ORACLES = {
                    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
              r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op3_chat_format": f"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             c as (select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls first, role, text)) as turns_sha256,
+                       coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as loss, list(role order by turn nulls first, role, text) as roles,
+                       list(text order by turn nulls first, role, text) as texts,
+                       sum(length('<|turn|><|text|><|end|>') + {_ESCAPED("role")} + {_ESCAPED("text")}) as formatted_chars from t group by conv_id),
+             l as (select *, case when roles = ['user', 'assistant'] then 'prompt_response' when roles = ['system', 'user', 'assistant'] and texts[1] <> '' then 'system_prompt'
+                       when roles[1] not in ('user', 'system') then 'conversations' else 'messages' end as layout from c)
+        select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars,
+               case layout {" ".join(f"when '{n}' then '{h}'" for n, h in _LAYOUTS.items())} end as schema_id, layout from l""",
 }

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, small_batches, spread_join
+from .common import durable, row_hashes, small_batches, spread_join, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -47,16 +47,17 @@ def simhash(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     return int(_BITS[set_in * 2 > len(h)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(key, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, fp): fp as a signed long."""
     small_batches(docs.sparkSession)
-    schema = T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
+    kept = [key, *carried]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("fp", T.LongType())])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({key: pdf[key], "fp": np.array([simhash(t, k) for t in pdf[text]], dtype=np.uint64).view(np.int64)})
+            yield pdf[kept].assign(fp=np.array([simhash(t, k) for t in pdf[text]], dtype=np.uint64).view(np.int64))
 
-    return docs.select(key, text).mapInPandas(batches, schema)
+    return docs.select(*kept, text).mapInPandas(batches, schema)
 
 
 def masks(half: int) -> list[int]:
@@ -76,20 +77,39 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
-    of_doc = durable(fingerprints(docs, key, text, k))
-    per_fp = durable(of_doc.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))  # copies end here
+def clusters(per_fp: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct fingerprints (fp, least, n) to (fp, n, name): the smallest ``least`` of each component."""
     # a set number of partitions of a written table, as each row becomes 65 and few won't do
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(per_fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = components(links(per_fp.select("fp").repartition(parts, "fp"), radius))
     rooted = durable(per_fp.join(groups, per_fp["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root")))
-    names = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
-    named = durable(spread_join(rooted, names, "root", "fps").select("fp", "component_id", "n"))
-    return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = durable(rooted.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("fps")))
+    return spread_join(rooted, names, "root", "fps").select("fp", "n", "name")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one that names it (of repeated rows with its id, one; null ids stay)."""
-    first = near_duplicates(docs.where(F.col(key).isNotNull()), key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.where(F.col(key).isNotNull()).join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
+    of_doc = durable(fingerprints(docs, key, text, k))
+    per_fp = durable(of_doc.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))  # copies end here
+    named = durable(clusters(per_fp, radius))
+    return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: that of the least key, null keys last, then by a hash of the whole row.  Rows are told
+    apart by that hash, not by the key, so rows of null or repeated keys are groups' members like any other; of rows that are equal
+    in all columns one stays."""
+    a, b = unused(docs, "row_a"), unused(docs, "row_b")
+    one, two = row_hashes(docs)
+    rows = docs.withColumns({a: one, b: two})
+    of_row = durable(fingerprints(rows, key, text, k, (a, b)))
+    per_row = durable(of_row.groupBy(a, b).agg(F.min(key).alias("key"), F.min("fp").alias("fp"), F.count("*").alias("copies")))
+    first = F.struct(F.col("key").isNull().alias("none"), "key", a, b)
+    per_fp = durable(per_row.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")))
+    chosen = clusters(per_fp, radius).select(f"name.{a}", f"name.{b}").distinct()
+    # rows that repeat over 1/1000 of the table, fewer than 1000 of them, go round the shuffle
+    hot = F.broadcast(per_row.where(F.col("copies") > (per_row.agg(F.sum("copies")).first()[0] or 0) / 1000).select(a, b))
+    chosen = durable(chosen)
+    rest = rows.join(hot, [a, b], "left_anti").join(chosen, [a, b], "left_semi")
+    repeated = rows.join(F.broadcast(chosen.join(hot, [a, b], "left_semi")), [a, b], "left_semi")
+    return rest.dropDuplicates([a, b]).unionByName(repeated.dropDuplicates([a, b])).select(*docs.columns)

@@ -9,7 +9,7 @@ pages takes the share of its nearest ancestor that has some, up to the host.
 All of it is joins and aggregates on (host, template): a hot host is summed before it is shuffled, and no host meets in one task.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path; templates of hosts without labelled pages are
-allowed; urls repeat freely; an empty table gives no rows.
+allowed; urls repeat freely, and may be of any length and depth; of equally long rules the last listed wins; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, spread_join
+from .common import durable, spread_join, unused
 
 #: The rules of the contract, as (host suffix, path prefix, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -83,12 +83,14 @@ def nodes(leaves: DataFrame, template: str) -> DataFrame:
 def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, strength: float = STRENGTH) -> DataFrame:
     """``df`` with host, path, rule, verdict, template and purity.  Columns of ``df`` with those names are replaced."""
     host, path = split_url(url)
-    pages = df.drop(*({"host", "path", "rule", "verdict", "template", "purity"} - {url})).withColumn("host", host).withColumn("path", path)
-    pages = pages.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_raw", F.array_join(segments(F.col("path")), "/"))
-    judged = F.col("_rule").isNotNull()
-    blocked = F.coalesce((F.col("_rule.verdict") == "block"), F.lit(False))
+    df = df.drop(*({"host", "path", "rule", "verdict", "template", "purity"} - {url}))
+    own, raw, times = (unused(df, c) for c in ("rule_of", "raw", "times"))
+    pages = df.withColumn("host", host).withColumn("path", path)
+    pages = pages.withColumn(own, rule_of(F.col("host"), F.col("path"), rules)).withColumn(raw, F.array_join(segments(F.col("path")), "/"))
+    judged = F.col(own).isNotNull()
+    blocked = F.coalesce((F.col(own)["verdict"] == "block"), F.lit(False))
     tree = durable(templates(pages.select("host", "path")))
-    counted = durable(pages.groupBy("host", F.col("_raw").alias("raw")).agg(F.sum(judged.cast("long")).alias("labelled"), F.sum(blocked.cast("long")).alias("bad")))
+    counted = durable(pages.groupBy("host", F.col(raw).alias("raw")).agg(F.sum(judged.cast("long")).alias("labelled"), F.sum(blocked.cast("long")).alias("bad"), F.count("*").alias("n")))
     leaves = durable(counted.join(tree, ["host", "raw"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
     # siblings: named children of one node; alike ones share a branch, at each level of the tree
     counts = nodes(leaves, "template").groupBy("host", "level", "node").agg(F.max("seg").alias("seg"), F.max("parent").alias("parent"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
@@ -109,7 +111,8 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = R
     near = lambda c: F.coalesce(F.col(f"near.{c}"), F.lit(0))
     share = (near("bad") + F.lit(strength) * F.least(F.col("prior"), F.lit(0.5))) / (near("labelled") + F.lit(strength))
     leaves = merged.join(nearest, ["host", "template"], "left").crossJoin(F.broadcast(prior)).select("host", "template", share.alias("purity"), "merged")
-    known = tree.join(leaves, ["host", "template"]).select("host", F.col("raw").alias("_raw"), F.col("merged").alias("template"), "purity")
-    out = pages.join(known, ["host", "_raw"], "left")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_raw")
+    known = tree.join(leaves, ["host", "template"]).join(counted, ["host", "raw"])
+    known = durable(known.select("host", F.col("raw").alias(raw), F.col("merged").alias("template"), "purity", F.col("n").alias(times)))
+    out = spread_join(pages, known, ["host", raw], times)  # every page has its row; the root page of a hot host meets no single task
+    verdict = F.coalesce(F.col(own)["verdict"], F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
+    return out.withColumn("rule", F.col(own)["rule"]).withColumn("verdict", verdict).drop(own, raw)
