@@ -1,12 +1,17 @@
 """Document fingerprints by SpotSigs, in DataFrame functions only.
 
 A run of common words is an anchor; the next ``CHAIN`` content words after it, passing over later common words, are a chain, and the
-hash of a chain is a signature.  The common words are a fixed list, so a text's fingerprint depends on the text alone and stays the
-same as a corpus grows.  Texts with fewer than ``FEW`` signatures add each of their words as one, so that short texts have a likeness
-too.  The likeness of two fingerprints is the Jaccard share of their signatures.
+hash of a chain is a signature.  The start of a text is an anchor as well, whose chain is its first ``HEAD`` words one by one, so that
+texts without common words have a likeness too.  The common words are a fixed list, so a text's fingerprint depends on the text alone
+and stays the same as a corpus grows.  The likeness of two fingerprints is the Jaccard share of their signatures.
+
+A fingerprint is printed as the number of signatures, a hash of all of them and the ``SKETCH`` least ones: ``sketch_likeness``
+estimates from two of them what ``likeness`` gives for the whole sets.
 
 Defined cases: null texts count as empty; texts without a letter or digit have the fingerprint of the empty set, and two of those have
-likeness 1; equal texts have equal fingerprints; repeated rows stay rows; an empty table gives no rows.
+likeness 1; texts of any length are taken whole; equal texts have equal fingerprints; rows of one key are in the order of a hash of
+their text; repeated rows stay rows, each but one of them being followed by its like; null keys come first; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -18,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Above MAX_SENT blocks, their first keys are joined by a shuffle instead of being sent to all executors.
-CHAIN, FEW, BLOCK, SPAN, THRESHOLD, MAX_SENT = 3, 4, 512, 4096, 0.8, 500_000
+CHAIN, HEAD, SKETCH, THRESHOLD = 3, 8, 8, 0.8
+#: Rows of a block, and ranges of keys at two levels: at most OUTER * INNER of them, whatever the table.
+BLOCK, OUTER, INNER = 512, 1024, 256
 #: Common words of English, French, German and Spanish.
 COMMON = (
     "the of and to in a is that it for was on as with be by this are at an from or "
@@ -55,15 +61,23 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     at = lambda i: F.coalesce(F.get(F.col("_parts"), i), F.lit(""))
     chains = F.transform("_parts", lambda s, i: F.trim(F.substring_index(F.concat_ws(" ", s, at(i + 1), at(i + 2)), " ", CHAIN)))
     df = df.withColumn("_chains", chains)
-    words = F.array_remove(F.split(F.col("_line"), " "), "")
-    own = F.when(F.size("_chains") < FEW, F.concat("_chains", F.transform(words, lambda w: F.concat(F.lit("="), w)))).otherwise(F.col("_chains"))
+    words = F.split(F.substring_index(F.trim("_line"), " ", HEAD), " ")
+    own = F.concat("_chains", F.transform(F.array_remove(words, ""), lambda w: F.concat(F.lit("="), w)))
     return df.withColumn(out, F.array_sort(F.array_distinct(F.transform(own, lambda s: F.xxhash64(s))))).drop("_line", "_parts", "_chains")
 
 
 def digest(signatures: str) -> Column:
-    """A fingerprint as text: how many signatures, and a hash of all of them."""
-    joined = F.col(signatures)
-    return F.concat_ws("-", F.size(joined).cast("string"), F.substring(F.sha2(F.array_join(joined.cast("array<string>"), ","), 256), 1, 32))
+    """A fingerprint as text: how many signatures, a hash of all of them, and the least ones."""
+    joined = lambda x: F.array_join(x.cast("array<string>"), ",")
+    every = F.col(signatures)
+    return F.concat_ws(":", F.size(every).cast("string"), F.substring(F.sha2(joined(every), 256), 1, 16), joined(F.slice(every, 1, SKETCH)))
+
+
+def sketch_likeness(a: str, b: str) -> Column:
+    """The estimated likeness of two printed fingerprints: of the least signatures of both, the share that both have."""
+    least = lambda c: F.array_remove(F.split(F.split(F.col(c), ":")[2], ","), "").cast("array<bigint>")
+    union = F.slice(F.array_sort(F.array_union(least(a), least(b))), 1, SKETCH)
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(F.array_intersect(union, least(a)), least(b))), F.size(union)), F.lit(0.0)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -71,28 +85,57 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
+def _place(bounds: Column, x: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted bounds are at or below x, by halving."""
+    steps = [1 << j for j in range(most.bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= x, F.lit(False)), at + step).otherwise(at))
+
+
+def with_block(df: DataFrame, key: str, tie: str) -> DataFrame:
+    """``df`` with (_block, _sub): ranges of (key, tie) in ascending order, of about BLOCK rows each, whatever the keys are like.
+
+    Bounds are quantiles of the keys: up to OUTER ranges, and for larger tables INNER ones within each.  A key that has as many rows
+    as four ranges is a range of its own, cut by the tie, which is a hash."""
+    x = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    n = df.count()
+    outer = max(1, min(OUTER, -(-n // BLOCK)))
+    inner = max(1, min(INNER, -(-n // (BLOCK * outer))))
+    cuts = lambda k: [i / k for i in range(1, k)]
+    out = df.withColumn("_x", x)
+    if outer == 1:
+        return out.withColumns({"_block": F.lit(0), "_sub": F.lit(0)})
+    bounds = df.agg(F.percentile_approx(x, cuts(outer), 100 * outer)).first()[0]
+    first = F.array(*[F.lit(b) for b in bounds])
+    if inner > 1:
+        at = _place(first, x, outer)
+        finer = F.broadcast(df.select(at.alias("_o"), x.alias("_x")).groupBy("_o").agg(F.percentile_approx("_x", cuts(inner), 100 * inner).alias("_b")))  # at most OUTER rows of INNER bounds
+        out = out.withColumn("_o", at).join(finer, "_o").withColumn("_block", F.col("_o") * inner + _place(F.col("_b"), F.col("_x"), inner)).drop("_o", "_b")
+    else:
+        out = out.withColumn("_block", _place(first, F.col("_x"), outer))
+    many = df.groupBy(x.alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * n / outer)  # fewer than OUTER / 4 rows
+    hot = F.broadcast(many.select("_hot", F.ceil(F.col("_n") / max(BLOCK, n / (OUTER * INNER))).alias("_parts")))
+    # such a key is the least of its block, so the block's other keys come behind it
+    share = F.floor((F.col(tie) / float(1 << 64) + 0.5) * F.col("_parts")).cast("int")
+    return out.join(hot, F.col("_x") == F.col("_hot"), "left").withColumn("_sub", F.coalesce(share, F.lit((1 << 31) - 1))).drop("_hot", "_parts")
+
+
 def with_next(df: DataFrame, key: str, text: str, prepared: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """``prepared(df)`` with ``next_<column>`` of the row with the next key (after the last: the first), null keys first.
 
-    Rows are dealt by blocks of keys, and each block also gets the first rows of the next block that has any: no global sort.  Those
-    first rows are picked before they are prepared, so what is costly is done once for a row."""
-    raw = df.withColumn("_block", F.coalesce(F.floor(F.col(key) / BLOCK), F.lit(-(1 << 62))))
-    edges = durable(raw.groupBy("_block").agg(F.min(key).alias("_first")))  # one row for BLOCK keys
-    edges = edges.withColumn("_span", F.floor(F.col("_block") / SPAN))
-    # the one window without a partition sees a row for BLOCK * SPAN keys: 50,000 rows for 100 billion
-    order = Window.orderBy("_span")
-    last = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    spans = edges.groupBy("_span").agg(F.max("_block").alias("_last")).select("_span", F.coalesce(F.lag("_last").over(order), last).alias("_prior"))
-    before = F.lag("_block").over(Window.partitionBy("_span").orderBy("_block"))
-    ends = edges.join(spans, "_span").select(F.col("_block").alias("_of"), "_first", F.coalesce(before, "_prior").alias("_target"))
-    ends = F.broadcast(ends) if edges.count() <= MAX_SENT else ends  # else a join that shuffles the rows once more
-    heads = raw.join(ends, (raw["_block"] == ends["_of"]) & raw[key].eqNullSafe(ends["_first"])).drop("_block", "_of", "_first").withColumnRenamed("_target", "_block")
-    both = prepared(raw.withColumn("_head", F.lit(0))).unionByName(prepared(heads.withColumn("_head", F.lit(1))))
-    after = Window.partitionBy("_block").orderBy("_head", F.col(key).asc_nulls_first(), F.xxhash64(text))
-    out = both
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(after))
-    return out.where("_head = 0").drop("_block", "_head")
+    Rows are dealt by ranges of keys, and each range also gets the first row of the next: no global sort.  Rows move once, and are
+    prepared where they arrive."""
+    raw = with_block(df.withColumn("_tie", F.xxhash64(text)), key, "_tie")
+    edges = durable(raw.groupBy("_block", "_sub").agg(F.min(F.struct("_x", "_tie")).alias("_first")))
+    # the one window without a partition sees a row for each range: at most OUTER * INNER, and as many for keys of many rows
+    order = Window.orderBy("_block", "_sub")
+    span = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct("_block", "_sub")
+    ends = edges.select(F.col("_block"), F.col("_sub"), "_first", F.coalesce(F.lag(own).over(order), F.last(own).over(span)).alias("_target"))
+    heads = raw.join(F.broadcast(ends), ["_block", "_sub"]).where((F.col("_x") == F.col("_first._x")) & (F.col("_tie") == F.col("_first._tie")))
+    heads = heads.dropDuplicates(["_block", "_sub"]).withColumn("_block", F.col("_target._block")).withColumn("_sub", F.col("_target._sub")).drop("_first", "_target")
+    both = prepared(raw.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1))).repartition("_block", "_sub"))
+    after = Window.partitionBy("_block", "_sub").orderBy("_head", "_x", "_tie")
+    return both.withColumns({f"next_{c}": F.lead(c).over(after) for c in columns}).where("_head = 0").drop("_block", "_sub", "_head", "_x", "_tie")
 
 
 def near_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
