@@ -1,5 +1,8 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pairlens.llm import language_id, quality, simhash
+from pairlens.llm import common, language_id, quality, simhash
 from pairlens.llm.common import durable, read
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +30,36 @@ def test_stages_take_effect(spark):
     assert 0 < mixed.count() and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in one.collect()}
     assert ids.count() == mixed.count() == before.count() and ids.where("n_tokens = 0").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == ids.count()
+
+
+def test_stages_on_odd_tables(spark):
+    docs = read(spark, SF, "documents")
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).withColumns({"size": F.lit("mine"), "score": F.lit(1), "row_a": F.lit(2)})
+    many = odd.unionByName(odd.where("doc_id % 5 = 0")).unionByName(odd.limit(3).withColumn("text", F.lit(None).cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, many = many, durable(stage(spark, many, SF))
+        assert many.columns == odd.columns and 0 < many.count()
+        if stage is not corpus_pipeline.mixed:
+            assert many.count() <= before.count()
+    copies = many.groupBy(*[c for c in many.columns]).count().agg(F.max("count")).first()[0]
+    assert copies <= 3  # as many as the mix repeats, whatever the ids
+    assert corpus_pipeline.tokens(spark, many, SF).count() == many.count()
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = durable(stage(spark, none, SF))
+        assert none.count() == 0
+
+
+def test_run_leaves_only_the_stages_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    assert len(list(tmp_path.glob("table-*"))) == len(corpus_pipeline.STAGES) and out.count() > 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster())
