@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import durable, fraction
 
 #: Vectors of a shard and queries that meet one copy of it, about; they bound a task's memory.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, MAX_SHARDS, SAMPLE, SEED = 8192, 65_536, 64, 16_384, 20_000, 1
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, MAX_SHARDS, SAMPLE, SEED = 8192, 65_536, 256, 16_384, 20_000, 1
 
 
 def usable(vector: str, scale: float) -> Column:
