@@ -36,6 +36,34 @@ def symmetric_difference(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(F.array_except(a, b), F.array_except(b, a)))
 
 
+def tokenised(value: Column) -> Column:
+    """A value's tokens at white space; an empty value has none."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " ")), " "), "")
+
+
+def detokenised(tokens_: Column) -> Column:
+    return F.array_join(tokens_, " ")
+
+
+def diff_label(before: Column, after: Column) -> Column:
+    """``-`` and the words that a change takes away, or else ``+`` and those that it adds."""
+    gone, new = F.array_except(tokenised(before), tokenised(after)), F.array_except(tokenised(after), tokenised(before))
+    return F.when(F.size(gone) > 0, F.concat(F.lit("-"), F.array_join(gone, " "))).otherwise(F.concat(F.lit("+"), F.array_join(new, " ")))
+
+
+def anchor_distance(x: Column, a: Column, b: Column) -> Column:
+    """The mean Jaccard distance of a token set to two others."""
+    return ((1 - jaccard(x, a)) + (1 - jaccard(x, b))) / 2
+
+
+def change_cosine(original: Column, one: Column, two: Column) -> Column:
+    """Cosine of the smooth tf-idf of what two changed texts have changed: the characters that one of text and original has and the
+    other has not."""
+    letters = lambda t: F.array_distinct(F.split(F.lower(t), ""))
+    changed = lambda t: F.filter(symmetric_difference(letters(original), letters(t)), lambda x: x.rlike(WORDS))
+    return tfidf_cosine(changed(one), changed(two))
+
+
 def long_text_cosine(pairs: DataFrame, key: str, a: str, b: str, lower: bool = False) -> DataFrame:
     """key, cosine for texts of any length: words are counted, joined and summed."""
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .matchers import token_match
+from .matchers import Matcher, SqlMatcher, sides
 from .pairs import L, R, attributes
 
 #: A lattice has 2 ** attributes nodes: above so many, name the attributes to vary.
@@ -41,10 +44,29 @@ def perturbed(support: DataFrame, names: list[str] | None = None, sizes: range |
     return rows.select("pair_id", F.concat_ws("|", "pair_id", "side", F.col("c_id").cast("string")).alias("triangle_id"), "side", "decision", "mask", *shown, listed(free).alias("dropped"), listed(lambda a: F.col(f"c_{a}")).alias("copied"))
 
 
-def flips(pert: DataFrame) -> DataFrame:
+def flips(pert: DataFrame, matcher: Matcher | None = None) -> DataFrame:
     """Perturbed pairs with ``flip``: 1 if the decision turned."""
-    names = attributes(pert)
-    return pert.withColumn("flip", (token_match([F.col(L + a) for a in names], [F.col(R + a) for a in names]) != F.col("decision")).cast("int"))
+    decided = (matcher or SqlMatcher()).decide(pert, *sides(pert), "_new")
+    return decided.withColumn("flip", F.coalesce((F.col("_new") != F.col("decision")).cast("int"), F.lit(0))).drop("_new")
+
+
+def monotone_flips(support: DataFrame, names: list[str] | None = None, matcher: Matcher | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``flips``, level by level: of a triangle whose subsets of one level all flip, those of the next levels count as flipped without
+    being put to the matcher (``asked`` is 0).  ``keep`` writes or persists a level, which the next one reads."""
+    chosen = names or attributes(support)
+    parts, done = [], None
+    for level in range(1, len(chosen)):
+        rows = perturbed(support, chosen, range(level, level + 1))
+        if done is not None:
+            over = rows.join(done, "triangle_id", "left_semi").withColumns({"flip": F.lit(1), "asked": F.lit(0)})
+            rows = rows.join(done, "triangle_id", "left_anti")
+            parts.append(over)
+        now = flips(rows, matcher).withColumn("asked", F.lit(1))
+        now = keep(now) if keep else now
+        parts.append(now)
+        all_good = now.groupBy("triangle_id").agg(F.min("flip").alias("f")).where("f = 1").select("triangle_id")
+        done = all_good if done is None else done.union(all_good)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def ranking(flipped: DataFrame) -> DataFrame:
@@ -96,15 +118,38 @@ def edges(spark: SparkSession, n: int) -> DataFrame:
     return nodes.select("below", F.explode(F.array(*[F.lit(1 << i).cast("long") for i in range(n)])).alias("bit")).where(F.col("below").bitwiseAND(F.col("bit")) == 0).select("below", F.col("below").bitwiseOR(F.col("bit")).alias("above"))
 
 
-def triangle_properties(support: DataFrame) -> DataFrame:
-    """triangle_id, identity, symmetry, transitivity: whether the matcher keeps them on the triangle's three records."""
+def hasse_dot(names: list[str]) -> str:
+    """The cover relation of a lattice as a DOT graph; subsets are named as in ``subset_name``."""
+    label = lambda m: "/".join(n for i, n in enumerate(names) if m >> i & 1) or "none"
+    every = range(1 << len(names))
+    return "digraph lattice {\n" + "".join(f'  "{label(m)}" -> "{label(m | 1 << i)}";\n' for m in every for i in range(len(names)) if not m >> i & 1) + "}\n"
+
+
+def triangle_lattices(flipped: DataFrame, support: DataFrame) -> DataFrame:
+    """What a triangle's lattice shows, a row for each node: its records (pivot, free, support) as level -1 and its subsets by rank
+    (number of attributes), name order within: (triangle_id, level, node, flip)."""
     names = attributes(support)
+    tid = F.concat_ws("|", "pair_id", "side", F.col("c_id").cast("string"))
+    left = F.col("side") == "L"
+    record = lambda kind, cols: F.struct(F.lit(kind).alias("kind"), F.concat_ws(" ", *cols).alias("node"))
+    pivot, free = [F.when(left, F.col(R + a)).otherwise(F.col(L + a)) for a in names], [F.when(left, F.col(L + a)).otherwise(F.col(R + a)) for a in names]
+    tops = support.select(tid.alias("triangle_id"), F.explode(F.array(record("pivot", pivot), record("free", free), record("support", [F.col(f"c_{a}") for a in names]))).alias("x"))
+    tops = tops.select("triangle_id", F.lit(-1).alias("level"), F.concat_ws(": ", "x.kind", "x.node").alias("node"), F.lit(None).cast("int").alias("flip"))
+    return tops.unionByName(flipped.select("triangle_id", F.bit_count("mask").alias("level"), subset_name(F.col("side"), F.col("mask"), names).alias("node"), "flip"))
+
+
+def triangle_properties(support: DataFrame, matcher: Matcher | None = None) -> DataFrame:
+    """triangle_id, identity, symmetry, transitivity: whether the matcher keeps them on the triangle's three records."""
+    names, matcher = attributes(support), matcher or SqlMatcher()
     rec = {"f": [F.when(F.col("side") == "L", F.col(L + a)).otherwise(F.col(R + a)) for a in names], "p": [F.when(F.col("side") == "L", F.col(R + a)).otherwise(F.col(L + a)) for a in names], "s": [F.col(f"c_{a}") for a in names]}
-    m = {(x, y): token_match(rec[x], rec[y]) for x in rec for y in rec}
-    three = m["f", "p"] + m["p", "s"] + m["f", "s"]
+    for x in rec:
+        for y in rec:
+            support = matcher.decide(support, rec[x], rec[y], names, f"_{x}{y}")
+    m = lambda x, y: F.col(f"_{x}{y}")
+    three = m("f", "p") + m("p", "s") + m("f", "s")
     return support.select(
         F.concat_ws("|", "pair_id", "side", F.col("c_id").cast("string")).alias("triangle_id"),
-        (m["f", "f"] + m["p", "p"] + m["s", "s"] == 3).cast("int").alias("identity"),
-        ((m["f", "p"] == m["p", "f"]) & (m["p", "s"] == m["s", "p"]) & (m["f", "s"] == m["s", "f"])).cast("int").alias("symmetry"),
+        (m("f", "f") + m("p", "p") + m("s", "s") == 3).cast("int").alias("identity"),
+        ((m("f", "p") == m("p", "f")) & (m("p", "s") == m("s", "p")) & (m("f", "s") == m("s", "f"))).cast("int").alias("symmetry"),
         three.isin(0, 1, 3).cast("int").alias("transitivity"),
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +15,29 @@ from .pairs import L, R, attributes
 
 
 class Matcher:
-    """``score`` adds the two scores to pair rows."""
+    """``score`` adds the two scores to pair rows; all else follows from it."""
 
     def score(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def decide(self, rows: DataFrame, left: list[Column], right: list[Column], names: list[str], out: str) -> DataFrame:
+        """``rows`` with ``out``: 1 where the records ``left`` and ``right`` (a column for each of ``names``) match by a score above
+        one half, 0 below it, and null at one half, as of a failure.  Equal pairs of records are asked once."""
+        sides = {L + n: c.cast("string") for n, c in zip(names, left, strict=True)} | {R + n: c.cast("string") for n, c in zip(names, right, strict=True)}
+        held = {c: f"_ask_{i}" for i, c in enumerate(sides)}
+        rows = rows.withColumns({held[c]: v for c, v in sides.items()})
+        asked = self.score(rows.select([F.col(h).alias(c) for c, h in held.items()]).distinct())
+        decided = F.when(F.col("match_score") > 0.5, 1).when(F.col("match_score") < 0.5, 0)
+        answers = asked.select([F.col(c).alias(f"_had_{i}") for i, c in enumerate(sides)] + [decided.alias(out)])
+        same = [F.col(h).eqNullSafe(F.col(f"_had_{i}")) for i, h in enumerate(held.values())]
+        return rows.join(answers, same, "left").drop(*held.values(), *[f"_had_{i}" for i in range(len(sides))])
+
+
+def sides(rows: DataFrame) -> tuple[list[Column], list[Column], list[str]]:
+    """What ``decide`` takes for pair rows as they are."""
+    names = attributes(rows)
+    return [F.col(L + n) for n in names], [F.col(R + n) for n in names], names
+
 
 def token_match(left: list[Column], right: list[Column]) -> Column:
     """1 if the token sets of two records share at least half of their union, in whole numbers."""
@@ -37,13 +56,19 @@ class SqlMatcher(Matcher):
         out = rows.withColumn("match_score", self.rule([F.col(L + n) for n in names], [F.col(R + n) for n in names]).cast("double"))
         return out.withColumn("nomatch_score", 1 - F.col("match_score"))
 
+    def decide(self, rows: DataFrame, left: list[Column], right: list[Column], names: list[str], out: str) -> DataFrame:
+        score = self.rule(left, right)
+        return rows.withColumn(out, F.when(score > 0.5, 1).when(score < 0.5, 0))
+
 
 @dataclass
 class PandasMatcher(Matcher):
     """A Python function of a frame of distinct pairs to match scores.  Each distinct pair is asked once, and a batch that fails
-    scores one half, which later filters leave out.  The function runs within tasks, so it may call a model or a service."""
+    scores one half, which later filters leave out.  The function runs within tasks, so it may call a model or a service.  With
+    ``cache``, a folder, answers are kept there and pairs that it knows are never asked again."""
 
     predict: Callable[[pd.DataFrame], pd.Series]
+    cache: str | None = None
 
     def score(self, rows: DataFrame) -> DataFrame:
         columns = [p + n for p in (L, R) for n in attributes(rows)]
@@ -58,7 +83,19 @@ class PandasMatcher(Matcher):
                 except Exception as e:  # noqa: BLE001  a matcher may fail in any way; the row tells how
                     yield pdf.assign(match_score=0.5, status=f"failed: {type(e).__name__}")
 
-        answers = asked.mapInPandas(batches, schema)
+        if self.cache is None:
+            answers = asked.mapInPandas(batches, schema)
+        else:
+            spark = rows.sparkSession
+            try:
+                known = spark.read.parquet(self.cache)
+            except AnalysisException:  # nothing there yet
+                known = spark.createDataFrame([], schema)
+            new = asked.join(known, [asked[c].eqNullSafe(known[c]) for c in columns], "left_anti").mapInPandas(batches, schema)
+            new.where("status = 'ok'").write.mode("append").parquet(self.cache)
+            kept = spark.read.schema(schema).parquet(self.cache).dropDuplicates(columns)
+            failed = asked.join(kept, [asked[c].eqNullSafe(kept[c]) for c in columns], "left_anti").withColumns({"match_score": F.lit(0.5), "status": F.lit("failed")})
+            answers = kept.unionByName(failed)
         same = [rows[c].eqNullSafe(answers[c]) for c in columns]
         out = rows.join(answers, same).select(*[rows[c] for c in rows.columns], "match_score", "status")
         return out.withColumn("nomatch_score", 1 - F.col("match_score"))

@@ -21,9 +21,16 @@ def pair_id(l: Column | None = None, r: Column | None = None) -> Column:  # noqa
     return F.concat(F.lit("0@"), F.col(f"{L}id") if l is None else l, F.lit("#1@"), F.col(f"{R}id") if r is None else r)
 
 
+def one_each(source: DataFrame) -> DataFrame:
+    """The least record of each id."""
+    rest = [c for c in source.columns if c != "id"]
+    return source.groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select(*[F.col("id") if c == "id" else F.col(f"r.{c}") for c in source.columns]) if rest else source.distinct()
+
+
 def merge(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pair rows of a labelled pair list; pairs with an unknown id go, and of records that share an id one is taken."""
-    out = pairs.join(prefixed(left.dropDuplicates(["id"]), L), f"{L}id").join(prefixed(right.dropDuplicates(["id"]), R), f"{R}id")
+    """Pair rows of a labelled pair list; pairs with an unknown id go, and of records that share an id the least is taken, by its
+    values in order."""
+    out = pairs.join(prefixed(one_each(left), L), f"{L}id").join(prefixed(one_each(right), R), f"{R}id")
     return out.select(pair_id().alias("pair_id"), "label", *[c for c in out.columns if c.startswith((L, R))])
 
 
@@ -58,10 +65,22 @@ def feature_attribute(feature: Column) -> Column:
 
 
 def lookup(queries: DataFrame, records: DataFrame, names: list[str], key: str = "query_id") -> DataFrame:
-    """The record that equals each query in the most attributes, if any; ties go to the smaller id.  Joined on each attribute."""
+    """The record that equals each query in the most attributes, if any; ties go to the smaller id.
+
+    Most queries equal a record in all attributes, which one join on their hash tells.  Only the others are joined attribute by
+    attribute, and there on distinct values: a value's records meet its queries once for each combination of their attributes."""
+    every = lambda df: F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("\0")) for n in names])
+    first = records.where(F.forall(F.array(*[F.col(n).isNotNull() for n in names]), lambda x: x)).groupBy(every(records).alias("_h"), *names).agg(F.min("id").alias("id"))
+    asked = queries.withColumn("_h", every(queries))
+    hit = asked.join(first, ["_h", *names]).select(key, "id", F.lit(len(names)).cast("long").alias("same"))
+    kinds = records.groupBy(*names).agg(F.min("id").alias("id"))  # of equal records the least is enough
+    missed = asked.join(hit, key, "left_anti")
+    wanted = missed.select(*names).distinct().withColumn("_q", F.struct(*names))
     hits = None
     for n in names:
-        one = queries.select(key, F.col(n).alias("v")).join(records.select("id", F.col(n).alias("v")), "v").select(key, "id")
+        one = wanted.select("_q", F.col(n).alias("v")).join(kinds.select("id", F.col(n).alias("v")), "v").select("_q", "id")
         hits = one if hits is None else hits.unionAll(one)
-    scored = hits.groupBy(key, "id").agg(F.count("*").alias("same"))
-    return scored.groupBy(key).agg(F.max(F.struct("same", (-F.col("id")).alias("n"))).alias("best")).select(key, (-F.col("best.n")).alias("id"), F.col("best.same").alias("same"))
+    scored = hits.groupBy("_q", "id").agg(F.count("*").alias("same"))
+    best = scored.groupBy("_q").agg(F.max(F.struct("same", (-F.col("id")).alias("n"))).alias("best"))
+    near = missed.withColumn("_q", F.struct(*names)).join(best, "_q").select(key, (-F.col("best.n")).alias("id"), F.col("best.same").alias("same"))
+    return hit.unionByName(near)

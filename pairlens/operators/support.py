@@ -14,17 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_cosine, words
-from .matchers import token_match
+from ..functions.text import count_cosine, diff_label, words
+from ..written import written
+from .matchers import Matcher, SqlMatcher, sides
 from .pairs import L, R, attributes, record_text
 
-#: What the queries with a pool and their SQL take.
-POOL, TRIANGLES, SEED = 48, 4, "7"
-#: Triangles of an explanation in the reference's scripts; records in a block, and words that are multiplied at once.
-WHOLE_TRIANGLES, BLOCK, VOCABULARY = 10, 2000, 1024
+#: Triangles of an explanation, records in a block, and words that are multiplied at once.
+TRIANGLES, BLOCK, VOCABULARY, SEED = 10, 2000, 1024, "7"
 
 
-def pool(source: DataFrame, size: int = POOL, seed: str = SEED) -> DataFrame:
+def pool(source: DataFrame, size: int, seed: str = SEED) -> DataFrame:
     return source.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))).orderBy("_h", "id").limit(size).drop("_h")
 
 
@@ -80,34 +79,61 @@ def scored_whole(asked: DataFrame, source: DataFrame, k: int | None = None, leas
     return found.withColumn("_p", F.row_number().over(by)).where(F.col("_p") <= k).drop("_p")
 
 
-def candidates(rows: DataFrame, left: DataFrame, right: DataFrame, n: int = WHOLE_TRIANGLES, size: int | None = None) -> DataFrame:
-    """For each pair and side, the 2n records of the source (or of its pool of ``size``) most like the other side (least like, if the
-    pair matches) with their decision.  Records have distinct ids.
+def candidates(rows: DataFrame, left: DataFrame, right: DataFrame, n: int = TRIANGLES, size: int | None = None, matcher: Matcher | None = None) -> DataFrame:
+    """For each pair and side, the 2n records of the source (or of a sample of ``size`` of it) most like the other side (least like, if
+    the pair matches) with their decision; only those are put to the matcher.  Records have distinct ids.
 
     side L: the candidate stands in for the left record; its attributes are ``c_<attribute>``."""
-    names = attributes(rows)
-    scored = rows.withColumn("decision", token_match([F.col(L + a) for a in names], [F.col(R + a) for a in names]))
+    names, matcher = attributes(rows), matcher or SqlMatcher()
+    asked = written(matcher.decide(rows, *sides(rows), "decision").where("decision is not null"))  # each pair is asked once
     kept = ["pair_id", "decision", *[p + a for p in (L, R) for a in ["id", *names]]]
     parts = []
     for side, source, other in (("L", left, R), ("R", right, L)):
         own = (source if size is None else pool(source, size)).select(F.col("id").alias("c_id"), *[F.col(a).alias(f"c_{a}") for a in names])
-        text = record_text(*[other + a for a in names])
-        if size is None:
-            asked = scored.withColumn("text", text).withColumn("most", F.col("decision") == 0)
-            best = scored_whole(asked.select("text", "most"), own.select("c_id", record_text(*[f"c_{a}" for a in names]).alias("c_text")), 2 * n)
-            both, score = asked.join(best, ["text", "most"]).join(own, "c_id"), F.col("score")
-        else:
-            both = scored.withColumn("_w", words(text)).crossJoin(F.broadcast(own.withColumn("_c", words(record_text(*[f"c_{a}" for a in names])))))  # at most ``size`` records
-            score = count_cosine(F.col("_w"), F.col("_c"))
-        decided = token_match([F.col(f"c_{a}") for a in names], [F.col(other + a) for a in names])
-        parts.append(both.select(F.lit(side).alias("side"), *kept, "c_id", *[f"c_{a}" for a in names], score.alias("score"), decided.alias("c_decision")))
-    found = parts[0].unionByName(parts[1])
+        texts = asked.withColumn("text", record_text(*[other + a for a in names])).withColumn("most", F.col("decision") == 0)
+        best = scored_whole(texts.select("text", "most"), own.select("c_id", record_text(*[f"c_{a}" for a in names]).alias("c_text")), 2 * n)
+        parts.append(texts.join(best, ["text", "most"]).join(own, "c_id").select(F.lit(side).alias("side"), *kept, "c_id", *[f"c_{a}" for a in names], "score"))
+    order = F.when(F.col("decision") == 0, -F.col("score")).otherwise(F.col("score"))
+    found = parts[0].unionByName(parts[1]).withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy(order, "c_id")))
+    on_left = F.col("side") == "L"
+    changed = [F.when(on_left, F.col(f"c_{a}")).otherwise(F.col(L + a)) for a in names], [F.when(on_left, F.col(R + a)).otherwise(F.col(f"c_{a}")) for a in names]
+    return matcher.decide(found, *changed, names, "c_decision")
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """Stand-ins made of the explained pair itself, for pairs with too few supports: for each side, the other side's record with one
+    attribute cut to a proper prefix or suffix, under negative ids; (pair_id, side, c_id, c_<attribute>, attribute, position, diff),
+    where diff is what the cut takes away."""
+    names = attributes(rows)
+    parts = []
+    for side, other in (("L", R), ("R", L)):
+        record = rows.select(F.col("pair_id").alias("id"), *[F.col(other + a).cast("string").alias(a) for a in names])
+        cut = subsequences(record, names)
+        whole = record.select("id", *[F.col(a).alias(f"_{a}") for a in names])
+        at = lambda prefix: F.coalesce(*[F.when(F.col("attribute") == a, F.col(prefix + a)) for a in names])
+        number = F.row_number().over(Window.partitionBy("id").orderBy("attribute", "n", "kind", at("")))
+        parts.append(cut.join(whole, "id").select(F.col("id").alias("pair_id"), F.lit(side).alias("side"), (-number).cast("long").alias("c_id"), *[F.col(a).alias(f"c_{a}") for a in names], "attribute", F.array_position(F.array(*[F.lit(a) for a in names]), F.col("attribute")).cast("int").alias("position"), diff_label(at("_"), at("")).alias("diff")))
+    return parts[0].unionByName(parts[1])
+
+
+def augmented(found: DataFrame, rows: DataFrame, n: int = TRIANGLES, matcher: Matcher | None = None) -> DataFrame:
+    """``found`` candidates with copies of the pair, for pairs of which fewer than n candidates turn the decision; as of records, the
+    2n copies most like the other side (least like, if the pair matches) are put to the matcher."""
+    names, matcher = attributes(rows), matcher or SqlMatcher()
+    turned = found.groupBy("pair_id").agg(F.max("decision").alias("decision"), F.sum((F.col("c_decision") != F.col("decision")).cast("int")).alias("_turned"))
+    short = turned.where(F.coalesce("_turned", F.lit(0)) < n).select("pair_id", "decision")
+    made = copies(rows).drop("attribute", "position", "diff").join(rows.join(short, "pair_id"), "pair_id")
+    other = F.when(F.col("side") == "L", record_text(*[R + a for a in names])).otherwise(record_text(*[L + a for a in names]))
+    made = made.withColumn("_a", words(other)).withColumn("_b", words(record_text(*[f"c_{a}" for a in names]))).withColumn("score", count_cosine(F.col("_a"), F.col("_b")))
     order = F.when(F.col("decision") == 0, -F.col("score")).otherwise(F.col("score"))
-    by = Window.partitionBy("pair_id", "side").orderBy(order, "c_id")
-    return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= 2 * n)
+    made = made.withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy(order, F.desc("c_id")))).where(F.col("place") <= 2 * n)
+    on_left = F.col("side") == "L"
+    changed = [F.when(on_left, F.col(f"c_{a}")).otherwise(F.col(L + a)) for a in names], [F.when(on_left, F.col(R + a)).otherwise(F.col(f"c_{a}")) for a in names]
+    made = matcher.decide(made, *changed, names, "c_decision").select(found.columns)
+    return found.unionByName(made)
 
 
-def balanced(found: DataFrame, n: int = WHOLE_TRIANGLES) -> DataFrame:
+def balanced(found: DataFrame, n: int = TRIANGLES) -> DataFrame:
     """The support set: candidates of the opposite decision, as many of each side (or all of one, if the other has none), in hash
     order, and of more than n the first and last n / 2."""
     turned = found.where("c_decision != decision").drop("place")

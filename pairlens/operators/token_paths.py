@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matchers import token_match
+from .matchers import Matcher, SqlMatcher
 from .pairs import L, R, attributes
 
 PATHS = 3
@@ -30,8 +30,12 @@ def spans(support: DataFrame, paths: int = PATHS) -> DataFrame:
     return rows.withColumn("step", F.when(differ, order))
 
 
-def steps(places: DataFrame, support: DataFrame) -> DataFrame:
-    """triangle_id, path, step, altered, flip: the pair after each step of each path, and whether its decision turned."""
+def steps(places: DataFrame, support: DataFrame, matcher: Matcher | None = None, features: DataFrame | None = None, early: bool = False) -> DataFrame:
+    """triangle_id, path, step, altered, flip: the pair after each step of each path, the sorted features that it has altered so far,
+    and whether its decision turned.
+
+    With ``features``(pair_id, feature), steps that alter any other token are left out, unless that leaves a triangle none.  With
+    ``early``, a pair has no steps after the first at which all of its triangles and paths have flipped."""
     names = attributes(support)
     group = F.collect_list(F.struct("attribute", "position", "was", "now", "step"))  # a record's tokens
     paths = places.groupBy("pair_id", "side", "decision", "triangle_id", "path").agg(group.alias("places"), F.max("step").alias("last")).where("last is not null")
@@ -41,13 +45,30 @@ def steps(places: DataFrame, support: DataFrame) -> DataFrame:
     prefix = F.when(F.col("side") == "L", F.lit(L)).otherwise(F.lit(R))
     changed = F.array_sort(F.transform(F.filter("places", lambda x: x["step"] <= F.col("step")), lambda x: F.concat(prefix, x["attribute"], F.lit("__"), F.coalesce(x["was"], F.lit("")))))
     pivots = support.select(F.concat_ws("|", "pair_id", "side", F.col("c_id").cast("string")).alias("triangle_id"), *[F.when(F.col("side") == "L", F.col(R + a)).otherwise(F.col(L + a)).alias(f"p_{a}") for a in names])
-    rows = at.select("pair_id", "side", "decision", "triangle_id", "path", "step", F.array_join(changed, "/").alias("altered"), *[value(a).alias(f"f_{a}") for a in names]).join(pivots, "triangle_id")
-    turned = token_match([F.col(f"f_{a}") for a in names], [F.col(f"p_{a}") for a in names]) != F.col("decision")
-    return rows.select("pair_id", "triangle_id", "path", "step", "altered", turned.cast("int").alias("flip"))
+    rows = at.select("pair_id", "side", "decision", "triangle_id", "path", "step", changed.alias("altered"), *[value(a).alias(f"f_{a}") for a in names])
+    if features is not None:
+        allowed = features.groupBy("pair_id").agg(F.collect_set("feature").alias("_allowed"))  # the tokens of one pair
+        rows = rows.join(allowed, "pair_id", "left").withColumn("_in", F.size(F.array_except("altered", F.coalesce("_allowed", F.array().cast("array<string>")))) == 0)
+        rows = rows.withColumn("_any", F.max("_in").over(Window.partitionBy("triangle_id"))).where("_in or not _any").drop("_allowed", "_in", "_any")
+    rows = rows.join(pivots, "triangle_id")
+    free, pivot, left = [F.col(f"f_{a}") for a in names], [F.col(f"p_{a}") for a in names], F.col("side") == "L"
+    pair = [F.when(left, f).otherwise(p) for f, p in zip(free, pivot, strict=True)], [F.when(left, p).otherwise(f) for f, p in zip(free, pivot, strict=True)]
+    turned = (matcher or SqlMatcher()).decide(rows, *pair, names, "_new").withColumn("flip", F.coalesce((F.col("_new") != F.col("decision")).cast("int"), F.lit(0)))
+    turned = turned.select("pair_id", "triangle_id", "path", "step", "altered", "flip")
+    if not early:
+        return turned
+    good = turned.groupBy("pair_id", "step").agg(F.min("flip").alias("_all")).where("_all = 1").groupBy("pair_id").agg(F.min("step").alias("_last"))
+    return turned.join(good, "pair_id", "left").where("_last is null or step <= _last").drop("_last")
+
+
+def token_saliency(stepped: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """pair_id, feature, saliency: flips of the altered sets with the token over all flips; pairs without flips have none.  Tokens
+    outside ``features``(pair_id, feature), where given, are left out."""
+    hits = stepped.where("flip = 1").withColumn("_all", F.count("*").over(Window.partitionBy("pair_id")))
+    out = hits.select("pair_id", "_all", F.explode("altered").alias("feature")).groupBy("pair_id", "feature", "_all").agg(F.count("*").alias("c")).select("pair_id", "feature", (F.col("c") / F.col("_all")).alias("saliency"))
+    return out if features is None else out.join(features.select("pair_id", "feature").distinct(), ["pair_id", "feature"], "left_semi")
 
 
-def token_saliency(stepped: DataFrame) -> DataFrame:
-    """pair_id, feature, saliency: flips of the altered sets with the token over all flips; pairs without flips have none."""
-    n = Window.partitionBy("pair_id")
-    hits = stepped.where("flip = 1").withColumn("_all", F.count("*").over(n))
-    return hits.select("pair_id", "_all", F.explode(F.split("altered", "/")).alias("feature")).groupBy("pair_id", "feature", "_all").agg(F.count("*").alias("c")).select("pair_id", "feature", (F.col("c") / F.col("_all")).alias("saliency"))
+def token_sufficiency(stepped: DataFrame) -> DataFrame:
+    """pair_id, altered, sufficiency: of the steps that altered just these tokens, the share that flipped."""
+    return stepped.groupBy("pair_id", "altered").agg(F.avg("flip").alias("sufficiency"))

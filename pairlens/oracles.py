@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from .functions.text import WORDS
-from .operators.support import POOL, SEED, TRIANGLES, WHOLE_TRIANGLES
-from .operators.token_paths import PATHS
-
+#: Fixed values, written out here so that the SQL does not follow what it checks: word characters, triangles, token paths.
+WORDS, TRIANGLES, PATHS = r"[\p{L}\p{N}_]+", 10, 3
 ATTRS = ["name", "brand", "type", "size"]
 _all = lambda f, sep=", ": sep.join(f(a) for a in ATTRS)
 
@@ -43,9 +41,15 @@ _on = lambda i: f"(mask & {1 << i}) <> 0"
 NAME = "concat_ws('/', " + ", ".join(f"case when {_on(i)} then case when side = 'L' then 'ltable_{a}' else 'rtable_{a}' end end" for i, a in enumerate(ATTRS)) + ")"
 
 
-def _side(side: str, pivot: str, other: str, pool: str) -> str:
-    return f"""select '{side}' as side, pair_id, decision, {SHOWN}, c.id as c_id, {_all(lambda a: f'c.{a} as c_{a}')}, {cosine(f'm.{pivot}w', 'c.w')} as score,
-        {match('c.', f'm.{other}')} as c_decision from dec m cross join {pool} c"""
+def _side(side: str, other: str, source: str, own: str, their: str) -> str:
+    return f"""select '{side}' as side, pair_id, decision, {SHOWN}, c.id as c_id, {_all(lambda a: f'c.{a} as c_{a}')}, coalesce(d.xy, 0) / sqrt(cast(c.xx * o.xx as double)) as score,
+        {match('c.', f'm.{other}')} as c_decision from dec m cross join {source} c join {'rsrc_n' if side == 'L' else 'lsrc_n'} o on o.id = m.{other}id left join dots d on d.{own} = c.id and d.{their} = m.{other}id"""
+
+
+def _cuts(side: str, other: str) -> str:
+    return " union all ".join(f"""select '{side}' as side, pair_id, decision, {SHOWN}, '{a}' as attribute, kind, n, v, {_all(lambda b: f"{'v' if b == a else other + b} as c_{b}")} from (
+        select *, case when kind = 'prefix' then array_to_string(w[1:n], ' ') else array_to_string(w[len(w) - n + 1:len(w)], ' ') end as v from (
+        select *, unnest(range(1, len(w))) as n from (select *, string_split({other}{a}, ' ') as w from dec where pair_id in (select pair_id from short))) cross join (select unnest(['prefix', 'suffix']) as kind))""" for a in ATTRS)
 
 
 CTE: dict[str, tuple[str, list[str]]] = {
@@ -58,14 +62,23 @@ CTE: dict[str, tuple[str, list[str]]] = {
     "rows_": (f"""select concat('0@', ltable_id, '#1@', rtable_id) as pair_id, label, ltable_id, {_all(lambda a: f'l.{a} as ltable_{a}')}, rtable_id, {_all(lambda a: f'r.{a} as rtable_{a}')}
         from pairs join lsrc l on l.id = ltable_id join rsrc r on r.id = rtable_id""", ["pairs"]),
     "dec": (f"select *, {match('ltable_', 'rtable_')} as decision, {words(text('ltable_'))} as ltable_w, {words(text('rtable_'))} as rtable_w from rows_", ["rows_"]),
-    "lpool": (f"select *, {words(text(''))} as w from lsrc order by md5(concat('{SEED}', id)), id limit {POOL}", ["lsrc"]),
-    "rpool": (f"select *, {words(text(''))} as w from rsrc order by md5(concat('{SEED}', id)), id limit {POOL}", ["rsrc"]),
+    "lw": (f"select id, w, count(*) as c from (select id, unnest({words(text(''))}) as w from lsrc) group by all", ["lsrc"]),
+    "rw": (f"select id, w, count(*) as c from (select id, unnest({words(text(''))}) as w from rsrc) group by all", ["rsrc"]),
+    "lsrc_n": ("select * from lsrc join (select id, sum(c * c) as xx from lw group by 1) using (id)", ["lsrc", "lw"]),
+    "rsrc_n": ("select * from rsrc join (select id, sum(c * c) as xx from rw group by 1) using (id)", ["rsrc", "rw"]),
+    "dots": ("select lw.id as lid, rw.id as rid, sum(lw.c * rw.c) as xy from lw join rw using (w) group by 1, 2", ["lw", "rw"]),
     "cand": (f"""select * from (select *, row_number() over (partition by pair_id, side order by case when decision = 0 then -score else score end, c_id) as place
-        from ({_side('L', 'rtable_', 'rtable_', 'lpool')} union all {_side('R', 'ltable_', 'ltable_', 'rpool')})) where place <= {2 * TRIANGLES}""", ["dec", "lpool", "rpool"]),
+        from ({_side('L', 'rtable_', 'lsrc_n', 'lid', 'rid')} union all {_side('R', 'ltable_', 'rsrc_n', 'rid', 'lid')})) where place <= {2 * TRIANGLES}""", ["dec", "lsrc_n", "rsrc_n", "dots"]),
+    "short": (f"select pair_id from cand group by 1 having count(*) filter (c_decision <> decision) < {TRIANGLES}", ["cand"]),
+    "copy": (f"""select side, pair_id, decision, {SHOWN}, c_id, {_all(lambda a: f'c_{a}')}, attribute, v, score, c_decision from (select *, row_number() over (partition by pair_id, side order by case when decision = 0 then -score else score end, c_id desc) as place from (
+        select *, {cosine('o_w', 'c_w')} as score, case when side = 'L' then {match('c_', 'rtable_')} else {match('ltable_', 'c_')} end as c_decision from (
+        select *, -row_number() over (partition by pair_id, side order by attribute, n, kind, v) as c_id, {words(text('c_'))} as c_w, case when side = 'L' then {words(text('rtable_'))} else {words(text('ltable_'))} end as o_w
+        from ({_cuts('L', 'rtable_')} union all {_cuts('R', 'ltable_')})))) where place <= {2 * TRIANGLES}""", ["dec", "short"]),
+    "cand_all": (f"select side, pair_id, decision, {SHOWN}, c_id, {_all(lambda a: f'c_{a}')}, score, c_decision from cand union all select side, pair_id, decision, {SHOWN}, c_id, {_all(lambda a: f'c_{a}')}, score, c_decision from copy", ["cand", "copy"]),
     "bal": (f"""select * from (select *, row_number() over (partition by pair_id order by side, rank) as ord, count(*) over (partition by pair_id) as t from (
         select *, case when count(distinct side) over (partition by pair_id) > 1 then min(n) over (partition by pair_id) else max(n) over (partition by pair_id) end as k from (
-        select *, count(*) over (partition by pair_id, side) as n, row_number() over (partition by pair_id, side order by md5(concat(side, '@', c_id)), c_id) as rank from cand where c_decision <> decision)) where rank <= k)
-        where ord <= {TRIANGLES // 2} or ord > t - {TRIANGLES // 2} or t <= {TRIANGLES}""", ["cand"]),
+        select *, count(*) over (partition by pair_id, side) as n, row_number() over (partition by pair_id, side order by md5(concat(side, '@', c_id)), c_id) as rank from cand_all where c_decision <> decision)) where rank <= k)
+        where ord <= {TRIANGLES // 2} or ord > t - {TRIANGLES // 2} or t <= {TRIANGLES}""", ["cand_all"]),
     "pert": (f"""select pair_id, {TID} as triangle_id, side, decision, mask,
         {', '.join(f"case when side = 'L' and {_on(i)} then c_{a} else ltable_{a} end as ltable_{a}" for i, a in enumerate(ATTRS))},
         {', '.join(f"case when side = 'R' and {_on(i)} then c_{a} else rtable_{a} end as rtable_{a}" for i, a in enumerate(ATTRS))},
@@ -88,11 +101,11 @@ CTE: dict[str, tuple[str, list[str]]] = {
         select *, unnest(range(greatest(len(f), len(s)))) as p from (""" + " union all ".join(f"select pair_id, side, decision, {TID} as triangle_id, '{a}' as attribute, string_split({FREE(a)}, ' ') as f, string_split(c_{a}, ' ') as s from bal" for a in ATTRS) + "))))", ["bal"]),
     "steps": (f"""select v.pair_id, v.triangle_id, v.path, v.step, altered, cast({match('v.f_', 'p.p_')} <> v.decision as int) as flip from (
         select s.pair_id, s.decision, s.triangle_id, s.path, n.step, {', '.join(f"coalesce(string_agg(case when attribute = '{a}' then case when s.step <= n.step then now else was end end, ' ' order by position), '') as f_{a}" for a in ATTRS)},
-        string_agg(case when s.step <= n.step then concat(case when side = 'L' then 'ltable_' else 'rtable_' end, attribute, '__', coalesce(was, '')) end, '/' order by concat(case when side = 'L' then 'ltable_' else 'rtable_' end, attribute, '__', coalesce(was, ''))) as altered
+        list_sort(list(concat(case when side = 'L' then 'ltable_' else 'rtable_' end, attribute, '__', coalesce(was, ''))) filter (s.step <= n.step)) as altered
         from spans s join (select triangle_id, path, unnest(range(1, max(step) + 1)) as step from spans where step is not null group by 1, 2) n on s.triangle_id = n.triangle_id and s.path = n.path
         group by s.pair_id, s.decision, s.triangle_id, s.path, n.step) v
         join (select {TID} as triangle_id, {_all(lambda a: f'{PIVOT(a)} as p_{a}')} from bal) p on v.triangle_id = p.triangle_id""", ["spans", "bal"]),
-    "tsal": ("""select pair_id, feature, count(*) / f_all as saliency from (select pair_id, f_all, unnest(string_split(altered, '/')) as feature from (select *, count(*) over (partition by pair_id) as f_all from steps where flip = 1)) group by pair_id, feature, f_all""", ["steps"]),
+    "tsal": ("""select pair_id, feature, count(*) / f_all as saliency from (select pair_id, f_all, unnest(altered) as feature from (select *, count(*) over (partition by pair_id) as f_all from steps where flip = 1)) group by pair_id, feature, f_all""", ["steps"]),
     "draws": ("select pair_id, d as draw, feature, ((ascii(md5(concat(d, feature, pair_id))[1:1]) % 7) - 1) / 5.0 as score from sal cross join (select unnest(range(3)) as d)", ["sal"]),
     "top3": ("select * from (select *, row_number() over (partition by pair_id, draw order by score desc, feature) as place from draws where score > 0) where place <= 3", ["draws"]),
     "ranked_a": ("select pair_id, list(feature order by saliency desc, feature) as a from sal group by 1", ["sal"]),
@@ -147,7 +160,7 @@ ORACLES: dict[str, str] = {
         list_sum(list_transform(list_distinct(y), lambda t: power(len(list_filter(y, lambda u: u = t)) * case when list_contains(x, t) then 1.0 else ln(1.5) + 1 end, 2))) as yy
         from (select pair_id, string_split(lower(ltable_name), ' ') as x, string_split(lower(rtable_name), ' ') as y from rows_))""", "rows_"),
     "similarity_thresholds": sql(f"select label, round(avg(s), 6) as mean, round(stddev_samp(s), 6) as std, count(*) as n from (select label, {cosine('ltable_w', 'rtable_w')} as s from dec) group by 1", "dec"),
-    "threshold_candidates": sql(f"select m.ltable_id, c.id as rtable_id, round({cosine('m.ltable_w', 'c.w')}, 6) as score from dec m cross join rpool c where m.label = 1 and {cosine('m.ltable_w', 'c.w')} >= 0.6", "dec", "rpool"),
+    "threshold_candidates": sql("select m.ltable_id, c.id as rtable_id, round(d.xy / sqrt(cast(o.xx * c.xx as double)), 6) as score from dec m join lsrc_n o on o.id = m.ltable_id join dots d on d.lid = m.ltable_id join rsrc_n c on c.id = d.rid where m.label = 1 and d.xy / sqrt(cast(o.xx * c.xx as double)) >= 0.6", "dec", "lsrc_n", "rsrc_n", "dots"),
     "candidate_topk": sql("select pair_id, side, c_id, place, round(score, 6) as score, c_decision from cand", "cand"),
     "match_scores": sql("select pair_id, label, cast(decision as double) as match_score, 1.0 - decision as nomatch_score from dec", "dec"),
     "match_f1": sql("select tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 6) as f1 from (select count(*) filter (label = 1 and decision = 1) as tp, count(*) filter (label = 0 and decision = 1) as fp, count(*) filter (label = 1 and decision = 0) as fn from dec)", "dec"),
@@ -166,9 +179,10 @@ ORACLES: dict[str, str] = {
     "counterfactuals": sql("select pair_id, side, mask, dropped, copied, triangle_id, attr_count, place from cf", "cf"),
     "monotone_levels": sql("select triangle_id, min(case when a = 1 then level end) as level from (select triangle_id, bit_count(mask) as level, min(flip) as a from flip_ group by 1, 2) group by 1", "flip_"),
     "lattice_edges": "select a.n as below, b.n as above from (select unnest(range(16)) as n) a join (select unnest(range(16)) as n) b on bit_count(b.n) - bit_count(a.n) = 1 and (a.n & b.n) = a.n",
-    "triangle_properties": sql(f"""select triangle_id, cast({match('f_', 'f_')} + {match('p_', 'p_')} + {match('c_', 'c_')} = 3 as int) as identity, 1 as symmetry,
+    "triangle_properties": sql(f"""select triangle_id, cast({match('f_', 'f_')} + {match('p_', 'p_')} + {match('c_', 'c_')} = 3 as int) as identity,
+        cast({match('f_', 'p_')} = {match('p_', 'f_')} and {match('p_', 'c_')} = {match('c_', 'p_')} and {match('f_', 'c_')} = {match('c_', 'f_')} as int) as symmetry,
         cast({match('f_', 'p_')} + {match('p_', 'c_')} + {match('f_', 'c_')} in (0, 1, 3) as int) as transitivity from (select {TID} as triangle_id, {_all(lambda a: f'{FREE(a)} as f_{a}, {PIVOT(a)} as p_{a}, c_{a}')} from bal)""", "bal"),
-    "token_paths": sql("select triangle_id, path, step, altered, flip from steps", "steps"),
+    "token_paths": sql("select triangle_id, path, step, array_to_string(altered, '/') as altered, flip from steps", "steps"),
     "token_saliency": sql("select pair_id, feature, round(saliency, 6) as saliency from tsal", "tsal"),
     "hybrid_freq": sql("select pair_id, feature, place from (select pair_id, feature, row_number() over (partition by pair_id order by times desc, feature) as place from (select pair_id, feature, count(*) as times from top3 group by 1, 2)) where place <= 3", "top3"),
     "hybrid_union": sql("select pair_id, feature, row_number() over (partition by pair_id order by first) as place from (select pair_id, feature, min(draw * 100 + place) as first from top3 group by 1, 2)", "top3"),
@@ -198,23 +212,4 @@ ORACLES: dict[str, str] = {
     "pandas_matcher": sql("select pair_id, cast(decision as double) as match_score, 'ok' as status from dec", "dec"),
 }
 
-#: The same SQL without the pool, with as many triangles as the reference's scripts take; the entries above stay as they are.
-_n = WHOLE_TRIANGLES
-_CAND = f"""select * from (select *, row_number() over (partition by pair_id, side order by case when decision = 0 then -score else score end, c_id) as place
-        from ({_side('L', 'rtable_', 'rtable_', 'lall')} union all {_side('R', 'ltable_', 'ltable_', 'rall')})) where place <= {2 * _n}"""
-CTE |= {
-    "lall": (f"select *, {words(text(''))} as w from lsrc", ["lsrc"]),
-    "rall": (f"select *, {words(text(''))} as w from rsrc", ["rsrc"]),
-    "cand_w": (_CAND, ["dec", "lall", "rall"]),
-    "bal_w": (CTE["bal"][0].replace("from cand ", "from cand_w ").replace(f"ord <= {TRIANGLES // 2} or ord > t - {TRIANGLES // 2} or t <= {TRIANGLES}", f"ord <= {_n // 2} or ord > t - {_n // 2} or t <= {_n}"), ["cand_w"]),
-    "pert_w": (CTE["pert"][0].replace("from bal ", "from bal_w "), ["bal_w"]),
-    "flip_w": (CTE["flip_"][0].replace("from pert", "from pert_w"), ["pert_w"]),
-    "ranks_w": (CTE["ranks"][0].replace("from flip_ ", "from flip_w "), ["flip_w"]),
-    "sal_w": (CTE["sal"][0].replace("from ranks ", "from ranks_w "), ["ranks_w"]),
-}
-ORACLES |= {
-    "threshold_candidates_whole": sql(f"select m.ltable_id, c.id as rtable_id, round({cosine('m.ltable_w', 'c.w')}, 6) as score from dec m cross join rall c where m.label = 1 and {cosine('m.ltable_w', 'c.w')} >= 0.6", "dec", "rall"),
-    "candidate_topk_whole": sql("select pair_id, side, c_id, place, round(score, 6) as score, c_decision from cand_w", "cand_w"),
-    "support_set_whole": sql("select pair_id, side, c_id, ord, decision from bal_w", "bal_w"),
-    "attr_saliency_whole": sql("select pair_id, feature, round(saliency, 6) as saliency from sal_w", "sal_w"),
-}
+ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("threshold_candidates", "candidate_topk", "support_set", "attr_saliency")}

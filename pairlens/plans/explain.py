@@ -1,35 +1,42 @@
-"""Post-hoc explanation of all pairs in one plan."""
+"""Post-hoc explanation of all pairs in one plan, by any matcher."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..operators import lattice, support, token_paths
-from ..operators.pairs import attributes, merge
+from ..operators.matchers import Matcher, SqlMatcher
+from ..operators.pairs import L, R, attributes, merge, token_features
+from ..written import written
 
 
 @dataclass
 class Explanation:
-    """Lazy tables; each is computed from ``support`` down when asked for.  ``persist`` keeps what they share."""
+    """Tables of all pairs, computed when asked for.  Supports and flips, which the others share and which cost a matcher's answers,
+    are written once to the shared folder."""
 
     rows: DataFrame
-    support: DataFrame
+    found: DataFrame
     names: list[str]
     vary: list[str] | None = None
+    matcher: Matcher = field(default_factory=SqlMatcher)
+    features: DataFrame | None = None
 
-    def persist(self) -> Explanation:
-        self.support = self.support.persist()
-        return self
+    @cached_property
+    def support(self) -> DataFrame:
+        return written(self.found)
 
     @property
     def triangles(self) -> DataFrame:
         return support.triangles(self.support)
 
-    @property
+    @cached_property
     def flips(self) -> DataFrame:
-        return lattice.flips(lattice.perturbed(self.support, self.vary))
+        return written(lattice.flips(lattice.perturbed(self.support, self.vary), self.matcher))
 
     @property
     def ranking(self) -> DataFrame:
@@ -51,17 +58,63 @@ class Explanation:
     def counterfactuals(self) -> DataFrame:
         return lattice.counterfactuals(self.flips, self.summary)
 
-    @property
+    @cached_property
     def token_steps(self) -> DataFrame:
-        return token_paths.steps(token_paths.spans(self.support), self.support)
+        return written(token_paths.steps(token_paths.spans(self.support), self.support, self.matcher, self.features))
 
     @property
     def token_saliency(self) -> DataFrame:
-        return token_paths.token_saliency(self.token_steps)
+        return token_paths.token_saliency(self.token_steps, self.features)
 
+    @property
+    def token_sufficiency(self) -> DataFrame:
+        return token_paths.token_sufficiency(self.token_steps)
 
-def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = support.WHOLE_TRIANGLES, pool: int | None = None, vary: list[str] | None = None) -> Explanation:
-    """Explains every pair of ``pairs``(ltable_id, rtable_id, label); sources stay as they are.  Supports come from the whole sources,
-    or from a pool of each."""
+    @property
+    def properties(self) -> DataFrame:
+        return lattice.triangle_properties(self.support, self.matcher)
+
+    def two_step(self, k: int = 2, by: str = "saliency") -> Explanation:
+        """The same supports, explained by the tokens of the attributes that matter most: the k of each side by saliency, or all that
+        the summary of sufficient subsets names (``by="sufficiency"``)."""
+        if by == "saliency":
+            place = F.row_number().over(Window.partitionBy("pair_id", F.substring("feature", 1, 1)).orderBy(F.desc("saliency"), "feature"))
+            chosen = self.saliency.withColumn("_p", place).where(F.col("_p") <= k).select("pair_id", F.col("feature").alias("attribute"))
+        else:
+            named = self.summary.select("pair_id", F.explode(F.split(lattice.subset_name(F.col("side"), F.col("mask"), self.vary or self.names), "/")).alias("attribute"))
+            chosen = named.distinct()
+        tokens = token_features(self.rows).join(chosen, ["pair_id", "attribute"]).select("pair_id", "feature").distinct()
+        out = Explanation(self.rows, self.found, self.names, self.vary, self.matcher, tokens)
+        out.support = self.support
+        return out
+
+
+def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = support.TRIANGLES, sample: int | None = None, vary: list[str] | None = None, matcher: Matcher | None = None, augment: str = "on_demand", features: DataFrame | None = None) -> Explanation:
+    """Explains what ``matcher`` decides of every pair of ``pairs``(ltable_id, rtable_id, label); sources stay as they are.
+
+    Supports come from the whole sources, or from a sample of each.  ``augment``: ``on_demand`` adds cut copies of a pair's own records
+    where supports are too few, ``always`` adds cut copies of all records to the sources, ``no`` does neither.  ``vary`` names the
+    attributes of lattices, ``features``(pair_id, feature) the tokens of token paths."""
+    matcher = matcher or SqlMatcher()
+    if augment not in ("no", "on_demand", "always"):
+        raise ValueError(f"augment is no, on_demand or always, not {augment}")
     rows = merge(pairs, left, right)
-    return Explanation(rows, support.balanced(support.candidates(rows, left, right, n, pool), n), attributes(rows), vary)
+    names = attributes(rows)
+    if augment == "always":
+        left, right = (with_cuts(s, names) for s in (left, right))
+    found = support.candidates(rows, left, right, n, sample, matcher)
+    if augment == "on_demand":
+        found = support.augmented(written(found), rows, n, matcher)
+    return Explanation(rows, support.balanced(found, n), names, vary, matcher, features)
+
+
+def with_cuts(source: DataFrame, names: list[str]) -> DataFrame:
+    """A source with the cut copies of its records, under negative ids made of the record's id and the cut."""
+    kept = source.select("id", *names)
+    cut = support.subsequences(kept, names)
+    number = -F.abs(F.xxhash64("id", "attribute", "kind", "n") % F.lit(1 << 62)) - 1
+    return kept.withColumn("id", F.col("id").cast("long")).unionByName(cut.withColumn("id", number).select("id", *names))
+
+
+def sides_of(e: Explanation) -> list[str]:
+    return [p + a for p in (L, R) for a in e.names]

@@ -59,11 +59,6 @@ def decided(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explained(spark: SparkSession, d: str) -> Explanation:
-    """With the pool and the number of triangles that the SQL of these queries has."""
-    return explain(pair_list(spark, d), *sources(spark, d), support.TRIANGLES, support.POOL)
-
-
-def explained_whole(spark: SparkSession, d: str) -> Explanation:
     return explain(pair_list(spark, d), *sources(spark, d))
 
 
@@ -162,19 +157,6 @@ def similarity_thresholds(spark, d):
 
 @query
 def threshold_candidates(spark, d):
-    c = support.pool(sources(spark, d)[1]).select(F.col("id").alias("c_id"), *[F.col(a).alias(f"c_{a}") for a in NAMES])
-    both = rows_of(spark, d).where("label = 1").crossJoin(F.broadcast(c))  # a pool of fixed size
-    return cos(L, "c_", both).where("cos >= 0.6").select(f"{L}id", F.col("c_id").alias(f"{R}id"), r6("cos").alias("score"))
-
-
-@query
-def candidate_topk(spark, d):
-    left, right = sources(spark, d)
-    return support.candidates(rows_of(spark, d), left, right, support.TRIANGLES, support.POOL).select("pair_id", "side", "c_id", "place", r6("score").alias("score"), "c_decision")
-
-
-@query
-def threshold_candidates_whole(spark, d):
     text = lambda p: pairs.record_text(*[p + a for a in NAMES])
     asked = rows_of(spark, d).where("label = 1").withColumn("text", text(L))
     found = support.scored_whole(asked.select("text", F.lit(True).alias("most")), sources(spark, d)[1].select(F.col("id").alias("c_id"), text("").alias("c_text")), least=0.6)
@@ -182,7 +164,7 @@ def threshold_candidates_whole(spark, d):
 
 
 @query
-def candidate_topk_whole(spark, d):
+def candidate_topk(spark, d):
     left, right = sources(spark, d)
     return support.candidates(rows_of(spark, d), left, right).select("pair_id", "side", "c_id", "place", r6("score").alias("score"), "c_decision")
 
@@ -218,11 +200,6 @@ def support_set(spark, d):
     return explained(spark, d).support.select("pair_id", "side", "c_id", "ord", "decision")
 
 
-@query
-def support_set_whole(spark, d):
-    return explained_whole(spark, d).support.select("pair_id", "side", "c_id", "ord", "decision")
-
-
 @query
 def subsequence_augment(spark, d):
     return support.subsequences(records(spark, d), NAMES)
@@ -258,11 +235,6 @@ def attr_saliency(spark, d):
     return explained(spark, d).saliency.withColumn("saliency", r6("saliency"))
 
 
-@query
-def attr_saliency_whole(spark, d):
-    return explained_whole(spark, d).saliency.withColumn("saliency", r6("saliency"))
-
-
 @query
 def cf_summary(spark, d):
     return explained(spark, d).summary.select("pair_id", lattice.subset_name(F.col("side"), F.col("mask"), NAMES).alias("subset"), r6("sufficiency").alias("sufficiency"))
@@ -285,12 +257,12 @@ def lattice_edges(spark, d):
 
 @query
 def triangle_properties(spark, d):
-    return lattice.triangle_properties(explained(spark, d).support)
+    return explained(spark, d).properties
 
 
 @query
 def token_paths_(spark, d):
-    return explained(spark, d).token_steps.select("triangle_id", "path", "step", "altered", "flip")
+    return explained(spark, d).token_steps.select("triangle_id", "path", "step", F.array_join("altered", "/").alias("altered"), "flip")
 
 
 QUERIES["token_paths"] = QUERIES.pop("token_paths_")
@@ -459,3 +431,7 @@ def pandas_matcher(spark, d):
 def noisy_sources(spark, d):
     left, right, truth = generate.sources(spark, 300, 8, 150, 200)
     return pairs.merge(truth, left, right)
+
+
+#: Names that these queries once had beside others over a sample of the sources.
+QUERIES |= {f"{name}_whole": QUERIES[name] for name in ("threshold_candidates", "candidate_topk", "support_set", "attr_saliency")}
