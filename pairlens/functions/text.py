@@ -57,11 +57,12 @@ def anchor_distance(x: Column, a: Column, b: Column) -> Column:
 
 
 def change_cosine(original: Column, one: Column, two: Column) -> Column:
-    """Cosine of the smooth tf-idf of what two changed texts have changed: the characters that one of text and original has and the
-    other has not."""
-    letters = lambda t: F.array_distinct(F.split(F.lower(t), ""))
-    changed = lambda t: F.filter(symmetric_difference(letters(original), letters(t)), lambda x: x.rlike(WORDS))
-    return tfidf_cosine(changed(one), changed(two))
+    """Cosine of the smooth tf-idf of what two texts change in a third: the characters that only one of text and original has, in lower
+    case.  One half if neither changes any."""
+    letters = lambda t: F.array_distinct(F.split(t, ""))
+    changed = lambda t: F.filter(F.transform(symmetric_difference(letters(original), letters(t)), F.lower), lambda x: x.rlike(WORDS))
+    a, b = changed(one), changed(two)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(0.5)).otherwise(tfidf_cosine(a, b))
 
 
 def long_text_cosine(pairs: DataFrame, key: str, a: str, b: str, lower: bool = False) -> DataFrame:

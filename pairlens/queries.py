@@ -429,7 +429,7 @@ def pandas_matcher(spark, d):
 
 @query
 def noisy_sources(spark, d):
-    left, right, truth = generate.sources(spark, 300, 8, 150, 200)
+    left, right, truth = generate.sources(spark, 150, 105, 150, 200)
     return pairs.merge(truth, left, right)
 
 
