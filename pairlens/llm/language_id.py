@@ -33,13 +33,16 @@ START, END = 0, 1
 #: Calibration: a text is rejected beyond SLACK times the distance that all but TAIL of the calibration documents keep, and in any
 #: case only SURE nats a character above the mean.
 TAIL, SLACK, SURE = 0.002, 2.0, 0.6
-#: What counts as alphanumeric but is neither a letter (category L) nor a decimal digit: fractions, superscripts, circled numbers.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters (category L).  The pattern also takes numerals that are no decimal digits, as in ½ or ②: rare words with one
+    are cut at it."""
+    words = _WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def keys5(pieces) -> tuple[np.ndarray, np.ndarray]:
