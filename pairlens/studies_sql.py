@@ -62,7 +62,7 @@ CTE |= {
         select id, sum(least(x, y)) as mass, list(feature order by px) as nx, list(feature order by py) as ny, case when var_pop(x) * var_pop(y) * 8 * 8 * 8 * 8 > 1e-15 then covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) end as pearson,
         case when var_pop(rx) * var_pop(ry) > 1e-15 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end as spearman, sum((case when greatest(px, py) <= 2 then 1 / 2 else 0 end + case when greatest(px, py) <= 4 then 1 / 4 else 0 end + case when greatest(px, py) <= 6 then 1 / 6 else 0 end) / 3) as overlap,
         sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0) as cosine, least(sum(x), sum(y)) > 0 as has_any from (select *, avg(px) over (partition by id, x) as rx, avg(py) over (partition by id, y) as ry from placed) group by 1)""", ["placed"]),
-    "cfal": (f"""select pair_id as id, b / len(y) as coverage, b / len(ta) as prec, 2.0 * b / (len(ta) + len(y)) as f1, b / (len(ta) + len(y) - b) as jaccard, {_ndcg.format('top', 'y')} as ndcg, len(y) / 8 as attr_sparsity, len(t) / len(string_split(own, ' ')) as tok_sparsity,
+    "cfal": (f"""select pair_id as id, b / len(y) as coverage, coalesce(b / nullif(len(ta), 0), 0) as prec, 2.0 * b / (len(ta) + len(y)) as f1, b / (len(ta) + len(y) - b) as jaccard, {_ndcg.format('top', 'y')} as ndcg, len(y) / 8 as attr_sparsity, len(t) / len(string_split(own, ' ')) as tok_sparsity,
         len(t) / len(string_split(own, ' ')) / (len(y) / 8 + 1e-10) as ger, case when len(p) = 0 and len(q) = 0 then 0.5 else {tfidf('p', 'q')} end as cf_similarity from (
         select *, list_transform(list_sort(list_transform(ta, lambda z: {{'n': -len(list_filter(t, lambda u: split_part(u, '__', 1) = z)), 'a': z}})), lambda z: z.a)[1:3] as top, len(list_intersect(ta, y)) as b from (
         select *, list_distinct(list_transform(t, lambda u: split_part(u, '__', 1))) as ta, {_chars('own', 'mine')} as p, {_chars('own', 'theirs')} as q from (
@@ -97,7 +97,7 @@ def two_step(pick: str) -> str:
         semi join {pick} using (pair_id, feature) group by pair_id, feature, f_all"""
 
 
-_r = lambda names, n=6: ", ".join(f"round({c}, {n}) as {c}" for c in names.split())
+_r = lambda names, n=6: ", ".join(f"round({c}, {n}) + 0 as {c}" for c in names.split())  # noqa: E731  (+ 0: no minus zero)
 _avg = lambda names: ", ".join(f"avg({c}) as avg_{c}" for c in names.split())
 _CONS, _CFAL = "mass tau pearson spearman overlap cosine", "coverage prec f1 jaccard ndcg attr_sparsity tok_sparsity ger cf_similarity"
 ORACLES: dict[str, str] = {
