@@ -5,6 +5,9 @@ its variants within r = radius / 2 bits; those that meet in a variant are linked
 of each other, so each is linked to the least of them (no pairs within the group), and a variant has at most 65 different fingerprints
 (r = 1).  Links are deduplicated, verified by their bit distance, and joined up to components.
 
+``representatives`` links by any of several fingerprints of a text, each by a hash function of its own: near copies that one of them
+puts further apart than the radius may still meet in another.
+
 Defined cases: null and empty texts, and texts of white space, have fingerprint zero, which is linked like any other; texts of fewer
 words than a shingle hash their whole word sequence; equal fingerprints are always linked; repeated rows stay rows; documents of null
 id get a fingerprint but never give a component its name unless all ids in it are null; an empty table gives no rows.
@@ -26,36 +29,58 @@ from .common import durable, row_hashes, small_batches, spread_join, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: For ``representatives``: words of a shingle, and fingerprints of a text.
+NEAR_SHINGLE, TABLES = 5, 4
+#: Odd multipliers that mix 64 bits well.
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def simhash(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint, unsigned: a bit is set if it is set in over half of the shingles' hashes."""
+def prints(text: str | None, k: int = SHINGLE, seed: int = SEED, tables: int = 1) -> list[int]:
+    """Fingerprints, unsigned, by as many hash functions: a bit is set if it is set in over half of the shingles' hashes.  The first
+    function is XXH64, the others mix its values anew."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return [0] * tables
     line = b" ".join(words)
-    if len(words) <= k:
-        return xxhash.xxh64_intdigest(line, seed)
     ends = np.cumsum([len(w) + 1 for w in words])
+    k = min(k, len(words))
     starts = np.concatenate(([0], ends[:-k])).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(line[a:b], seed) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    set_in = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 8192):
-        set_in += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(_BITS[set_in * 2 > len(h)].sum(dtype=np.uint64))
+    out = []
+    for table in range(tables):
+        set_in = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), 8192):
+            set_in += np.unpackbits(_mixed(h[at : at + 8192], table).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(_BITS[set_in * 2 > len(h)].sum(dtype=np.uint64)))
+    return out
+
 
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """The hash function of this number: each bit of its values depends on all bits of ``h`` (multiply and shift, twice)."""
+    if not table:
+        return h
+    x = h + np.uint64(table * int(_ODD[0]) % (1 << 64))
+    for odd, shift in zip(_ODD[1:], (np.uint64(30), np.uint64(27)), strict=True):
+        x = (x ^ (x >> shift)) * odd
+    return x ^ (x >> np.uint64(31))
+
+
+def simhash(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
+    """The first of ``prints``."""
+    return prints(text, k, seed)[0]
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carried columns, fp): fp as a signed long."""
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, carried: tuple[str, ...] = (), tables: int = 1) -> DataFrame:
+    """(key, carried columns, fps): an array of ``tables`` fingerprints as signed longs."""
     small_batches(docs.sparkSession)
     kept = [key, *carried]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("fps", T.ArrayType(T.LongType()))])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf[kept].assign(fp=np.array([simhash(t, k) for t in pdf[text]], dtype=np.uint64).view(np.int64))
+            yield pdf[kept].assign(fps=[np.array(prints(t, k, SEED, tables), dtype=np.uint64).view(np.int64) for t in pdf[text]])
 
     return docs.select(*kept, text).mapInPandas(batches, schema)
 
@@ -66,22 +91,38 @@ def masks(half: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct ``fp`` values to verified links (a, b), a < b, that connect all fingerprints within the radius."""
+def links(fps: DataFrame, radius: int = RADIUS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct ``fp`` values to verified links (a, b), a < b, that connect all fingerprints within the radius; with ``by``, of rows
+    alike in those columns, which come first."""
     if radius % 2 or not 0 < radius <= 4:
         raise ValueError("radius must be 2 or 4: an even number of bits has a middle")
     flips = F.array(*[F.lit(m).cast("long") for m in masks(radius // 2)])
-    variants = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
+    variants = fps.select(*by, "fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    met = variants.groupBy(*by, "variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    pairs = met.select(*by, F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def clusters(per_fp: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fingerprints (fp, least, n) to (fp, n, name): the smallest ``least`` of each component."""
+def links_in_any(every: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct arrays ``fps`` to links (a, b) between the first fingerprints of arrays, that connect all arrays of which any two
+    fingerprints of one place are within the radius."""
+    placed = durable(every.select(F.col("fps")[0].alias("node"), F.posexplode("fps").alias("t", "fp")).distinct())
+    groups = durable(placed.groupBy("t", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    alike = spread_join(placed, groups, ["t", "fp"], "n").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a != b")
+    near = links(_spread(groups.select("t", "fp"), "t", "fp"), radius, ("t",))
+    name = lambda side: groups.select("t", F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
+    met = near.join(name("a"), ["t", "a"]).join(name("b"), ["t", "b"]).select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return alike.unionByName(met)
+
+
+def _spread(written: DataFrame, *on: str) -> DataFrame:
     # a set number of partitions of a written table, as each row becomes 65 and few won't do
-    parts = int(per_fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = components(links(per_fp.select("fp").repartition(parts, "fp"), radius))
+    return written.repartition(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+
+
+def clusters(per_fp: DataFrame, linked: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp, least, n) and links (a, b) of them to (fp, n, name): the smallest ``least`` of each component."""
+    groups = components(linked)
     rooted = durable(per_fp.join(groups, per_fp["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root")))
     names = durable(rooted.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("fps")))
     return spread_join(rooted, names, "root", "fps").select("fp", "n", "name")
@@ -89,24 +130,25 @@ def clusters(per_fp: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
-    of_doc = durable(fingerprints(docs, key, text, k))
+    of_doc = durable(fingerprints(docs, key, text, k).select(key, F.col("fps")[0].alias("fp")))
     per_fp = durable(of_doc.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))  # copies end here
-    named = durable(clusters(per_fp, radius))
+    named = durable(clusters(per_fp, links(_spread(per_fp.select("fp"), "fp"), radius)))
     return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES) -> DataFrame:
     """``docs`` with one row of each component: that of the least key, null keys last, then by a hash of the whole row.  Rows are told
     apart by that hash, not by the key, so rows of null or repeated keys are groups' members like any other; of rows that are equal
-    in all columns one stays."""
+    in all columns one stays.  Rows are linked if any of ``tables`` fingerprints, by hash functions of their own, are within the radius:
+    more of them catch more of the near copies at the same radius."""
     a, b = unused(docs, "row_a"), unused(docs, "row_b")
     one, two = row_hashes(docs)
     rows = docs.withColumns({a: one, b: two})
-    of_row = durable(fingerprints(rows, key, text, k, (a, b)))
-    per_row = durable(of_row.groupBy(a, b).agg(F.min(key).alias("key"), F.min("fp").alias("fp"), F.count("*").alias("copies")))
+    of_row = durable(fingerprints(rows, key, text, k, (a, b), tables))
+    per_row = durable(of_row.groupBy(a, b).agg(F.min(key).alias("key"), F.min("fps").alias("fps"), F.count("*").alias("copies")))
     first = F.struct(F.col("key").isNull().alias("none"), "key", a, b)
-    per_fp = durable(per_row.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")))
-    chosen = clusters(per_fp, radius).select(f"name.{a}", f"name.{b}").distinct()
+    per_fp = durable(per_row.groupBy(F.col("fps")[0].alias("fp")).agg(F.min(first).alias("least"), F.count("*").alias("n")))
+    chosen = clusters(per_fp, links_in_any(per_row.select("fps").distinct(), radius)).select(f"name.{a}", f"name.{b}").distinct()
     # rows that repeat over 1/1000 of the table, fewer than 1000 of them, go round the shuffle
     hot = F.broadcast(per_row.where(F.col("copies") > (per_row.agg(F.sum("copies")).first()[0] or 0) / 1000).select(a, b))
     chosen = durable(chosen)

@@ -307,10 +307,33 @@ def test_simhash_matches_brute_force(spark, docs):
     got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in rows(simhash.near_duplicates(df))}
     assert got == {i: (fps[i], want[i]) for i in fps}
     assert len(set(want.values())) < len(want)
-    kept = {r["doc_id"] for r in rows(simhash.representatives(df))}
+    kept = {r["doc_id"] for r in rows(simhash.representatives(df, k=3, tables=1))}
     assert kept == set(want.values())
 
 
+def test_representatives_match_brute_force(spark, docs):
+    base = [r.asDict() for r in docs.select("doc_id", "text").collect()]
+    words = base[0]["text"].split()
+    more = [{"doc_id": 10_000 + i, "text": " ".join(words[:i] + ["new"] + words[i:])} for i in range(40)]
+    every = {r["doc_id"]: simhash.prints(r["text"], 5, 42, 4) for r in base + more}
+    assert all(p[0] == brute_simhash(r["text"], 5) for r in base for p in [every[r["doc_id"]]])
+    root = {i: i for i in every}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(every), 2):
+        if any((x ^ y).bit_count() <= 2 for x, y in zip(every[a], every[b], strict=True)):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    kept = {r["doc_id"] for r in rows(simhash.representatives(spark.createDataFrame(base + more, "doc_id long, text string")))}
+    assert kept == {find(i) for i in every}
+    alone = brute_components({i: p[0] for i, p in every.items()})
+    assert len(kept) < len(set(alone.values()))
+
+
 def test_simhash_odd_rows(spark, odd, none):
     out = rows(simhash.near_duplicates(odd))
     assert len(out) == len(ODD)
