@@ -5,8 +5,9 @@ its variants within r = radius / 2 bits; those that meet in a variant are linked
 of each other, so each is linked to the least of them (no pairs within the group), and a variant has at most 65 different fingerprints
 (r = 1).  Links are deduplicated, verified by their bit distance, and joined up to components.
 
-``representatives`` links by any of several fingerprints of a text, each by a hash function of its own: near copies that one of them
-puts further apart than the radius may still meet in another.
+``representatives`` looks for a similarity of five-word shingles, at which some ten of 64 bits differ: too many for a ball of variants.
+So a text gets several fingerprints, each by a hash function of its own, and each is cut in halves of 32 bits.  Texts meet if any half
+is within the radius, and are linked if all their bits together differ no more than those of texts of that similarity do.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint zero, which is linked like any other; texts of fewer
 words than a shingle hash their whole word sequence; equal fingerprints are always linked; repeated rows stay rows; documents of null
@@ -15,6 +16,7 @@ id get a fingerprint but never give a component its name unless all ids in it ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,8 +31,8 @@ from .common import durable, row_hashes, small_batches, spread_join, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: For ``representatives``: words of a shingle, and fingerprints of a text.
-NEAR_SHINGLE, TABLES = 5, 4
+#: For ``representatives``: words of a shingle, fingerprints of a text, the similarity (Jaccard share of shingles) and the bits of a half.
+NEAR_SHINGLE, TABLES, SIMILARITY, HALF = 5, 8, 0.8, 32
 #: Odd multipliers that mix 64 bits well.
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -48,13 +50,11 @@ def prints(text: str | None, k: int = SHINGLE, seed: int = SEED, tables: int = 1
     starts = np.concatenate(([0], ends[:-k])).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(line[a:b], seed) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    out = []
-    for table in range(tables):
-        set_in = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 8192):
-            set_in += np.unpackbits(_mixed(h[at : at + 8192], table).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(_BITS[set_in * 2 > len(h)].sum(dtype=np.uint64)))
-    return out
+    set_in = np.zeros(64 * tables, dtype=np.int64)
+    for at in range(0, len(h), 255):  # as many as a byte can count
+        part = np.stack([_mixed(h[at : at + 255], table) for table in range(tables)], axis=1)
+        set_in += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return [int(_BITS[most].sum(dtype=np.uint64)) for most in (set_in * 2 > len(h)).reshape(tables, 64)]
 
 
 def _mixed(h: np.ndarray, table: int) -> np.ndarray:
@@ -85,34 +85,49 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return docs.select(*kept, text).mapInPandas(batches, schema)
 
 
-def masks(half: int) -> list[int]:
-    """All patterns of at most ``half`` of 64 bits, signed."""
-    out = [sum(1 << b for b in bits) for n in range(half + 1) for bits in combinations(range(64), n)]
+def masks(half: int, bits: int = 64) -> list[int]:
+    """All patterns of at most ``half`` of ``bits`` bits, signed."""
+    out = [sum(1 << b for b in places) for n in range(half + 1) for places in combinations(range(bits), n)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct ``fp`` values to verified links (a, b), a < b, that connect all fingerprints within the radius; with ``by``, of rows
-    alike in those columns, which come first."""
+def links(fps: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
+    """Distinct ``fp`` values to verified links (a, b), a < b, that connect all fingerprints within the radius.  Only the low ``bits`` of
+    them vary: fingerprints that differ in others never meet."""
     if radius % 2 or not 0 < radius <= 4:
         raise ValueError("radius must be 2 or 4: an even number of bits has a middle")
-    flips = F.array(*[F.lit(m).cast("long") for m in masks(radius // 2)])
-    variants = fps.select(*by, "fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    met = variants.groupBy(*by, "variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(*by, F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
+    flips = F.array(*[F.lit(m).cast("long") for m in masks(radius // 2, bits)])
+    variants = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def links_in_any(every: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct arrays ``fps`` to links (a, b) between the first fingerprints of arrays, that connect all arrays of which any two
-    fingerprints of one place are within the radius."""
-    placed = durable(every.select(F.col("fps")[0].alias("node"), F.posexplode("fps").alias("t", "fp")).distinct())
-    groups = durable(placed.groupBy("t", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
-    alike = spread_join(placed, groups, ["t", "fp"], "n").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a != b")
-    near = links(_spread(groups.select("t", "fp"), "t", "fp"), radius, ("t",))
-    name = lambda side: groups.select("t", F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
-    met = near.join(name("a"), ["t", "a"]).join(name("b"), ["t", "b"]).select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    return alike.unionByName(met)
+def most_bits(bits: int, similarity: float = SIMILARITY) -> int:
+    """How many of ``bits`` may differ between texts of that Jaccard share: what is expected and one standard error.  Each bit of sets
+    of one size differs with the probability angle / pi, the cosine of the angle being 2s / (1 + s)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def links_of_similar(every: DataFrame, tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (node, fps), an array of ``tables`` fingerprints each, to links (a, b) of nodes.  Nodes meet in a half of a fingerprint,
+    which carries its place above its 32 bits.  In each place, the nodes of one half meet its least node in an order of that half's own,
+    so that no node stands for the same texts everywhere; halves within the radius meet by those."""
+    low = F.lit((1 << HALF) - 1).cast("long")
+    halves = [F.lit((2 * t + i) << HALF).cast("long").bitwiseOR(half) for t in range(tables) for i, half in enumerate((F.col("fps")[t].bitwiseAND(low), F.shiftrightunsigned(F.col("fps")[t], HALF)))]
+    placed = durable(every.select("node", F.explode(F.array(*halves)).alias("fp")))
+    order = F.struct(F.xxhash64("fp", "node"), F.col("node").alias("node"))
+    groups = durable(placed.groupBy("fp").agg(F.min(order)["node"].alias("least"), F.count("*").alias("n")))
+    alike = spread_join(placed, groups, "fp", "n").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = durable(links(_spread(groups.select("fp"), "fp"), radius, HALF))
+    name = lambda side: groups.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
+    met = near.join(name("a"), "a").join(name("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    pairs = durable(alike.unionByName(met).where("a != b").distinct())
+    of_a = durable(pairs.groupBy("a").agg(F.count("*").alias("n")).join(every.select(F.col("node").alias("a"), F.col("fps").alias("fps_a")), "a"))
+    both = spread_join(pairs, of_a, "a", "n").join(every.select(F.col("node").alias("b"), F.col("fps").alias("fps_b")), "b")
+    differ = sum((F.bit_count(F.col("fps_a")[t].bitwiseXOR(F.col("fps_b")[t])) for t in range(tables)), F.lit(0))
+    return both.where(differ <= most_bits(64 * tables, similarity)).select("a", "b")
 
 
 def _spread(written: DataFrame, *on: str) -> DataFrame:
@@ -136,19 +151,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: that of the least key, null keys last, then by a hash of the whole row.  Rows are told
     apart by that hash, not by the key, so rows of null or repeated keys are groups' members like any other; of rows that are equal
-    in all columns one stays.  Rows are linked if any of ``tables`` fingerprints, by hash functions of their own, are within the radius:
-    more of them catch more of the near copies at the same radius."""
+    in all columns one stays.  Rows are linked as ``links_of_similar`` says; more ``tables`` catch more of the near copies, and tell the
+    similarity better.  Texts are told apart by a hash of 64 bits of all their fingerprints."""
     a, b = unused(docs, "row_a"), unused(docs, "row_b")
     one, two = row_hashes(docs)
     rows = docs.withColumns({a: one, b: two})
     of_row = durable(fingerprints(rows, key, text, k, (a, b), tables))
     per_row = durable(of_row.groupBy(a, b).agg(F.min(key).alias("key"), F.min("fps").alias("fps"), F.count("*").alias("copies")))
     first = F.struct(F.col("key").isNull().alias("none"), "key", a, b)
-    per_fp = durable(per_row.groupBy(F.col("fps")[0].alias("fp")).agg(F.min(first).alias("least"), F.count("*").alias("n")))
-    chosen = clusters(per_fp, links_in_any(per_row.select("fps").distinct(), radius)).select(f"name.{a}", f"name.{b}").distinct()
+    per_fp = durable(per_row.groupBy(F.xxhash64("fps").alias("fp")).agg(F.min(first).alias("least"), F.min("fps").alias("fps"), F.count("*").alias("n")))
+    linked = links_of_similar(per_fp.select(F.col("fp").alias("node"), "fps"), tables, radius, similarity)
+    chosen = clusters(per_fp.drop("fps"), linked).select(f"name.{a}", f"name.{b}").distinct()
     # rows that repeat over 1/1000 of the table, fewer than 1000 of them, go round the shuffle
     hot = F.broadcast(per_row.where(F.col("copies") > (per_row.agg(F.sum("copies")).first()[0] or 0) / 1000).select(a, b))
     chosen = durable(chosen)

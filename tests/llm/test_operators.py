@@ -307,31 +307,40 @@ def test_simhash_matches_brute_force(spark, docs):
     got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in rows(simhash.near_duplicates(df))}
     assert got == {i: (fps[i], want[i]) for i in fps}
     assert len(set(want.values())) < len(want)
-    kept = {r["doc_id"] for r in rows(simhash.representatives(df, k=3, tables=1))}
-    assert kept == set(want.values())
 
 
-def test_representatives_match_brute_force(spark, docs):
-    base = [r.asDict() for r in docs.select("doc_id", "text").collect()]
-    words = base[0]["text"].split()
-    more = [{"doc_id": 10_000 + i, "text": " ".join(words[:i] + ["new"] + words[i:])} for i in range(40)]
-    every = {r["doc_id"]: simhash.prints(r["text"], 5, 42, 4) for r in base + more}
-    assert all(p[0] == brute_simhash(r["text"], 5) for r in base for p in [every[r["doc_id"]]])
-    root = {i: i for i in every}
+def shingle_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for a, b in itertools.combinations(sorted(every), 2):
-        if any((x ^ y).bit_count() <= 2 for x, y in zip(every[a], every[b], strict=True)):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    kept = {r["doc_id"] for r in rows(simhash.representatives(spark.createDataFrame(base + more, "doc_id long, text string")))}
-    assert kept == {find(i) for i in every}
-    alone = brute_components({i: p[0] for i, p in every.items()})
-    assert len(kept) < len(set(alone.values()))
+def test_prints_match_brute_force(docs):
+    for r in docs.limit(50).collect():
+        every = simhash.prints(r["text"], 5, 42, 8)
+        assert every[0] == brute_simhash(r["text"], 5) and len(set(every)) in (1, 8)
+    long = " ".join(f"w{i % 997} x{i}" for i in range(20_000))
+    assert simhash.prints(long, 5, 42, 2)[0] == brute_simhash(long, 5)
+
+
+def test_representatives_against_similarities(spark, docs):
+    base = [r.asDict() for r in docs.select("doc_id", "text").collect()]
+    many = [f"word{i}" for i in range(150)]
+    more = [{"doc_id": 10_000 + i, "text": " ".join(many[:i] + ["new"] + many[i:])} for i in range(60)]  # similarity 0.93 or more to the whole
+    every = base + more + [{"doc_id": 9_999, "text": " ".join(many)}]
+    kept = {r["doc_id"] for r in rows(simhash.representatives(spark.createDataFrame(every, "doc_id long, text string")))}
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in every}
+    like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    assert kept.isdisjoint(r["doc_id"] for r in more) and 9_999 in kept
+    for i in sets.keys() - kept:  # nothing goes that has no like
+        assert not sets[i] or max(like(i, j) for j in sets if j != i) > 0.6
+    alike = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and like(a, b) >= 0.8]
+    assert sum(not {a, b} <= kept for a, b in alike) >= 0.9 * len(alike)
+    one_table = {r["doc_id"] for r in rows(simhash.representatives(spark.createDataFrame(every, "doc_id long, text string"), tables=1))}
+    assert kept < one_table
+
+
+def test_most_bits_follows_the_similarity():
+    assert simhash.most_bits(512, 1.0) == 0 and simhash.most_bits(512, 0.9) < simhash.most_bits(512, 0.8) < 128
 
 
 def test_simhash_odd_rows(spark, odd, none):
