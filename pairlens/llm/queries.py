@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables, and the SQL of those that SQL can express."""
+"""The queries of the numbered operators, over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import importlib.util
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, license_scan, mixing, quality, simhash, spotsigs, topk_search, unigram, url_filter
+from . import chat_format, language_id, license_scan, mixing, periodic_runs, quality, simhash, spotsigs, topk_search, unigram, url_filter
 from .common import crc_mod, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -78,7 +78,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find(periodic_runs.stuttered(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = out.withColumn("longest", periodic_runs.longest())
+    start, length, period = -F.col("longest.back"), F.col("longest.length"), -F.col("longest.short")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * longest.length div -longest.short").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id, op11_periodic_runs)}
 
 _LAYOUTS = {m["name"]: chat_format.fingerprint(m["paths"]) for m in chat_format.MAPPINGS}
 #: What the template escapes, for an engine without look-ahead: whole control strings, none of which holds the start of another.
