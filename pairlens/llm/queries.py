@@ -7,7 +7,7 @@ import importlib.util
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, license_scan, mixing, periodic_runs, quality, simhash, spotsigs, topk_search, unigram, url_filter
+from . import chat_format, collocations, language_id, license_scan, mixing, periodic_runs, quality, simhash, spotsigs, topk_search, unigram, url_filter
 from .common import crc_mod, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -88,14 +88,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id, op11_periodic_runs)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id, op11_periodic_runs, op13_collocations)}
 
 _LAYOUTS = {m["name"]: chat_format.fingerprint(m["paths"]) for m in chat_format.MAPPINGS}
 #: What the template escapes, for an engine without look-ahead: whole control strings, none of which holds the start of another.
 _CONTROL = r"<\||</?s>|<</?SYS>>|</?(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>|\[/?INST\]|\[/?(?:SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]"
 _ESCAPED = lambda c: f"length({c}) + length({c}) - length(replace({c}, chr(92), '')) + len(regexp_extract_all({c}, '{_CONTROL}'))"
 
-#: op1 and op3 are all SQL; the others train, hash by XXH64, or cut by a vocabulary, and are tested against brute force.
+#: op1, op3 and op13 are all SQL; the others train, hash by XXH64, or cut by a vocabulary, and are tested against brute force.
 ORACLES = {
     "op1_topk_search": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
@@ -115,4 +119,16 @@ ORACLES = {
                        when roles[1] not in ('user', 'system') then 'conversations' else 'messages' end as layout from c)
         select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars,
                case layout {" ".join(f"when '{n}' then '{h}'" for n, h in _LAYOUTS.items())} end as schema_id, layout from l""",
+    "op13_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+             w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+             i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+             f as (select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k as m, count(*) as f from i cross join (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w) group by all),
+             n as (select lang, cast(sum(f) as bigint) as n from f where m = 1 group by 1),
+             c as (select lang, phrase, string_split(phrase, ' ') as w, m, f as a from f where m > 1 and f >= 100),
+             cut as (select c.lang, c.phrase, c.a, k, l.f as l, r.f as r, n.n, cast((1000::hugeint * c.a * n.n) // (l.f::hugeint * r.f) as bigint) as score
+                     from (select *, unnest(range(1, m)) as k from c) c join n using (lang) join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+             best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+             free as (select * from best b where not exists (select 1 from c where c.lang = b.lang and c.phrase <> b.phrase and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') and 100 * c.a >= 100 * b.a))
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from free qualify rank <= 2000""",
 }
