@@ -4,8 +4,8 @@ Words are counted first.  Each phrase belongs to its rarest word, its pivot (of
 occurrence of a word is rewritten to the fragment that holds the phrases it owns: up to four words before it, as long as they are more
 frequent, and up to four behind it that are no rarer; rarer words, infrequent ones and the ends of pieces cut it off.  Equal fragments
 are summed and routed to their pivot, where phrases that hold the pivot are counted: nowhere else do they occur, so what is
-infrequent there goes at once.  A pivot with many occurrences is dealt over several groups by the fragment's hash; sums of their phrases are added
-up afterwards.
+infrequent there goes at once.  A pivot with a large share of all occurrences is dealt over several groups by the fragment's hash, and
+a group beyond what a task may hold is mined in parts; the sums of their phrases are added up afterwards.
 
 Mappers know the most frequent ``dictionary`` words, a bounded number.  Words beyond, if any, are rarer than all of those and ordered by
 their bytes; the phrases that they own are counted as text, by Spark alone.
@@ -29,10 +29,11 @@ from .common import durable, small_batches
 
 #: Occurrences that make a phrase frequent, words of a phrase, and phrases reported for each language.
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Words that mappers know at most, the bytes of such a word, occurrences of a pivot in one group, and phrases in one task's ranking.
-DICTIONARY, WORD_BYTES, GROUP, SALTS = 200_000, 64, 50_000, 64
-#: Distinct words and fragments that a task holds before it passes them on.
-HELD, MINED = 300_000, 200_000
+#: Words that mappers know at most, the bytes of such a word, the share of all occurrences (one in so many) that a group of a pivot
+#: holds at most, and the parts in which a language is ranked first.
+DICTIONARY, WORD_BYTES, SHARE, SALTS = 200_000, 64, 2000, 64
+#: Distinct words that a task holds before it passes them on, fragments that it mines at once, and those of one group that it holds.
+HELD, MINED, MOST = 300_000, 200_000, 1_000_000
 _CUT = b"\xff"  # no byte of UTF-8
 _SEPARATED = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _CUT * 10 + b" ")
 _SALT_BITS = 20
@@ -92,7 +93,8 @@ class Dictionary:
     def __post_init__(self) -> None:
         self.place = {name: k for k, name in enumerate(self.languages)}
         self.ids = [{w.encode(): i + 1 for i, w in enumerate(own)} for own in self.words]
-        self.salts = np.concatenate([np.zeros(1, dtype=np.int64), *self.counts]) // GROUP + 1  # by number
+        every = np.concatenate([np.zeros(1, dtype=np.int64), *self.counts])
+        self.salts = every // max(1, int(every.sum()) // SHARE) + 1  # by number
 
 
 def learn(frequent: DataFrame, dictionary: int = DICTIONARY) -> Dictionary:
@@ -185,8 +187,9 @@ def fragments(docs: DataFrame, known: Dictionary, text: str = "text", lang: str
     return docs.select(F.col(lang).cast("string").alias(lang), text).mapInPandas(batches, "group long, fragment binary, n long")
 
 
-def mined(group: np.ndarray, sides: np.ndarray, n: np.ndarray, known: Dictionary, least: int, longest: int = LONGEST) -> pd.DataFrame:
-    """(lang, phrase, n) of whole groups of fragments; a pivot that has but one group shows only phrases that are frequent."""
+def mined(group: np.ndarray, sides: np.ndarray, n: np.ndarray, known: Dictionary, least: int, part: int = -1, longest: int = LONGEST) -> pd.DataFrame:
+    """(lang, phrase, n) of groups of fragments, whole but for the group ``part``; a pivot of one whole group shows only phrases that are
+    frequent."""
     number = group >> _SALT_BITS
     place = np.searchsorted(known.first, number - 1, side="right") - 1
     own = number - known.first[place]
@@ -212,7 +215,7 @@ def mined(group: np.ndarray, sides: np.ndarray, n: np.ndarray, known: Dictionary
             weights.append(n[at])
     found, sums = tally(np.concatenate(rows), np.concatenate(weights))
     number = found[:, 0] >> _SALT_BITS
-    kept = (sums >= least) | (known.salts[number] > 1)
+    kept = (sums >= least) | (known.salts[number] > 1) | (found[:, 0] == part)
     found, sums, number = found[kept], sums[kept], number[kept]
     place = np.searchsorted(known.first, number - 1, side="right") - 1
     said = [" ".join([known.words[k][i - 1] for i in ids if i]) for k, ids in zip(place.tolist(), found[:, 1:].tolist(), strict=True)]
@@ -224,26 +227,31 @@ def owned(parts: DataFrame, known: Dictionary, least: int = LEAST) -> DataFrame:
     shared = parts.sparkSession.sparkContext.broadcast(known)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, size = shared.value, [], 0
+        known, held, size, part = shared.value, [], 0, -1
 
-        def ready(last: bool) -> Iterator[pd.DataFrame]:
-            nonlocal held, size
-            pdf = pd.concat(held, ignore_index=True)
-            whole = np.ones(len(pdf), dtype=bool) if last else (pdf["group"] != pdf["group"].iloc[-1]).to_numpy()  # groups stand together
-            done, rest = pdf[whole], pdf[~whole]
-            if len(done):
-                yield mined(done["group"].to_numpy(np.int64), _unpacked(done["fragment"].tolist(), 2 * (LONGEST - 1)), done["n"].to_numpy(np.int64), known, least)
-            held, size = [rest], len(rest)
+        def told(pdf: pd.DataFrame) -> pd.DataFrame:
+            return mined(pdf["group"].to_numpy(np.int64), _unpacked(pdf["fragment"].tolist(), 2 * (LONGEST - 1)), pdf["n"].to_numpy(np.int64), known, least, part)
 
         limit = MINED
         for pdf in it:
             held.append(pdf)
             size += len(pdf)
-            if size >= limit:
-                yield from ready(False)
-                limit = max(MINED, 2 * size)
-        if held:
-            yield from ready(True)
+            if size < limit:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            last = pdf["group"].iloc[-1]  # groups stand together: all but this one are whole
+            whole = (pdf["group"] != last).to_numpy()
+            if whole.any():
+                yield told(pdf[whole])
+                pdf = pdf[~whole]
+            if len(pdf) >= MOST:
+                part = last
+                yield told(pdf)
+                pdf = pdf[:0]
+            held, size = [pdf], len(pdf)
+            limit = min(MOST, size + MINED)
+        if size:
+            yield told(pd.concat(held, ignore_index=True))
 
     return parts.repartition("group").sortWithinPartitions("group").mapInPandas(batches, "lang string, phrase string, n long")
 

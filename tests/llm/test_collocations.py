@@ -49,11 +49,13 @@ def texts(seed):
     return rows + [("en", None), ("fr", ""), (None, " .\n"), ("en", "a " * 500)]
 
 
-@pytest.mark.parametrize("dictionary,group,percent", [(200_000, 50_000, 100), (200_000, 7, 100), (5, 3, 80), (0, 5, 60)])
-def test_matches_brute_force(spark, monkeypatch, dictionary, group, percent):
-    monkeypatch.setattr(collocations, "GROUP", group)
+@pytest.mark.parametrize("dictionary,share,percent,most", [(200_000, 2, 100, 1000), (200_000, 300, 100, 1000), (200_000, 1, 90, 5), (5, 100, 80, 20), (0, 5, 60, 20)])
+def test_matches_brute_force(spark, monkeypatch, dictionary, share, percent, most):
+    monkeypatch.setattr(collocations, "SHARE", share)
+    monkeypatch.setattr(collocations, "MINED", most // 2)
+    monkeypatch.setattr(collocations, "MOST", most)
     monkeypatch.setattr(collocations, "WORD_BYTES", 20)
-    rows = texts(dictionary + group)
+    rows = texts(dictionary + share)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     got = collocations.collocations(df, least=6, dictionary=dictionary, percent=percent, top=40)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 6, 40, percent)
