@@ -7,7 +7,7 @@ import importlib.util
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, language_id, license_scan, mixing, periodic_runs, quality, simhash, spotsigs, topk_search, unigram, url_filter
+from . import chat_format, collocations, language_id, language_model, license_scan, mixing, periodic_runs, quality, simhash, spotsigs, topk_search, unigram, url_filter
 from .common import crc_mod, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -88,11 +88,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 1
+    out = language_model.score(docs, *language_model.train(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id, op11_periodic_runs, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_chat_format, op4_quality, op5_simhash, op6_mixing, op7_sentencepiece, op8_spotsigs, op9_url_filter, op10_language_id, op11_periodic_runs, op12_lm_scoring, op13_collocations)}
 
 _LAYOUTS = {m["name"]: chat_format.fingerprint(m["paths"]) for m in chat_format.MAPPINGS}
 #: What the template escapes, for an engine without look-ahead: whole control strings, none of which holds the start of another.
