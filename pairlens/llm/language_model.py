@@ -1,14 +1,13 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
 A token's class is drawn from a softmax over classes, then the token from a softmax over those of its class.  The log-weights of both
-are sums over features of the tokens before: n-grams (the last one, the last two) and skips (the last but one, the last but two), each
-hashed to a row of weights.  The most frequent tokens, ``OUTPUTS`` of them, fill word classes by frequency.  All other words, seen in
+are sums over features of the tokens before: n-grams (the last one, the last two) and a skip (the last but one), each hashed to a row of weights.  The most frequent tokens, ``OUTPUTS`` of them, fill word classes by frequency.  All other words, seen in
 training or not, are in classes by their last two characters, where a word's share is its smoothed count.  So the probabilities of all
 training words and of one unseen word in each such class add up to one.
 
 Training is distributed: each task takes gradient steps over all of its training documents, and the rows of weights it ends with are
-averaged over tasks, each by how often the task met its feature.  The sums are made in a tree, so no task gathers more than ``FAN`` models.  The
-model has a set size, whatever the corpus; the counts grow with it.
+averaged over tasks, each by how often the task met its feature.  Averages are made in a tree, so no task gathers more than ``FAN`` models.
+The model has a set size, whatever the corpus; the counts grow with it.
 
 Counts of the most frequent ``DICTIONARY`` words go to all tasks, which is a bounded number; words beyond are joined with their counts.
 
@@ -33,13 +32,15 @@ from .common import durable, small_batches, unused
 from .units import ragged
 
 #: Classes of frequent tokens and tokens of each, classes by last characters, rows of hashed weights for classes and within them.
-WORD_CLASSES, IN_CLASS, TAIL_CLASSES, ROWS, INNER_ROWS = 16, 64, 16, 1 << 15, 1 << 15
+WORD_CLASSES, IN_CLASS, TAIL_CLASSES, ROWS, INNER_ROWS = 16, 64, 16, 1 << 14, 1 << 14
 assert max(ROWS, INNER_ROWS) <= 1 << 16
 OUTPUTS, CLASSES = WORD_CLASSES * IN_CLASS, WORD_CLASSES + TAIL_CLASSES
 #: Words whose counts all tasks know, bytes of such a word, words a task counts before it passes them on, models that one task adds up.
 DICTIONARY, WORD_BYTES, HELD, FAN = 200_000, 64, 300_000, 64
+#: Tasks that train at once, or two for each core if that is more: few, as each sends a model.
+WORKERS = 12
 #: Tokens of a gradient step, its size, and how many tokens of one feature are added one by one.
-STEP, RATE, FEW = 4096, 0.12, 6
+STEP, RATE, FEW = 8192, 0.15, 6
 _UNKNOWN = 1 << 16  # codes of words outside the dictionary, by their hash
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -151,15 +152,15 @@ def _row(rows: int, kind: int, *codes: np.ndarray) -> np.ndarray:
 
 
 def contexts(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The codes one, two and three tokens before each; -1 before a text begins."""
+    """The codes one and two tokens before each; -1 before a text begins."""
     into = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
-    return [np.where(into >= k, np.concatenate((np.full(k, -1), codes[: len(codes) - k]))[: len(codes)], -1) for k in (1, 2, 3)]
+    return [np.where(into >= k, np.concatenate((np.full(k, -1), codes[: len(codes) - k]))[: len(codes)], -1) for k in (1, 2)]
 
 
 def class_rows(before: list[np.ndarray]) -> np.ndarray:
-    """The rows of class weights of each token's features: its bigram, trigram and two skips."""
-    one, two, three = before
-    return np.stack([_row(ROWS, 1, one), _row(ROWS, 2, two, one), _row(ROWS, 3, two), _row(ROWS, 4, three)], axis=1)
+    """The rows of class weights of each token's features: its bigram, trigram and skip."""
+    one, two = before
+    return np.stack([_row(ROWS, 1, one), _row(ROWS, 2, two, one), _row(ROWS, 3, two)], axis=1)
 
 
 def inner_rows(classes: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
@@ -275,12 +276,13 @@ class Model:
 
 #: Rows of weights that travel together.
 BLOCK = 256
+assert not (ROWS % BLOCK or INNER_ROWS % BLOCK)
 
 
 def _blocks(kind: int, table: Table) -> Iterator[tuple[int, int, bytes, bytes]]:
     for b in range(0, len(table.weights), BLOCK):
         if (seen := table.seen[b : b + BLOCK]).any():
-            yield kind, b, (table.weights[b : b + BLOCK] * seen[:, None]).astype(np.float32).tobytes(), seen.tobytes()
+            yield kind, b, table.weights[b : b + BLOCK].astype(np.float16).tobytes(), seen.tobytes()
 
 
 def gradients(docs: DataFrame, v: Vocabulary, model: Model, text: str = "text") -> Model:
@@ -303,21 +305,21 @@ def gradients(docs: DataFrame, v: Vocabulary, model: Model, text: str = "text")
             yield pd.DataFrame({"worker": TaskContext.get().partitionId(), "kind": kind, "block": block, "weights": weights, "seen": seen})
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["seen"])
-        weights = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in pdf["weights"])
-        first = pdf.iloc[:1]
-        return first.assign(worker=first["worker"] // FAN, weights=[weights.astype(np.float32).tobytes()], seen=[seen.tobytes()])
+        seen = [np.frombuffer(x, dtype=np.int64) for x in pdf["seen"]]
+        sums = sum(np.frombuffer(x, dtype=np.float16).reshape(BLOCK, -1) * n[:, None].astype(np.float64) for x, n in zip(pdf["weights"], seen, strict=True))
+        first, total = pdf.iloc[:1], sum(seen)
+        return first.assign(worker=first["worker"] // FAN, weights=[(sums / np.maximum(total, 1)[:, None]).astype(np.float16).tobytes()], seen=[total.tobytes()])
 
-    parts = durable(docs.select(text).mapInPandas(batches, schema))  # a task without texts sends nothing
+    some = docs.select(text).coalesce(max(WORKERS, 2 * spark.sparkContext.defaultParallelism))
+    parts = durable(some.mapInPandas(batches, schema))  # a task without texts sends nothing
     workers = (parts.agg(F.max("worker")).first()[0] or 0) + 1
     while workers > 1:
         parts, workers = parts.groupBy("kind", "block", F.floor(F.col("worker") / FAN).cast("int").alias("_w")).applyInPandas(lambda _, pdf: added(pdf), schema), -(-workers // FAN)
     out = [model.class_weights.copy(), model.inner_weights.copy()]
     for r in parts.toLocalIterator():  # as many blocks as the model has
         seen = np.frombuffer(r["seen"], dtype=np.int64)
-        weights = np.frombuffer(r["weights"], dtype=np.float32).reshape(len(seen), -1)
         at = np.flatnonzero(seen)
-        out[r["kind"]][r["block"] + at] = weights[at] / seen[at, None]
+        out[r["kind"]][r["block"] + at] = np.frombuffer(r["weights"], dtype=np.float16).reshape(len(seen), -1)[at]
     return Model(model.class_bias, model.inner_bias, *out)
 
 

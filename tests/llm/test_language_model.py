@@ -49,11 +49,11 @@ def tiny(monkeypatch):
 
 def plain(v, m, before, cls, code):
     """The log-probability of a class and a token in it, written out for one place."""
-    one, two, three = (np.array([b]) for b in before)
-    scores = m.class_bias.astype(float) + sum(m.class_weights[r].astype(float) for r in lm.class_rows([one, two, three])[0])
+    one, two = (np.array([b]) for b in before)
+    scores = m.class_bias.astype(float) + sum(m.class_weights[r].astype(float) for r in lm.class_rows([one, two])[0])
     out = scores[cls] - math.log(sum(math.exp(x) for x in scores))
     if cls < lm.WORD_CLASSES:
-        inner = m.inner_bias[cls].astype(float) + sum(m.inner_weights[r].astype(float) for r in lm.inner_rows(np.array([cls]), [one, two, three])[0])
+        inner = m.inner_bias[cls].astype(float) + sum(m.inner_weights[r].astype(float) for r in lm.inner_rows(np.array([cls]), [one, two])[0])
         out += inner[code % lm.IN_CLASS] - math.log(sum(math.exp(x) for x in inner))
     return out
 
@@ -67,18 +67,18 @@ def test_scores_equal_the_formula_and_add_up_to_one(tiny):
     for text in texts:
         own = codes[at : at + len(text) + 1]
         for i, code in enumerate(own):
-            before = [own[i - k] if i >= k else -1 for k in (1, 2, 3)]
+            before = [own[i - k] if i >= k else -1 for k in (1, 2)]
             assert logs[at + i] == pytest.approx(plain(v, m, before, classes[at + i], code), abs=1e-4)
         at += len(own)
     total = 0.0
     for w in [None, *counts]:  # all that can follow, and an unseen word in each class of words by their tails
         code = 0 if w is None else v.code.get(w.encode(), 10**6)
         if code < lm.OUTPUTS:
-            total += math.exp(plain(v, m, (1, 2, 3), code // lm.IN_CLASS, code))
+            total += math.exp(plain(v, m, (1, 2), code // lm.IN_CLASS, code))
         else:
             t = lm.tail_class(w)
-            total += math.exp(plain(v, m, (1, 2, 3), lm.WORD_CLASSES + t, 0)) * (counts[w] + 0.5) / 10 ** v.tail_log_totals[t]
-    total += sum(math.exp(plain(v, m, (1, 2, 3), lm.WORD_CLASSES + t, 0)) * 0.5 / 10 ** v.tail_log_totals[t] for t in range(lm.TAIL_CLASSES))
+            total += math.exp(plain(v, m, (1, 2), lm.WORD_CLASSES + t, 0)) * (counts[w] + 0.5) / 10 ** v.tail_log_totals[t]
+    total += sum(math.exp(plain(v, m, (1, 2), lm.WORD_CLASSES + t, 0)) * 0.5 / 10 ** v.tail_log_totals[t] for t in range(lm.TAIL_CLASSES))
     assert total == pytest.approx(1, abs=1e-5)
 
 
@@ -107,11 +107,12 @@ def test_a_step_follows_the_gradient(tiny, monkeypatch):
                 w[r, c] += 1e-4
             want = w[r] - 0.1 / math.sqrt((slope**2).mean() + 1e-6) * slope
             assert table.weights[r] == pytest.approx(want, abs=2e-3)
-    assert tables[0].seen.sum() == 4 * len(codes)
+    assert tables[0].seen.sum() == 3 * len(codes)
 
 
 def test_rows_of_tasks_are_averaged_by_use(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "WORKERS", 100)
     texts = [f"a{i % 3} b{i % 5} c" for i in range(30)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
     counts = Counter(w for t in texts for w in t.split())
@@ -126,7 +127,7 @@ def test_rows_of_tasks_are_averaged_by_use(spark, monkeypatch):
         lm.Model(start.class_bias, start.inner_bias, a.weights, b.weights).learn(codes, classes, starts, a, b)
         sums, seen = sums + a.weights * a.seen[:, None], seen + a.seen
     want = np.divide(sums, seen[:, None], out=np.zeros(sums.shape), where=seen[:, None] > 0)
-    assert np.allclose(got.class_weights, want, atol=1e-4) and (got.class_weights != 0).any()
+    assert np.allclose(got.class_weights, want, atol=2e-3) and (got.class_weights != 0).any()
 
 
 def test_query_against_counts(spark):
