@@ -1,82 +1,37 @@
 """Support search: records that turn a pair's decision when they stand in for one of its sides.
 
-Candidates come from the whole of each source, scored in blocks of a set size: no task holds more than a block of texts against a
-block of records, and of each block only what may be among the best is kept.  With a ``size`` they come from a pool instead, drawn by a
+Candidates come from the whole of each source, found by its inverted lists.  With a ``size`` they come from a pool instead, drawn by a
 hash of the id.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_cosine, diff_label, words
 from ..written import written
+from . import search
 from .matchers import Matcher, SqlMatcher, sides
 from .pairs import L, R, attributes, record_text
 
-#: Triangles of an explanation, records in a block, and words that are multiplied at once.
-TRIANGLES, BLOCK, VOCABULARY, SEED = 10, 2000, 1024, "7"
+#: Triangles of an explanation.
+TRIANGLES, SEED = 10, "7"
 
 
 def pool(source: DataFrame, size: int, seed: str = SEED) -> DataFrame:
     return source.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))).orderBy("_h", "id").limit(size).drop("_h")
 
 
-def _scores(a: list, b: list) -> np.ndarray:
-    """Cosines of word counts, as ``count_cosine`` gives them to the last bit: the sums are whole numbers."""
-    left, right = [Counter(x) for x in a], [Counter(x) for x in b]
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for c in left for w in c))}
-    squares = [np.array([sum(n * n for n in c.values()) for c in side], dtype=np.float64) for side in (left, right)]
-    kind = np.float32 if np.sqrt(squares[0].max() * squares[1].max()) < 1 << 24 else np.float64
-    at = [np.array([(i, place[w], n) for i, c in enumerate(side) for w, n in c.items() if w in place], dtype=np.int64).reshape(-1, 3) for side in (left, right)]
-    dot = np.zeros((len(a), len(b)), dtype=kind)
-    for start in range(0, len(place), VOCABULARY):
-        parts = []
-        for side, n in zip(at, (len(a), len(b)), strict=True):
-            own = side[(side[:, 1] >= start) & (side[:, 1] < start + VOCABULARY)]
-            part = np.zeros((n, min(VOCABULARY, len(place) - start)), dtype=kind)
-            part[own[:, 0], own[:, 1] - start] = own[:, 2]
-            parts.append(part)
-        dot += parts[0] @ parts[1].T
-    norm = np.sqrt(np.outer(*squares))
-    return np.divide(dot, norm, out=np.zeros(norm.shape), where=norm > 0)
-
-
 def scored_whole(asked: DataFrame, source: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """asked(text, most) and source(c_id, c_text) to text, most, c_id, score: of all records of the source those with a score of
     ``least`` or more, or else the k of the highest scores (of the lowest, where ``most`` is false), ties going to the smaller id."""
-    asked, blocks = asked.distinct(), [max(1, -(-df.count() // BLOCK)) for df in (asked.distinct(), source)]
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = asked.select("text", "most", words(F.col("text")).alias("w"), block("text", blocks[0]).alias("qb")).withColumn("sb", every(blocks[1]))
-    s = source.select("c_id", words(F.col("c_text")).alias("w"), block("c_id", blocks[1]).alias("sb")).withColumn("qb", every(blocks[0]))
-    schema = f"text string, most boolean, c_id {source.schema['c_id'].dataType.simpleString()}, score double"
-
-    def met(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({"text": [], "most": [], "c_id": [], "score": []})
-        s = s.sort_values("c_id")
-        score = _scores(q["w"].tolist(), s["w"].tolist())
-        if least is not None:
-            kept = score >= least
-        else:
-            order, n = np.where(q["most"].to_numpy(bool)[:, None], -score, score), min(k, len(s))
-            edge = np.partition(order, n - 1, axis=1)[:, n - 1 : n]
-            before, tie = order < edge, order == edge
-            kept = before | (tie & (np.cumsum(tie, axis=1) <= n - before.sum(axis=1, keepdims=True)))
-        i, j = np.nonzero(kept)
-        return pd.DataFrame({"text": q["text"].to_numpy()[i], "most": q["most"].to_numpy()[i], "c_id": s["c_id"].to_numpy()[j], "score": score[i, j]})
-
-    found = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(met, schema)
+    asked = asked.distinct()
     if least is not None:
-        return found
-    by = Window.partitionBy("text", "most").orderBy(F.when(F.col("most"), -F.col("score")).otherwise(F.col("score")), "c_id")
-    return found.withColumn("_p", F.row_number().over(by)).where(F.col("_p") <= k).drop("_p")
+        return asked.join(search.alike(asked.select("text"), source, least), "text").select("text", "most", "c_id", "score")
+    high = search.most_alike(asked.where("most").select("text"), source, k).withColumn("most", F.lit(True))
+    low = search.least_alike(asked.where("not most").select("text"), source, k).withColumn("most", F.lit(False))
+    return high.unionByName(low).select("text", "most", "c_id", "score")
 
 
 def candidates(rows: DataFrame, left: DataFrame, right: DataFrame, n: int = TRIANGLES, size: int | None = None, matcher: Matcher | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlens import oracles, queries
 from pairlens.functions import metrics, parsing, text
-from pairlens.operators import hybrid, lattice, matchers, pairs, support
+from pairlens.operators import hybrid, lattice, matchers, pairs, search, support
 from pairlens.sources import generate, io
 
 SF = "/root/testdata/sf0.001"
@@ -116,7 +116,8 @@ def test_files(spark, tmp_path):
 @pytest.mark.parametrize("block", [13])
 @pytest.mark.parametrize("name", ["threshold_candidates", "candidate_topk_whole", "support_set"])
 def test_whole_search_matches_sql(spark, name, block, monkeypatch):
-    monkeypatch.setattr(support, "BLOCK", block)
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "MORE", 2)
     test_query_matches_sql(spark, name)
 
 
