@@ -1,12 +1,12 @@
 """Explainers that ask: a model, or any function of conversations, decides a pair and explains itself, or judges explanations.
 
 The function gets a series of conversations, each a JSON list of {role, content}, and gives a series of texts; it runs within tasks, so
-it may call a service.  Each distinct conversation is asked once; where it fails the answer is empty."""
+it may call a service.  Each distinct conversation is asked once, and with a store never again; where it fails the answer is empty."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..sources import prompts
 from ..written import written
+from .calls import AnswerStore, Caller, Counts
 from .matchers import Matcher
 from .pairs import L, R, attributes, tuple_of
 
@@ -22,19 +23,15 @@ Answer = Callable[[pd.Series], pd.Series]
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
-def ask(df: DataFrame, conversation: str, out: str, answer: Answer) -> DataFrame:
-    """``df`` with the answers to its column of conversations."""
+def ask(df: DataFrame, conversation: str, out: str, answer: Answer, store: AnswerStore | None = None, counts: Counts | None = None) -> DataFrame:
+    """``df`` with the answers to its column of conversations; an empty answer where all tries failed."""
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            try:
-                yield pd.DataFrame({"_asked": pdf["_asked"], out: answer(pdf["_asked"]).astype(str)})
-            except Exception:  # noqa: BLE001  a model may fail in any way; an empty answer counts as none
-                yield pd.DataFrame({"_asked": pdf["_asked"], out: ""})
+    def call(pdf: pd.DataFrame) -> pd.Series:
+        return answer(pdf["_asked"]).astype(str)
 
     asked = written(df.withColumn("_asked", F.to_json(conversation)))  # turns build on each other: what went before is computed once
-    answers = asked.select("_asked").distinct().mapInPandas(batches, f"_asked string, `{out}` string")
-    return asked.join(answers, "_asked").drop("_asked")
+    told = Caller(call, store, counts=Counts() if counts is None else counts)(asked, ["_asked"])
+    return told.withColumn(out, F.coalesce("_answer", F.lit(""))).drop("_asked", "_answer", "_status")
 
 
 def filled(template: list[tuple[str, str]], **values: Column) -> Column:
@@ -71,6 +68,11 @@ class SelfExplainer(Matcher):
 
     answer: Answer
     granularity: str = "attribute"
+    store: AnswerStore | None = None
+    counts: Counts = field(default_factory=Counts)
+
+    def _ask(self, df: DataFrame, conversation: str, out: str) -> DataFrame:
+        return ask(df, conversation, out, self.answer, self.store, self.counts)
 
     def _tuples(self, rows: DataFrame) -> dict[str, Column]:
         names = attributes(rows)
@@ -80,12 +82,12 @@ class SelfExplainer(Matcher):
         """Adds ``conversation`` and ``prediction``; only what is unclear is asked again."""
         opened = filled(prompts.DECIDE, **self._tuples(rows))
         opened = F.concat(*[c for c in (opened, more, filled([prompts.QUESTION], **self._tuples(rows))) if c is not None])
-        first = ask(rows.withColumn("conversation", opened), "conversation", "_first", self.answer).withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_first")))
+        first = self._ask(rows.withColumn("conversation", opened), "conversation", "_first").withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_first")))
         text = parsing.strip_prompt(F.col("_first"))
         clear = parsing.answer_to_match(text, F.lit("yes")) == parsing.answer_to_match(text, F.lit("no"))
         sure = first.where(clear).withColumn("prediction", parsing.answer_to_match(text))
         again = first.where(~clear).withColumn("conversation", said(F.col("conversation"), *prompts.AGAIN[:1], F.lit(prompts.AGAIN[1])))
-        again = ask(again, "conversation", "_second", self.answer).withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_second")))
+        again = self._ask(again, "conversation", "_second").withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_second")))
         again = again.withColumn("prediction", parsing.answer_to_match(parsing.strip_prompt(F.col("_second")))).drop("_second")
         return sure.unionByName(again).drop("_first")
 
@@ -98,7 +100,7 @@ class SelfExplainer(Matcher):
         return out.withColumn("nomatch_score", 1 - F.col("match_score"))
 
     def explain(self, rows: DataFrame) -> DataFrame:
-        out = ask(rows.withColumn("conversation", filled([*prompts.ONE_SHOT, prompts.QUESTION], **self._tuples(rows))), "conversation", "_a", self.answer)
+        out = self._ask(rows.withColumn("conversation", filled([*prompts.ONE_SHOT, prompts.QUESTION], **self._tuples(rows))), "conversation", "_a")
         body = parsing.json_body(parsing.strip_prompt(F.col("_a")))
         names = attributes(rows)
         out = out.withColumn("_p", parsing.parse_answer(parsing.strip_prompt(F.col("_a")))).withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_a")))
@@ -110,7 +112,7 @@ class SelfExplainer(Matcher):
         out, names = self._decided(rows), attributes(rows)
         for name, turn in (("why", prompts.WHY), ("_saliency", prompts.SALIENCY), ("_cf", prompts.COUNTERFACTUAL)):
             out = out.withColumn("conversation", F.concat("conversation", filled([turn], **self._tuples(rows))))
-            out = ask(out, "conversation", name, self.answer).withColumn("conversation", said(F.col("conversation"), "assistant", F.col(name)))
+            out = self._ask(out, "conversation", name).withColumn("conversation", said(F.col("conversation"), "assistant", F.col(name)))
         cf = parsing.parse_counterfactual(parsing.strip_prompt(F.col("_cf")), tuple_of(L, names), tuple_of(R, names))
         out = out.withColumns({"saliency": scores(parsing.json_body(parsing.strip_prompt(F.col("_saliency")))), "cf": cf})
         return out.withColumn("tokens", words_of(F.col("conversation"))).drop("_saliency", "_cf")
@@ -122,7 +124,7 @@ class SelfExplainer(Matcher):
             shown += [(role, text.replace("{ltuple}", e["ltuple"]).replace("{rtuple}", e["rtuple"]).replace("{prediction}", str(e["prediction"])).replace("{saliency}", e["saliency"]).replace("{cf}", e["cf"])) for role, text in prompts.FEW_SHOT]
         plain = {k: F.translate(v, "\"'", "") for k, v in self._tuples(rows).items()}
         opened = F.concat(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(t).alias("content")) for r, t in [prompts.ROLE, *shown]]), filled([("human", prompts.FEW_SHOT[0][1])], **plain))
-        out = ask(rows.withColumn("conversation", opened), "conversation", "_a", self.answer).withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_a")))
+        out = self._ask(rows.withColumn("conversation", opened), "conversation", "_a").withColumn("conversation", said(F.col("conversation"), "assistant", F.col("_a")))
         out = out.withColumn("_p", parsing.marked_parts(F.col("_a")))
         decided = F.trim(F.regexp_extract(F.coalesce("_p.prediction", F.lit("")), "^[^,]*", 0))
         part = lambda c: F.replace(F.regexp_extract(F.coalesce(F.col(f"_p.{c}"), F.lit("")), r"(?s)^[^}]*\}", 0), F.lit("'"), F.lit('"'))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..written import written
+from .calls import TRIES, WAIT, AnswerStore, Caller, Counts, key, spread
 from .pairs import L, R, attributes
 
 
 class Matcher:
-    """``score`` adds the two scores to pair rows; all else follows from it."""
+    """``score`` adds the two scores to pair rows; all else follows from it.  ``counts``: what has been asked, if the matcher keeps it."""
+
+    counts: Counts | None = None
 
     def score(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -24,13 +27,13 @@ class Matcher:
         """``rows`` with ``out``: 1 where the records ``left`` and ``right`` (a column for each of ``names``) match by a score above
         one half, 0 below it, and null at one half, as of a failure.  Equal pairs of records are asked once."""
         sides = {L + n: c.cast("string") for n, c in zip(names, left, strict=True)} | {R + n: c.cast("string") for n, c in zip(names, right, strict=True)}
-        held = {c: f"_ask_{i}" for i, c in enumerate(sides)}
-        rows = rows.withColumns({held[c]: v for c, v in sides.items()})
-        asked = self.score(rows.select([F.col(h).alias(c) for c, h in held.items()]).distinct())
+        keyed = rows.withColumn("_ask", key(*sides.values()))
+        asked = written(keyed.groupBy("_ask").agg(*[F.first(v).alias(c) for c, v in sides.items()], F.count("*").alias("_n")))
         decided = F.when(F.col("match_score") > 0.5, 1).when(F.col("match_score") < 0.5, 0)
-        answers = asked.select([F.col(c).alias(f"_had_{i}") for i, c in enumerate(sides)] + [decided.alias(out)])
-        same = [F.col(h).eqNullSafe(F.col(f"_had_{i}")) for i, h in enumerate(held.values())]
-        return rows.join(answers, same, "left").drop(*held.values(), *[f"_had_{i}" for i in range(len(sides))])
+        answers = written(self.score(asked).select("_ask", "_n", decided.alias(out)))
+        if self.counts is not None:  # score has counted the distinct ones
+            self.counts.rows += asked.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
+        return spread(keyed, answers, "_ask", "_n").drop("_ask")
 
 
 def sides(rows: DataFrame) -> tuple[list[Column], list[Column], list[str]]:
@@ -63,42 +66,25 @@ class SqlMatcher(Matcher):
 
 @dataclass
 class PandasMatcher(Matcher):
-    """A Python function of a frame of distinct pairs to match scores.  Each distinct pair is asked once, and a batch that fails
-    scores one half, which later filters leave out.  The function runs within tasks, so it may call a model or a service.  With
-    ``cache``, a folder, answers are kept there and pairs that it knows are never asked again."""
+    """A Python function of a frame of distinct pairs to match scores.  Each distinct pair is asked once; where the function fails, down
+    to a single pair and after several tries, that pair scores one half, which later filters leave out.  The function runs within tasks,
+    so it may call a model or a service.  With ``cache``, a folder, answers are kept there and pairs that it knows are never asked again."""
 
     predict: Callable[[pd.DataFrame], pd.Series]
     cache: str | None = None
+    tries: int = TRIES
+    wait: float = WAIT
+    counts: Counts = field(default_factory=Counts)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        columns = [p + n for p in (L, R) for n in attributes(rows)]
-        asked = rows.select(*columns).distinct()
-        schema = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in columns) + ", match_score double, status string"
-        predict = self.predict
-
-        def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                try:
-                    yield pdf.assign(match_score=predict(pdf).astype(float), status="ok")
-                except Exception as e:  # noqa: BLE001  a matcher may fail in any way; the row tells how
-                    yield pdf.assign(match_score=0.5, status=f"failed: {type(e).__name__}")
-
-        if self.cache is None:
-            answers = asked.mapInPandas(batches, schema)
-        else:
-            spark = rows.sparkSession
-            try:
-                known = spark.read.parquet(self.cache)
-            except AnalysisException:  # nothing there yet
-                known = spark.createDataFrame([], schema)
-            new = asked.join(known, [asked[c].eqNullSafe(known[c]) for c in columns], "left_anti").mapInPandas(batches, schema)
-            new.where("status = 'ok'").write.mode("append").parquet(self.cache)
-            kept = spark.read.schema(schema).parquet(self.cache).dropDuplicates(columns)
-            failed = asked.join(kept, [asked[c].eqNullSafe(kept[c]) for c in columns], "left_anti").withColumns({"match_score": F.lit(0.5), "status": F.lit("failed")})
-            answers = kept.unionByName(failed)
-        same = [rows[c].eqNullSafe(answers[c]) for c in columns]
-        out = rows.join(answers, same).select(*[rows[c] for c in rows.columns], "match_score", "status")
-        return out.withColumn("nomatch_score", 1 - F.col("match_score"))
+        columns, predict = [p + n for p in (L, R) for n in attributes(rows)], self.predict
+
+        def call(pdf: pd.DataFrame) -> pd.Series:
+            return predict(pdf).astype(float)
+
+        out = Caller(call, AnswerStore(self.cache) if self.cache else None, self.tries, self.wait, self.counts)(rows, columns)
+        out = out.withColumn("match_score", F.coalesce(F.col("_answer").cast("double"), F.lit(0.5))).withColumn("status", F.col("_status"))
+        return out.drop("_answer", "_status").withColumn("nomatch_score", 1 - F.col("match_score"))
 
 
 def f1(rows: DataFrame, label: str = "label", predicted: str = "prediction") -> DataFrame:

@@ -6,6 +6,8 @@ of their words, an attribute matters as much as its values are alike, and the le
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 from .functions import alignment, metrics, parsing, text
 from .operators import consistency, hybrid, lattice, matchers, pairs, support
 from .operators.answers import SelfExplainer, judged
+from .operators.calls import Counts
 from .operators.pairs import L, R
 from .plans import experiment
 from .plans.explain import explain
 from .queries import FEATURES, NAMES, _token_sets, decided, draws, explained, pair_list, r6, rows_of, sources
 from .sources.io import train_test
-from .written import written
+from .written import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,6 +80,19 @@ def longer(asked: pd.Series) -> pd.Series:
     return asked.map(one)
 
 
+_tried: set[str] = set()
+
+
+def flaky(pdf: pd.DataFrame) -> pd.Series:
+    """A service that fails on whole batches for the sake of some pairs, and on those at the first try."""
+    told = [" ".join(map(str, r)) for r in pdf.itertuples(index=False)]
+    bad = [t for t in told if zlib.crc32(t.encode()) % 29 == 0]
+    if bad and (len(pdf) > 1 or bad[0] not in _tried):
+        _tried.update(bad if len(pdf) == 1 else [])
+        raise ConnectionError("no answer")
+    return _token_sets(pdf)
+
+
 def model() -> SelfExplainer:
     return SelfExplainer(offline)
 
@@ -94,6 +110,24 @@ def explain_any_matcher(spark, d):
     return e.saliency.withColumn("saliency", r6("saliency"))
 
 
+@query
+def flaky_matcher(spark, d):
+    return matchers.PandasMatcher(flaky, wait=0.001).score(rows_of(spark, d)).select("pair_id", "match_score", "status")
+
+
+@query
+def matcher_counts(spark, d):
+    """What two runs over one store ask: each pair and its mirror image, then all of these and each record with itself."""
+    matcher = matchers.PandasMatcher(_token_sets, cache=f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
+    rows, out = pairs.robust(rows_of(spark, d)), []
+    for run, kinds in enumerate((["pair", "mirror"], ["pair", "mirror", "left", "right"])):
+        matcher.counts = Counts()
+        some = rows.where(F.col("kind").isin(kinds))
+        decided = matcher.decide(some, *matchers.sides(some), "decision").agg(F.sum("decision")).first()[0]
+        out.append((run, matcher.counts.rows, matcher.counts.distinct, matcher.counts.known, matcher.counts.failed, decided))
+    return spark.createDataFrame(out, "run int, asked long, questions long, known long, failed long, matches long")
+
+
 @query
 def explain_with_a_model(spark, d):
     e = explain(pair_list(spark, d), *sources(spark, d), augment="no", matcher=model())

@@ -100,6 +100,9 @@ def two_step(pick: str) -> str:
 _r = lambda names, n=6: ", ".join(f"round({c}, {n}) + 0 as {c}" for c in names.split())  # noqa: E731  (+ 0: no minus zero)
 _avg = lambda names: ", ".join(f"avg({c}) as avg_{c}" for c in names.split())
 _CONS, _CFAL = "mass tau pearson spearman overlap cosine", "coverage prec f1 jaccard ndcg attr_sparsity tok_sparsity ger cf_similarity"
+_SELF = [("ltable_", "rtable_"), ("rtable_", "ltable_"), ("ltable_", "ltable_"), ("rtable_", "rtable_")]
+_ASKED = " union all ".join(f"select {k > 1} as alone, [{_all(lambda a, x=x: x + a)}, {_all(lambda a, y=y: y + a)}] as q, {match(x, y)} as p from rows_" for k, (x, y) in enumerate(_SELF))
+
 ORACLES: dict[str, str] = {
     "explain_any_matcher": BASE["attr_saliency"],
     "explain_with_a_model": sql("select pair_id, side, c_id, ord, decision from bal_m", "bal_m"),
@@ -147,4 +150,7 @@ ORACLES: dict[str, str] = {
     "robust_f1": sql(f"""select tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 6) as f1 from (select count(*) filter (label = 1 and p = 1) as tp, count(*) filter (label = 0 and p = 1) as fp, count(*) filter (label = 1 and p = 0) as fn from (
         select label, {match('ltable_', 'rtable_')} as p from rows_ union all select label, {match('rtable_', 'ltable_')} from rows_ union all select 1, {match('ltable_', 'ltable_')} from rows_ union all select 1, {match('rtable_', 'rtable_')} from rows_))""", "rows_"),
     "example_pick": sql(f"select pair_id, subset, row_number() over (partition by pair_id order by len(string_split(subset, '/')), subset) as place from (select pair_id, {NAME} as subset from best)", "best"),
+    "flaky_matcher": BASE["pandas_matcher"],
+    "matcher_counts": sql(f"""select cast(run as integer) as run, count(*) as asked, count(distinct q) as questions, case when run = 1 then (select count(distinct q) from ({_ASKED}) where not alone) else 0 end as known,
+        0 as failed, cast(sum(p) as bigint) as matches from ({_ASKED}) cross join (select unnest([0, 1]) as run) where run = 1 or not alone group by run""", "rows_"),
 }
