@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..written import written
+
 L, R = "ltable_", "rtable_"
 
 
@@ -64,23 +68,32 @@ def feature_attribute(feature: Column) -> Column:
     return F.substring_index(feature, "__", 1)
 
 
+#: A look-up goes through 2 ** attributes subsets: above so many, name the attributes to compare.
+MAX_ATTRIBUTES = 12
+
+
+def _parts(df: DataFrame, names: list[str], size: int) -> Column:
+    """Each subset of so many attributes, none of them null, as a text of its number and values."""
+    masks = [m for m in range(1, 1 << len(names)) if m.bit_count() == size]
+    value = lambda n: F.concat(F.length(F.col(n).cast("string")).cast("string"), F.lit(":"), F.col(n).cast("string"))
+    chosen = [[n for i, n in enumerate(names) if m >> i & 1] for m in masks]
+    return F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{m}|"), *map(value, own)) for m, own in zip(masks, chosen, strict=True)])))  # null if any is null
+
+
 def lookup(queries: DataFrame, records: DataFrame, names: list[str], key: str = "query_id") -> DataFrame:
-    """The record that equals each query in the most attributes, if any; ties go to the smaller id.
-
-    Most queries equal a record in all attributes, which one join on their hash tells.  Only the others are joined attribute by
-    attribute, and there on distinct values: a value's records meet its queries once for each combination of their attributes."""
-    every = lambda df: F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("\0")) for n in names])
-    first = records.where(F.forall(F.array(*[F.col(n).isNotNull() for n in names]), lambda x: x)).groupBy(every(records).alias("_h"), *names).agg(F.min("id").alias("id"))
-    asked = queries.withColumn("_h", every(queries))
-    hit = asked.join(first, ["_h", *names]).select(key, "id", F.lit(len(names)).cast("long").alias("same"))
-    kinds = records.groupBy(*names).agg(F.min("id").alias("id"))  # of equal records the least is enough
-    missed = asked.join(hit, key, "left_anti")
-    wanted = missed.select(*names).distinct().withColumn("_q", F.struct(*names))
-    hits = None
-    for n in names:
-        one = wanted.select("_q", F.col(n).alias("v")).join(kinds.select("id", F.col(n).alias("v")), "v").select("_q", "id")
-        hits = one if hits is None else hits.unionAll(one)
-    scored = hits.groupBy("_q", "id").agg(F.count("*").alias("same"))
-    best = scored.groupBy("_q").agg(F.max(F.struct("same", (-F.col("id")).alias("n"))).alias("best"))
-    near = missed.withColumn("_q", F.struct(*names)).join(best, "_q").select(key, (-F.col("best.n")).alias("id"), F.col("best.same").alias("same"))
-    return hit.unionByName(near)
+    """The record that equals each query in the most attributes, if any; ties go to the smaller id.  Nulls equal nothing.
+
+    Sizes of attribute sets are gone through from the largest on: records give the least id of each set's values, so a query meets one
+    row for each of its sets, and those that found one are done."""
+    if len(names) > MAX_ATTRIBUTES:
+        raise ValueError(f"{len(names)} attributes make {2 ** len(names)} subsets: choose at most {MAX_ATTRIBUTES}")
+    open_, parts = written(queries.select(key, *names)), []
+    kinds = written(records.groupBy(*names).agg(F.min("id").alias("id")))  # of equal records the least is enough
+    for size in range(len(names), 0, -1):
+        least = kinds.select("id", _parts(kinds, names, size).alias("_part")).groupBy("_part").agg(F.min("id").alias("id"))
+        found = open_.select(key, _parts(open_, names, size).alias("_part")).join(least, "_part").groupBy(key).agg(F.min("id").alias("id"))
+        parts.append(written(found.withColumn("same", F.lit(size).cast("long"))))
+        open_ = written(open_.join(parts[-1], key, "left_anti"))
+        if open_.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -25,6 +25,8 @@ from ..written import written
 
 #: Texts or records of a list that meet in one task, columns that are multiplied at once, and how many more records a round sees.
 BLOCK, VOCABULARY, MORE = 2000, 1024, 16
+#: A source of so many records or fewer has no lists: each text meets all of it, with the same result in fewer steps.
+SMALL = 500
 #: Bounds are lowered by this much, which is far above what rounding can do to a score.
 SLACK = 1e-9
 
@@ -146,24 +148,27 @@ def most_alike(texts: DataFrame, source: DataFrame, k: int) -> DataFrame:
     return found.unionByName(zeros.select("text", "c_id", F.lit(0.0).alias("score")))
 
 
-def _lowest(texts: DataFrame, records: DataFrame, k: int) -> DataFrame:
-    """All texts(text) against all records(c_id, w), in blocks: the k lowest of each text."""
-    blocks = [max(1, -(-df.count() // BLOCK)) for df in (texts, records)]
+def against_all(asked: DataFrame, records: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """All asked(text, most) against all records(c_id, w), in blocks: text, most, c_id, score of those that score ``least`` or more, or of
+    the k highest (lowest, where ``most`` is false) of each text."""
+    blocks = [max(1, -(-df.count() // BLOCK)) for df in (asked, records)]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = texts.select("text", words(F.col("text")).alias("w"), _block("text", F.lit(blocks[0])).alias("qb")).withColumn("sb", every(blocks[1]))
+    q = asked.select("text", "most", words(F.col("text")).alias("w"), _block("text", F.lit(blocks[0])).alias("qb")).withColumn("sb", every(blocks[1]))
     s = records.select("c_id", "w", _block("c_id", F.lit(blocks[1])).alias("sb")).withColumn("qb", every(blocks[0]))
 
     def met(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
-            return pd.DataFrame({"text": np.array([], dtype=object), "c_id": [], "score": []})
+            return pd.DataFrame({"text": np.array([], dtype=object), "most": [], "c_id": [], "score": []})
         s = s.sort_values("c_id")
         score = scores(q["w"].tolist(), s["w"].tolist())
-        i, j = np.nonzero(first_of_each(score, k))
-        return pd.DataFrame({"text": q["text"].to_numpy()[i], "c_id": s["c_id"].to_numpy()[j], "score": score[i, j]})
+        i, j = np.nonzero(score >= least if k is None else first_of_each(np.where(q["most"].to_numpy(bool)[:, None], -score, score), k))
+        return pd.DataFrame({"text": q["text"].to_numpy()[i], "most": q["most"].to_numpy()[i], "c_id": s["c_id"].to_numpy()[j], "score": score[i, j]})
 
-    found = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(met, f"text string, c_id {_kind(records, 'c_id')}, score double")
-    place = F.row_number().over(Window.partitionBy("text").orderBy("score", "c_id"))
-    return found.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+    found = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(met, f"text string, most boolean, c_id {_kind(records, 'c_id')}, score double")
+    if k is None:
+        return found
+    order = F.when(F.col("most"), -F.col("score")).otherwise(F.col("score"))
+    return found.withColumn("_p", F.row_number().over(Window.partitionBy("text", "most").orderBy(order, "c_id"))).where(F.col("_p") <= k).drop("_p")
 
 
 def least_alike(texts: DataFrame, source: DataFrame, k: int) -> DataFrame:
@@ -184,7 +189,7 @@ def least_alike(texts: DataFrame, source: DataFrame, k: int) -> DataFrame:
         else:
             by_id, by_length = written(records.orderBy("c_id").limit(m)), written(records.orderBy(F.desc("length"), "c_id").limit(m))
             seen = by_id.unionByName(by_length).dropDuplicates(["c_id"])
-        found = written(_lowest(open_.select("text"), seen.select("c_id", "w"), k))
+        found = written(against_all(open_.select("text", F.lit(False).alias("most")), seen, k).drop("most"))
         if last:
             parts.append(found)
             break

@@ -27,6 +27,8 @@ def scored_whole(asked: DataFrame, source: DataFrame, k: int | None = None, leas
     """asked(text, most) and source(c_id, c_text) to text, most, c_id, score: of all records of the source those with a score of
     ``least`` or more, or else the k of the highest scores (of the lowest, where ``most`` is false), ties going to the smaller id."""
     asked = asked.distinct()
+    if source.count() <= search.SMALL:
+        return search.against_all(asked, source.select("c_id", words(F.col("c_text")).alias("w")), k, least)
     if least is not None:
         return asked.join(search.alike(asked.select("text"), source, least), "text").select("text", "most", "c_id", "score")
     high = search.most_alike(asked.where("most").select("text"), source, k).withColumn("most", F.lit(True))

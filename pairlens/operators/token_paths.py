@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..written import written
 from .matchers import Matcher, SqlMatcher
 from .pairs import L, R, attributes
 
@@ -35,7 +39,7 @@ def steps(places: DataFrame, support: DataFrame, matcher: Matcher | None = None,
     and whether its decision turned.
 
     With ``features``(pair_id, feature), steps that alter any other token are left out, unless that leaves a triangle none.  With
-    ``early``, a pair has no steps after the first at which all of its triangles and paths have flipped."""
+    ``early``, a pair has no steps after the first at which all of its triangles and paths have flipped; few of those are asked."""
     names = attributes(support)
     group = F.collect_list(F.struct("attribute", "position", "was", "now", "step"))  # a record's tokens
     paths = places.groupBy("pair_id", "side", "decision", "triangle_id", "path").agg(group.alias("places"), F.max("step").alias("last")).where("last is not null")
@@ -53,12 +57,27 @@ def steps(places: DataFrame, support: DataFrame, matcher: Matcher | None = None,
     rows = rows.join(pivots, "triangle_id")
     free, pivot, left = [F.col(f"f_{a}") for a in names], [F.col(f"p_{a}") for a in names], F.col("side") == "L"
     pair = [F.when(left, f).otherwise(p) for f, p in zip(free, pivot, strict=True)], [F.when(left, p).otherwise(f) for f, p in zip(free, pivot, strict=True)]
-    turned = (matcher or SqlMatcher()).decide(rows, *pair, names, "_new").withColumn("flip", F.coalesce((F.col("_new") != F.col("decision")).cast("int"), F.lit(0)))
-    turned = turned.select("pair_id", "triangle_id", "path", "step", "altered", "flip")
-    if not early:
-        return turned
-    good = turned.groupBy("pair_id", "step").agg(F.min("flip").alias("_all")).where("_all = 1").groupBy("pair_id").agg(F.min("step").alias("_last"))
-    return turned.join(good, "pair_id", "left").where("_last is null or step <= _last").drop("_last")
+
+    def turned(rows: DataFrame) -> DataFrame:
+        out = (matcher or SqlMatcher()).decide(rows, *pair, names, "_new").withColumn("flip", F.coalesce((F.col("_new") != F.col("decision")).cast("int"), F.lit(0)))
+        return out.select("pair_id", "triangle_id", "path", "step", "altered", "flip")
+
+    return _early(written(rows), turned) if early else turned(rows)
+
+
+def _early(rows: DataFrame, turned: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Steps in rounds of 1, 1, 2, 4, ...: pairs of which one step has flipped everywhere are left out of the rounds that follow, and of
+    its round the steps behind it are left out too."""
+    last = rows.agg(F.max("step")).first()[0] or 0
+    open_, parts, start, end = rows.select("pair_id").distinct(), [rows.limit(0).select("pair_id", "triangle_id", "path", "step", "altered", F.lit(0).alias("flip"))], 1, 1
+    while start <= last:
+        now = written(turned(rows.where(F.col("step").between(start, end)).join(open_, "pair_id", "left_semi")))
+        good = now.groupBy("pair_id", "step").agg(F.min("flip").alias("_all")).where("_all = 1").groupBy("pair_id").agg(F.min("step").alias("_last"))
+        good = written(good)
+        parts.append(now.join(good, "pair_id", "left").where("_last is null or step <= _last").drop("_last"))
+        open_ = written(open_.join(good, "pair_id", "left_anti"))
+        start, end = end + 1, 2 * end
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def token_saliency(stepped: DataFrame, features: DataFrame | None = None) -> DataFrame:

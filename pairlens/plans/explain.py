@@ -25,6 +25,7 @@ class Explanation:
     vary: list[str] | None = None
     matcher: Matcher = field(default_factory=SqlMatcher)
     features: DataFrame | None = None
+    strategy: str = "all"
 
     @cached_property
     def support(self) -> DataFrame:
@@ -36,7 +37,9 @@ class Explanation:
 
     @cached_property
     def flips(self) -> DataFrame:
-        return written(lattice.flips(lattice.perturbed(self.support, self.vary), self.matcher))
+        if self.strategy == "levels":
+            return written(lattice.monotone_flips(self.support, self.vary, self.matcher, keep=written))
+        return written(lattice.flips(lattice.perturbed(self.support, self.vary), self.matcher).withColumn("asked", F.lit(1)))
 
     @property
     def ranking(self) -> DataFrame:
@@ -60,7 +63,7 @@ class Explanation:
 
     @cached_property
     def token_steps(self) -> DataFrame:
-        return written(token_paths.steps(token_paths.spans(self.support), self.support, self.matcher, self.features))
+        return written(token_paths.steps(token_paths.spans(self.support), self.support, self.matcher, self.features, early=self.strategy == "levels"))
 
     @property
     def token_saliency(self) -> DataFrame:
@@ -84,20 +87,26 @@ class Explanation:
             named = self.summary.select("pair_id", F.explode(F.split(lattice.subset_name(F.col("side"), F.col("mask"), self.vary or self.names), "/")).alias("attribute"))
             chosen = named.distinct()
         tokens = token_features(self.rows).join(chosen, ["pair_id", "attribute"]).select("pair_id", "feature").distinct()
-        out = Explanation(self.rows, self.found, self.names, self.vary, self.matcher, tokens)
+        out = Explanation(self.rows, self.found, self.names, self.vary, self.matcher, tokens, self.strategy)
         out.support = self.support
         return out
 
 
-def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = support.TRIANGLES, sample: int | None = None, vary: list[str] | None = None, matcher: Matcher | None = None, augment: str = "on_demand", features: DataFrame | None = None) -> Explanation:
+def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = support.TRIANGLES, sample: int | None = None, vary: list[str] | None = None, matcher: Matcher | None = None, augment: str = "on_demand", features: DataFrame | None = None, strategy: str = "all") -> Explanation:
     """Explains what ``matcher`` decides of every pair of ``pairs``(ltable_id, rtable_id, label); sources stay as they are.
 
     Supports come from the whole sources, or from a sample of each.  ``augment``: ``on_demand`` adds cut copies of a pair's own records
     where supports are too few, ``always`` adds cut copies of all records to the sources, ``no`` does neither.  ``vary`` names the
-    attributes of lattices, ``features``(pair_id, feature) the tokens of token paths."""
+    attributes of lattices, ``features``(pair_id, feature) the tokens of token paths.
+
+    ``strategy``: ``all`` puts every subset and token step to the matcher; ``levels`` goes through lattices level by level, where all
+    subsets of one level flip counts the larger ones as flipped without asking, and ends a pair's token steps at the first that flips
+    everywhere.  For a matcher whose flips only grow with the subset, the saliency of attributes is the same."""
     matcher = matcher or SqlMatcher()
     if augment not in ("no", "on_demand", "always"):
         raise ValueError(f"augment is no, on_demand or always, not {augment}")
+    if strategy not in ("all", "levels"):
+        raise ValueError(f"strategy is all or levels, not {strategy}")
     rows = merge(pairs, left, right)
     names = attributes(rows)
     if augment == "always":
@@ -105,7 +114,7 @@ def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = suppor
     found = support.candidates(rows, left, right, n, sample, matcher)
     if augment == "on_demand":
         found = support.augmented(written(found), rows, n, matcher)
-    return Explanation(rows, support.balanced(found, n), names, vary, matcher, features)
+    return Explanation(rows, support.balanced(found, n), names, vary, matcher, features, strategy)
 
 
 def with_cuts(source: DataFrame, names: list[str]) -> DataFrame:

@@ -322,6 +322,46 @@ def hybrid_adaptive(spark, d):
     return hybrid.adaptive_explanation(draws(e), e.flips, NAMES).withColumn("saliency", r6("saliency"))
 
 
+def self_draws(spark: SparkSession, d: str) -> DataFrame:
+    """What two self-explainers say of each pair: one asks at once, one in turns."""
+    m = model()
+    parts = [m.explain(rows_of(spark, d)), m.explain_turns(rows_of(spark, d))]
+    return hybrid.collect([p.select(F.col("pair_id").alias("id"), "saliency") for p in parts])
+
+
+@query
+def hybrid_frontier(spark, d):
+    return hybrid.frontier(self_draws(spark, d), explained(spark, d).support, NAMES).saliency.withColumn("saliency", r6("saliency"))
+
+
+@query
+def hybrid_rounds(spark, d):
+    """How many pairs are open at each width, and how many perturbed pairs are put to the matcher."""
+    told = hybrid.frontier(self_draws(spark, d), explained(spark, d).support, NAMES).rounds
+    return spark.createDataFrame(told, "k int, pairs long, asked long")
+
+
+@query
+def level_saliency(spark, d):
+    e = explain(pair_list(spark, d), *sources(spark, d), strategy="levels")
+    return e.saliency.withColumn("saliency", r6("saliency"))
+
+
+@query
+def level_steps(spark, d):
+    e = explain(pair_list(spark, d), *sources(spark, d), strategy="levels")
+    return e.token_steps.select("triangle_id", "path", "step", F.array_join("altered", "/").alias("altered"), "flip")
+
+
+@query
+def asked_by_strategy(spark, d):
+    """What either strategy puts to the matcher, and the flips that it counts."""
+    e = explained(spark, d)
+    every, levels = e.flips, lattice.monotone_flips(e.support, keep=written)
+    parts = [df.agg(F.sum("asked").cast("long").alias("asked"), F.sum("flip").alias("flips")).withColumn("strategy", F.lit(n)) for n, df in (("all", every), ("levels", levels))]
+    return parts[0].unionByName(parts[1]).select("strategy", "asked", "flips")
+
+
 @query
 def hybrid_collected(spark, d):
     m = model()

@@ -77,6 +77,7 @@ CTE |= {
     "ftok": ("select distinct pair_id, attribute, concat(attribute, '__', t) as feature from (" + " union all ".join(f"select pair_id, '{f}' as attribute, unnest(string_split({f}, ' ')) as t from rows_" for f in SIDES) + ")", ["rows_"]),
     "pick_s": ("select pair_id, f.feature from ftok f join (select pair_id, feature as attribute from (select *, row_number() over (partition by pair_id, feature[1:1] order by saliency desc, feature) as p from sal) where p <= 2) using (pair_id, attribute)", ["ftok", "sal"]),
     "pick_b": (f"select distinct pair_id, f.feature from ftok f join (select distinct pair_id, unnest(string_split({NAME}, '/')) as attribute from best) using (pair_id, attribute)", ["ftok", "best"]),
+    "level_flips": ("select pair_id, side, triangle_id, mask, case when bit_count(mask) > coalesce(level, 99) then 1 else flip end as flip, cast(bit_count(mask) <= coalesce(level, 99) as int) as asked from flip_ join first_full using (triangle_id)", ["flip_", "first_full"]),
     "first_full": ("select triangle_id, min(case when a = 1 then level end) as level from (select triangle_id, bit_count(mask) as level, min(flip) as a from flip_ group by 1, 2) group by 1", ["flip_"]),
     "chosen": ("""select k, pair_id, feature from (select *, row_number() over (partition by k, pair_id order by times desc, feature) as place from (select k, pair_id, feature, count(*) as times from (
         select *, row_number() over (partition by pair_id, draw order by score desc, feature) as p from draws where score > 0) cross join (select unnest(range(2, 9)) as k) where p <= k group by 1, 2, 3)) where place <= k""", ["draws"]),
@@ -84,6 +85,14 @@ CTE |= {
         on c.pair_id = f.pair_id and c.side = f.side and (f.mask & ~c.bits) = 0""", ["flip_", "chosen"]),
     "hsal": (f"""select c.pair_id, c.k, c.feature, coalesce(f / nullif(f_all, 0), 0) as saliency from chosen c join (select pair_id, k, sum(flip) as f_all from within group by 1, 2) using (pair_id, k) left join (select pair_id, k, feature, sum(flip) as f from (
         select pair_id, k, flip, unnest(list_filter([{', '.join(f"case when {_on(i)} then concat(case when side = 'L' then 'ltable_' else 'rtable_' end, '{a}') end" for i, a in enumerate(ATTRS))}], lambda x: x is not null)) as feature from within) group by 1, 2, 3) using (pair_id, k, feature)""", ["chosen", "within"]),
+    # the hybrid over what self-explainers say, who agree: pairs that no width before has explained
+    "chosen_s": ("""select k, pair_id, feature from (select *, row_number() over (partition by pair_id order by saliency desc, feature) as p from ssal where saliency > 0 and pair_id in (select pair_id from bal)) cross join (select unnest(range(2, 9)) as k) where p <= k""", ["ssal", "bal"]),
+    "within_s": ("""select f.pair_id, f.triangle_id, f.side, f.mask, f.flip, c.k from flip_ f join (select k, pair_id, upper(feature[1:1]) as side, sum(case feature[8:] when 'name' then 1 when 'brand' then 2 when 'type' then 4 else 8 end)::int as bits from chosen_s group by 1, 2, 3) c
+        on c.pair_id = f.pair_id and c.side = f.side and (f.mask & ~c.bits) = 0""", ["flip_", "chosen_s"]),
+    "hsal_s": (f"""select c.pair_id, c.k, c.feature, coalesce(f / nullif(f_all, 0), 0) as saliency from chosen_s c join (select pair_id, k, sum(flip) as f_all from within_s group by 1, 2) using (pair_id, k) left join (select pair_id, k, feature, sum(flip) as f from (
+        select pair_id, k, flip, unnest(list_filter([{', '.join(f"case when {_on(i)} then concat(case when side = 'L' then 'ltable_' else 'rtable_' end, '{a}') end" for i, a in enumerate(ATTRS))}], lambda x: x is not null)) as feature from within_s) group by 1, 2, 3) using (pair_id, k, feature)""", ["chosen_s", "within_s"]),
+    "width_s": ("select pair_id, coalesce(min(case when s >= 0.1 then k end), 8) as k from (select pair_id, k, sum(saliency) as s from hsal_s group by 1, 2) group by 1", ["hsal_s"]),
+    "open_s": ("""select pair_id, k from (select distinct pair_id from bal) left join (select pair_id, k as most from width_s) using (pair_id) cross join (select unnest(range(2, 9)) as k) where k <= coalesce(most, 8)""", ["bal", "width_s"]),
     # the same chain for a matcher that wants a third of the words, without copies
     "dec_m": (CTE["dec"][0].replace("cast(2 * len(", "cast(3 * len("), ["rows_"]),
     "cand_m": (CTE["cand"][0].replace("cast(2 * len(", "cast(3 * len(").replace("from dec m ", "from dec_m m "), ["dec_m", "lsrc_n", "rsrc_n", "dots"]),
@@ -153,4 +162,12 @@ ORACLES: dict[str, str] = {
     "flaky_matcher": BASE["pandas_matcher"],
     "matcher_counts": sql(f"""select cast(run as integer) as run, count(*) as asked, count(distinct q) as questions, case when run = 1 then (select count(distinct q) from ({_ASKED}) where not alone) else 0 end as known,
         0 as failed, cast(sum(p) as bigint) as matches from ({_ASKED}) cross join (select unnest([0, 1]) as run) where run = 1 or not alone group by run""", "rows_"),
+    "hybrid_frontier": sql("select h.pair_id, h.k, h.feature, round(h.saliency, 6) as saliency from hsal_s h join width_s using (pair_id, k)", "hsal_s", "width_s"),
+    "hybrid_rounds": sql("""select cast(k as integer) as k, pairs, coalesce(asked, 0) as asked from (select k, count(*) as pairs from open_s group by 1)
+        left join (select k, count(*) as asked from (select triangle_id, mask, min(k) as k from within_s join open_s using (pair_id, k) group by 1, 2) group by 1) using (k)""", "open_s", "within_s"),
+    "level_saliency": sql("select pair_id, feature, round(coalesce(f / nullif(f_all, 0), 0), 6) as saliency from (" + " union all ".join(
+        f"select pair_id, '{p}{a}' as feature, sum(case when side = '{s}' and {_on(i)} then flip else 0 end) as f, sum(flip) as f_all from level_flips group by 1" for s, p in (("L", "ltable_"), ("R", "rtable_")) for i, a in enumerate(ATTRS)) + ")", "level_flips"),
+    "level_steps": sql("""select triangle_id, path, step, array_to_string(altered, '/') as altered, flip from steps left join (select pair_id, min(step) as most from (select pair_id, step, min(flip) as a from steps group by 1, 2) where a = 1 group by 1) using (pair_id)
+        where most is null or step <= most""", "steps"),
+    "asked_by_strategy": sql("select 'all' as strategy, count(*) as asked, cast(sum(flip) as bigint) as flips from flip_ union all select 'levels', cast(sum(asked) as bigint), cast(sum(flip) as bigint) from level_flips", "flip_", "level_flips"),
 }

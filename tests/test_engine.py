@@ -116,8 +116,8 @@ def test_files(spark, tmp_path):
 @pytest.mark.parametrize("block", [13])
 @pytest.mark.parametrize("name", ["threshold_candidates", "candidate_topk_whole", "support_set"])
 def test_whole_search_matches_sql(spark, name, block, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", block)
-    monkeypatch.setattr(search, "MORE", 2)
+    for setting, n in {"BLOCK": block, "MORE": 2, "SMALL": 0}.items():
+        monkeypatch.setattr(search, setting, n)
     test_query_matches_sql(spark, name)
 
 

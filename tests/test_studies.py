@@ -19,7 +19,7 @@ from tests.test_engine import SF, TABLES
 PAIR = "pair_id string, label int, ltable_id long, ltable_name string, ltable_size string, rtable_id long, rtable_name string, rtable_size string"
 
 
-@pytest.mark.parametrize("name", ["flaky_matcher", "matcher_counts", "explain_with_a_model", "self_explain", "self_explain_turns", "result_concordance", "faithfulness_scores", "saliency_consistency", "cf_change_alignment", "two_step_saliency", "monotone_traversal", "hybrid_adaptive", "answers_read", "pair_copies", "attribute_consistency"])
+@pytest.mark.parametrize("name", ["flaky_matcher", "matcher_counts", "hybrid_frontier", "level_steps", "asked_by_strategy", "explain_with_a_model", "self_explain", "self_explain_turns", "result_concordance", "faithfulness_scores", "saliency_consistency", "cf_change_alignment", "two_step_saliency", "monotone_traversal", "hybrid_adaptive", "answers_read", "pair_copies", "attribute_consistency"])
 def test_study_matches_sql(spark, name):
     for t in TABLES:
         duckdb.sql(f"create or replace view {t} as from '{SF}/{t}.parquet'")
