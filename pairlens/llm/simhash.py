@@ -7,7 +7,10 @@ of each other, so each is linked to the least of them (no pairs within the group
 
 ``representatives`` looks for a similarity of five-word shingles, at which some ten of 64 bits differ: too many for a ball of variants.
 So a text gets several fingerprints, each by a hash function of its own, and each is cut in halves of 32 bits.  Texts meet if any half
-is within the radius, and are linked if all their bits together differ no more than those of texts of that similarity do.
+is within the radius, and are linked if all their bits together show that similarity, or, where bits leave it open, their shingles do.  A
+large group
+of near copies would make many links within itself, so it is brought down first: each text is compared with the one text that it shares
+most halves with, and goes where the two are linked.  What is left then meets in all halves.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint zero, which is linked like any other; texts of fewer
 words than a shingle hash their whole word sequence; equal fingerprints are always linked; repeated rows stay rows; documents of null
@@ -17,7 +20,7 @@ id get a fingerprint but never give a component its name unless all ids in it ar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, row_hashes, small_batches, spread_join, unused
+from .common import WORD, durable, row_hashes, settled, small_batches, spread_join, unused
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: For ``representatives``: words of a shingle, fingerprints of a text, the similarity (Jaccard share of shingles) and the bits of a half.
-NEAR_SHINGLE, TABLES, SIMILARITY, HALF = 5, 8, 0.8, 32
+NEAR_SHINGLE, TABLES, SIMILARITY, HALF = 5, 10, 0.8, 32
 #: Odd multipliers that mix 64 bits well.
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -103,31 +106,65 @@ def links(fps: DataFrame, radius: int = RADIUS, bits: int = 64) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def most_bits(bits: int, similarity: float = SIMILARITY) -> int:
-    """How many of ``bits`` may differ between texts of that Jaccard share: what is expected and one standard error.  Each bit of sets
+def most_bits(bits: int, similarity: float = SIMILARITY, errors: int = 2) -> int:
+    """How many of ``bits`` may differ between texts of that Jaccard share: what is expected and so many standard errors.  Each bit of sets
     of one size differs with the probability angle / pi, the cosine of the angle being 2s / (1 + s)."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def links_of_similar(every: DataFrame, tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (node, fps), an array of ``tables`` fingerprints each, to links (a, b) of nodes.  Nodes meet in a half of a fingerprint,
-    which carries its place above its 32 bits.  In each place, the nodes of one half meet its least node in an order of that half's own,
-    so that no node stands for the same texts everywhere; halves within the radius meet by those."""
+def _halves(every: DataFrame, tables: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (node, fps) to (node, fp) of all their halves, each with its place above its 32 bits, and to (fp, least, n): of the
+    nodes of a half the least in an order of that half's own, so that no node stands for the same texts everywhere."""
     low = F.lit((1 << HALF) - 1).cast("long")
     halves = [F.lit((2 * t + i) << HALF).cast("long").bitwiseOR(half) for t in range(tables) for i, half in enumerate((F.col("fps")[t].bitwiseAND(low), F.shiftrightunsigned(F.col("fps")[t], HALF)))]
     placed = durable(every.select("node", F.explode(F.array(*halves)).alias("fp")))
     order = F.struct(F.xxhash64("fp", "node"), F.col("node").alias("node"))
-    groups = durable(placed.groupBy("fp").agg(F.min(order)["node"].alias("least"), F.count("*").alias("n")))
+    return placed, durable(placed.groupBy("fp").agg(F.min(order)["node"].alias("least"), F.count("*").alias("n")))
+
+
+def shingle_sets(texts: DataFrame, k: int = NEAR_SHINGLE) -> DataFrame:
+    """(node, text) to (node, shingles): the distinct hashes of its shingles, as ``prints`` cuts them."""
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = settled(texts, "w", F.regexp_extract_all(lower, F.lit(f"({WORD})")))
+    n = F.least(F.size("w"), F.lit(k))
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    return cut.select("node", F.when(F.size("w") > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>")).alias("shingles"))
+
+
+def _verified(pairs: DataFrame, every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int, similarity: float) -> DataFrame:
+    """Of a written table of pairs (a, b) of nodes, those of that similarity: where bits leave it open, by the shingles themselves, which
+    ``sets`` gives for nodes."""
+    of_a = durable(pairs.groupBy("a").agg(F.count("*").alias("n")).join(every.select(F.col("node").alias("a"), F.col("fps").alias("fps_a")), "a"))
+    both = spread_join(pairs, of_a, "a", "n").join(every.select(F.col("node").alias("b"), F.col("fps").alias("fps_b")), "b")
+    differ = sum((F.bit_count(F.col("fps_a")[t].bitwiseXOR(F.col("fps_b")[t])) for t in range(tables)), F.lit(0))
+    near = durable(both.select("a", "b", differ.alias("differ")).where(F.col("differ") <= most_bits(64 * tables, similarity)))
+    sure = F.col("differ") <= most_bits(64 * tables, similarity, -2)
+    open_ = near.where(~sure).select("a", "b")
+    found = durable(sets(open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()))
+    of = lambda side: found.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    exact = open_.join(of("a"), "a").join(of("b"), "b").where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
+    return near.where(sure).select("a", "b").unionByName(exact.select("a", "b"))
+
+
+def first_links(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (node, fps) to links (a, b): each node with the one that stands for most of its halves, if they are alike."""
+    placed, groups = _halves(every, tables)
+    alike = spread_join(placed, groups, "fp", "n").where("least != node").groupBy("node", "least").agg(F.count("*").alias("halves"))
+    best = alike.groupBy("node").agg(F.max(F.struct("halves", "least")).alias("x")).select(F.col("x.least").alias("a"), F.col("node").alias("b"))
+    return _verified(durable(best), every, sets, tables, similarity)
+
+
+def links_of_similar(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (node, fps), an array of ``tables`` fingerprints each, to links (a, b) of nodes.  The nodes of one half meet its least;
+    halves within the radius meet by those."""
+    placed, groups = _halves(every, tables)
     alike = spread_join(placed, groups, "fp", "n").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = durable(links(_spread(groups.select("fp"), "fp"), radius, HALF))
     name = lambda side: groups.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
     met = near.join(name("a"), "a").join(name("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    pairs = durable(alike.unionByName(met).where("a != b").distinct())
-    of_a = durable(pairs.groupBy("a").agg(F.count("*").alias("n")).join(every.select(F.col("node").alias("a"), F.col("fps").alias("fps_a")), "a"))
-    both = spread_join(pairs, of_a, "a", "n").join(every.select(F.col("node").alias("b"), F.col("fps").alias("fps_b")), "b")
-    differ = sum((F.bit_count(F.col("fps_a")[t].bitwiseXOR(F.col("fps_b")[t])) for t in range(tables)), F.lit(0))
-    return both.where(differ <= most_bits(64 * tables, similarity)).select("a", "b")
+    return _verified(durable(alike.unionByName(met).where("a != b").distinct()), every, sets, tables, similarity)
 
 
 def _spread(written: DataFrame, *on: str) -> DataFrame:
@@ -163,7 +200,18 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     per_row = durable(of_row.groupBy(a, b).agg(F.min(key).alias("key"), F.min("fps").alias("fps"), F.count("*").alias("copies")))
     first = F.struct(F.col("key").isNull().alias("none"), "key", a, b)
     per_fp = durable(per_row.groupBy(F.xxhash64("fps").alias("fp")).agg(F.min(first).alias("least"), F.min("fps").alias("fps"), F.count("*").alias("n")))
-    linked = links_of_similar(per_fp.select(F.col("fp").alias("node"), "fps"), tables, radius, similarity)
+    node = F.col("fp").alias("node")
+    of_node = durable(per_fp.select(node, f"least.{a}", f"least.{b}"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        ids = of_node.join(nodes, "node").dropDuplicates([a, b])
+        return shingle_sets(ids.join(rows.select(a, b, F.col(text).alias("text")), [a, b]).dropDuplicates(["node"]).select("node", "text"), k)
+
+    first = components(first_links(per_fp.select(node, "fps"), sets, tables, similarity))
+    rooted = per_fp.join(first, per_fp["fp"] == first["node"], "left").withColumn("root", F.coalesce("component", "fp"))
+    stands = F.min(F.struct("least", "fp", "fps")).alias("x")  # one of each such group goes on
+    per_fp = durable(rooted.groupBy("root").agg(stands, F.sum("n").alias("n")).select("x.fp", "x.least", "x.fps", "n"))
+    linked = links_of_similar(per_fp.select(node, "fps"), sets, tables, radius, similarity)
     chosen = clusters(per_fp.drop("fps"), linked).select(f"name.{a}", f"name.{b}").distinct()
     # rows that repeat over 1/1000 of the table, fewer than 1000 of them, go round the shuffle
     hot = F.broadcast(per_row.where(F.col("copies") > (per_row.agg(F.sum("copies")).first()[0] or 0) / 1000).select(a, b))

@@ -332,13 +332,21 @@ def test_representatives_against_similarities(spark, docs):
     like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
     assert kept.isdisjoint(r["doc_id"] for r in more) and 9_999 in kept
     for i in sets.keys() - kept:  # nothing goes that has no like
-        assert not sets[i] or max(like(i, j) for j in sets if j != i) > 0.6
+        assert not sets[i] or max(like(i, j) for j in sets if j != i) > 0.75
     alike = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and like(a, b) >= 0.8]
     assert sum(not {a, b} <= kept for a, b in alike) >= 0.9 * len(alike)
     one_table = {r["doc_id"] for r in rows(simhash.representatives(spark.createDataFrame(every, "doc_id long, text string"), tables=1))}
     assert kept < one_table
 
 
+def test_shingle_sets_equal_plain_python(spark):
+    texts = [(1, "A b  c\td e f"), (2, "a B c d e f g\x0b"), (3, None), (4, "É only"), (5, "é only"), (6, "x " * 50)]
+    got = {r["node"]: set(r["shingles"]) for r in simhash.shingle_sets(spark.createDataFrame(texts, "node long, text string")).collect()}
+    sets = {i: shingle_set(t or "") for i, t in texts}
+    assert {i: len(s) for i, s in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert all(len(got[i] & got[j]) == len(sets[i] & sets[j]) for i in got for j in got)
+
+
 def test_most_bits_follows_the_similarity():
     assert simhash.most_bits(512, 1.0) == 0 and simhash.most_bits(512, 0.9) < simhash.most_bits(512, 0.8) < 128
 
