@@ -336,7 +336,7 @@ def test_representatives_against_similarities(spark, docs):
     alike = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and like(a, b) >= 0.8]
     assert sum(not {a, b} <= kept for a, b in alike) >= 0.9 * len(alike)
     one_table = {r["doc_id"] for r in rows(simhash.representatives(spark.createDataFrame(every, "doc_id long, text string"), tables=1))}
-    assert kept < one_table
+    assert len(kept) < len(one_table)
 
 
 def test_shingle_sets_equal_plain_python(spark):
