@@ -136,11 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             own = bags(pdf["text"])
             yield pd.DataFrame({"y": pdf["y"], "buckets": [b.tobytes() for b, _ in own], "counts": [c.tobytes() for _, c in own]})
 
-    # as bytes: lists of numbers would take the driver many times the memory
-    got = sample.mapInPandas(task, "y int, buckets binary, counts binary").toPandas().sort_values(["buckets", "y"], kind="stable")  # whatever order the rows came in
-    if not len(got):
+    # as bytes, and a partition at a time: lists of numbers, or all rows at once, would take the driver many times the memory
+    rows = sample.mapInPandas(task, "y int, buckets binary, counts binary").toLocalIterator()
+    got = sorted(((bytes(r["buckets"]), r["y"], bytes(r["counts"])) for r in rows), key=lambda r: r[:2])  # whatever order the rows came in
+    if not got:
         return Model(np.zeros(BUCKETS), 0.0)
-    return fit([(np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.float32)) for b, c in zip(got["buckets"], got["counts"], strict=True)], got["y"].to_numpy(), seed=seed)
+    return fit([(np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.float32)) for b, _, c in got], np.array([y for _, y, _ in got]), seed=seed)
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
