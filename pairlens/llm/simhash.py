@@ -156,6 +156,16 @@ def first_links(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables
     return _verified(durable(best), every, sets, tables, similarity)
 
 
+def _roots(linked: DataFrame, doublings: int = 2) -> DataFrame:
+    """Links (a, b) to (node, above): four steps up, each to the least node that one is linked with.  Nodes that are not at the top by
+    then stay apart, which is no loss: what is left of a group is linked in all halves afterwards."""
+    up = durable(linked.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("above")).groupBy("node").agg(F.min("above").alias("above")))
+    for _ in range(doublings):
+        further = up.select(F.col("node").alias("above"), F.col("above").alias("further"))
+        up = durable(up.join(further, "above", "left").select("node", F.coalesce("further", "above").alias("above")))
+    return up
+
+
 def links_of_similar(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct (node, fps), an array of ``tables`` fingerprints each, to links (a, b) of nodes.  The nodes of one half meet its least;
     halves within the radius meet by those."""
@@ -207,8 +217,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         ids = of_node.join(nodes, "node").dropDuplicates([a, b])
         return shingle_sets(ids.join(rows.select(a, b, F.col(text).alias("text")), [a, b]).dropDuplicates(["node"]).select("node", "text"), k)
 
-    first = components(first_links(per_fp.select(node, "fps"), sets, tables, similarity))
-    rooted = per_fp.join(first, per_fp["fp"] == first["node"], "left").withColumn("root", F.coalesce("component", "fp"))
+    first = _roots(first_links(per_fp.select(node, "fps"), sets, tables, similarity))
+    rooted = per_fp.join(first, per_fp["fp"] == first["node"], "left").withColumn("root", F.coalesce("above", "fp"))
     stands = F.min(F.struct("least", "fp", "fps")).alias("x")  # one of each such group goes on
     per_fp = durable(rooted.groupBy("root").agg(stands, F.sum("n").alias("n")).select("x.fp", "x.least", "x.fps", "n"))
     linked = links_of_similar(per_fp.select(node, "fps"), sets, tables, radius, similarity)
