@@ -161,7 +161,7 @@ ORACLES: dict[str, str] = {
     "example_pick": sql(f"select pair_id, subset, row_number() over (partition by pair_id order by len(string_split(subset, '/')), subset) as place from (select pair_id, {NAME} as subset from best)", "best"),
     "flaky_matcher": BASE["pandas_matcher"],
     "matcher_counts": sql(f"""select cast(run as integer) as run, count(*) as asked, count(distinct q) as questions, case when run = 1 then (select count(distinct q) from ({_ASKED}) where not alone) else 0 end as known,
-        0 as failed, cast(sum(p) as bigint) as matches from ({_ASKED}) cross join (select unnest([0, 1]) as run) where run = 1 or not alone group by run""", "rows_"),
+        cast(0 as bigint) as failed, cast(sum(p) as bigint) as matches from ({_ASKED}) cross join (select unnest([0, 1]) as run) where run = 1 or not alone group by run""", "rows_"),
     "hybrid_frontier": sql("select h.pair_id, h.k, h.feature, round(h.saliency, 6) as saliency from hsal_s h join width_s using (pair_id, k)", "hsal_s", "width_s"),
     "hybrid_rounds": sql("""select cast(k as integer) as k, pairs, coalesce(asked, 0) as asked from (select k, count(*) as pairs from open_s group by 1)
         left join (select k, count(*) as asked from (select triangle_id, mask, min(k) as k from within_s join open_s using (pair_id, k) group by 1, 2) group by 1) using (k)""", "open_s", "within_s"),
