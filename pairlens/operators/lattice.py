@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matchers import Matcher, SqlMatcher, sides
@@ -112,10 +112,35 @@ def monotone_levels(flipped: DataFrame) -> DataFrame:
     return levels.groupBy("triangle_id").agg(F.min(F.when(F.col("all_flip") == 1, F.col("level"))).alias("level"))
 
 
-def edges(spark: SparkSession, n: int) -> DataFrame:
-    """Cover relation of the lattice of n attributes: (below, above)."""
-    nodes = spark.range(1 << n).withColumnRenamed("id", "below")
-    return nodes.select("below", F.explode(F.array(*[F.lit(1 << i).cast("long") for i in range(n)])).alias("bit")).where(F.col("below").bitwiseAND(F.col("bit")) == 0).select("below", F.col("below").bitwiseOR(F.col("bit")).alias("above"))
+def algebra(found: DataFrame) -> DataFrame:
+    """The lattice that the found subsets of each pair and side span: ``found`` (pair_id, side, mask) and all their joins (unions) and
+    meets (intersections): pair_id, side, mask, origin, minimal, maximal, members.
+
+    ``origin`` is found, join (a union of found ones) or meet (an intersection of those; subsets being a distributive lattice, no
+    further round adds any).  ``minimal`` and ``maximal`` say of found ones whether no other found one lies below or above.
+    ``members`` lists all masks of the lattice.  A lattice has at most 2 ** MAX_ATTRIBUTES masks, so a pair's fit an array; repeated
+    rows count once, null masks are left out, and an intersection may be empty (mask 0)."""
+    grow = lambda masks, both: F.aggregate(masks, F.array().cast("array<int>"), lambda got, m: F.array_distinct(F.concat(got, F.array(m), F.transform(got, lambda x: both(x, m)))))
+    sets = found.groupBy("pair_id", "side").agg(F.array_sort(F.collect_set(F.col("mask").cast("int"))).alias("_found"))
+    sets = sets.withColumn("_joins", grow(F.col("_found"), lambda x, m: x.bitwiseOR(m))).withColumn("members", F.array_sort(grow(F.col("_joins"), lambda x, m: x.bitwiseAND(m))))
+    rows = sets.withColumn("mask", F.explode("members"))
+    inside = lambda x, y: (x != y) & (x.bitwiseAND(y) == x)
+    mask, own = F.col("mask"), F.array_contains("_found", F.col("mask"))
+    origin = F.when(own, "found").when(F.array_contains("_joins", mask), "join").otherwise("meet")
+    minimal, maximal = own & ~F.exists("_found", lambda x: inside(x, mask)), own & ~F.exists("_found", lambda x: inside(mask, x))
+    return rows.select("pair_id", "side", "mask", origin.alias("origin"), minimal.cast("int").alias("minimal"), maximal.cast("int").alias("maximal"), "members")
+
+
+def covers(closed: DataFrame, n: int) -> DataFrame:
+    """The edges (pair_id, side, below, above) of the Hasse diagrams of ``algebra``'s lattices over ``n`` attributes.
+
+    What covers a mask is the least of the members that contain it and one attribute more; of these, for all attributes, the minimal."""
+    least = lambda want: F.aggregate(F.filter("members", lambda y: y.bitwiseAND(want) == want), F.lit(None).cast("int"), lambda got, y: F.coalesce(got.bitwiseAND(y), y))
+    mask = F.col("mask")
+    nearest = F.array_compact(F.array_distinct(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) == 0, least(mask.bitwiseOR(F.lit(1 << i)))) for i in range(n)])))
+    rows = closed.withColumn("_near", F.explode(F.array(nearest)))  # computed once for each mask
+    above = F.filter("_near", lambda y: ~F.exists("_near", lambda x: (x != y) & (x.bitwiseAND(y) == x)))
+    return rows.select("pair_id", "side", mask.alias("below"), F.explode(above).alias("above"))
 
 
 def hasse_dot(names: list[str]) -> str:

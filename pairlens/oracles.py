@@ -95,6 +95,11 @@ CTE: dict[str, tuple[str, list[str]]] = {
     "cf": (f"""select *, bit_count(mask) as attr_count, row_number() over (partition by pair_id order by bit_count(mask), side, mask, copied, dropped) as place from (
         select f.pair_id, f.side, f.mask, dropped, copied, min(triangle_id) as triangle_id, {_all(lambda a: f'min(ltable_{a}) as ltable_{a}, min(rtable_{a}) as rtable_{a}')}
         from flip_ f join best b on f.pair_id = b.pair_id and f.side = b.side and f.mask = b.mask where flip = 1 group by f.pair_id, f.side, f.mask, dropped, copied)""", ["flip_", "best"]),
+    # a mask is a union of found ones if it is the union of all found ones inside it; likewise for intersections
+    "found_": ("select distinct pair_id, side, mask from cf", ["cf"]),
+    "joins_": ("select pair_id, side, x as mask from found_ cross join (select unnest(range(16)) as x) where (mask & x) = mask group by 1, 2, 3 having bit_or(mask) = x", ["found_"]),
+    "closed_": ("select pair_id, side, x as mask from joins_ cross join (select unnest(range(16)) as x) where (mask & x) = x group by 1, 2, 3 having bit_and(mask) = x", ["joins_"]),
+    "truth_": ("select id as ltable_id, id as rtable_id, 1 as label from rec union all select a.id, b.id, 0 from rec a join rec b on b.id = a.id + 1", ["rec"]),
     "spans": ("""select *, case when was is distinct from now then row_number() over (partition by triangle_id, path, was is distinct from now order by md5(concat_ws('|', path, attribute, position))) end as step from (
         select pair_id, side, decision, triangle_id, attribute, position, was, now, unnest(range(""" + str(PATHS) + """)) as path from (
         select pair_id, side, decision, triangle_id, attribute, p as position, case when p < len(f) then f[p + 1] end as was, case when p < len(s) then s[p + 1] end as now from (
@@ -133,6 +138,26 @@ def sql(query: str, *needs: str) -> str:
     return ("with " + ",\n".join(f"{n} as materialized ({CTE[n][0]})" for n in order) + "\n" if order else "") + query
 
 
+#: The words that noise replaces, and their short forms.
+FORMS = {"stainless": ["ss", "inox"], "package": ["pkg", "pack"], "hardware": ["hdw", "hw"], "kilogram": ["kg", "kilo"], "portable": ["port."], "cylinder": ["cyl"]}
+
+
+def noisy(value: str, salt: str, level: str) -> str:
+    """A value of the record ``id`` as noise of a level leaves it: words are numbered from 0 and change by draws from md5."""
+    pick = lambda what, n: f"(('0x' || substr(md5(concat(id, '#', {what})), 1, 8))::bigint % {n})"
+    draw = lambda what, n: pick(f"concat('{salt}.{what}.', i - 1)", n)
+    place = f"({draw('place', 1 << 16)} % greatest(length(w), 1))"
+    other = "case " + " ".join(f"when contains(lower(w), '{name}') then [{', '.join(repr(f) for f in forms)}][{draw('form', len(forms))} + 1]" for name, forms in reversed(FORMS.items())) + " else w end"
+    word = f"""case when not ({draw('whether', 10)} < {level} and w <> '') then w when {draw('kind', 10)} < 4 then concat(w[1:{place}], 'abcdefghijklmnopqrstuvwxyz'[{draw('letter', 26)} + 1], w[{place} + 2:])
+        when {draw('kind', 10)} < 6 then concat(case when length(w) > 3 then w[1:3] else w[1:1] end, '.') when {draw('kind', 10)} < 8 then {other} else w[1:greatest({place}, 1)] end"""
+    done = f"list_transform(string_split({value}, ' '), lambda w, i: {word})"
+    return f"case when {value} is not null then array_to_string(case when {pick(f"'{salt}.swap'", 10)} = 0 and len(string_split({value}, ' ')) > 1 then list_concat(({done})[2:2], ({done})[1:1], ({done})[3:]) else {done} end, ' ') end"
+
+
+def copies(salt: str, levels: str) -> str:
+    return f"select id, level, {_all(lambda a: f'{noisy(a, f"{salt}.{a}", "level")} as {a}')} from rec cross join (select unnest({levels}) as level)"
+
+
 R6 = "round({}, 6)"
 TOP2 = "list_sort(a[1:2])"
 ORACLES: dict[str, str] = {
@@ -178,7 +203,11 @@ ORACLES: dict[str, str] = {
     "cf_summary": sql(f"select pair_id, {NAME} as subset, round(sufficiency, 6) as sufficiency from best", "best"),
     "counterfactuals": sql("select pair_id, side, mask, dropped, copied, triangle_id, attr_count, place from cf", "cf"),
     "monotone_levels": sql("select triangle_id, min(case when a = 1 then level end) as level from (select triangle_id, bit_count(mask) as level, min(flip) as a from flip_ group by 1, 2) group by 1", "flip_"),
-    "lattice_edges": "select a.n as below, b.n as above from (select unnest(range(16)) as n) a join (select unnest(range(16)) as n) b on bit_count(b.n) - bit_count(a.n) = 1 and (a.n & b.n) = a.n",
+    "lattice_algebra": sql("""select pair_id, side, mask, case when mask in (select mask from found_ f where f.pair_id = c.pair_id and f.side = c.side) then 'found' when mask in (select mask from joins_ j where j.pair_id = c.pair_id and j.side = c.side) then 'join' else 'meet' end as origin,
+        cast(mask in (select mask from found_ f where f.pair_id = c.pair_id and f.side = c.side) and not exists (select 1 from found_ f where f.pair_id = c.pair_id and f.side = c.side and f.mask <> c.mask and (f.mask & c.mask) = f.mask) as int) as minimal,
+        cast(mask in (select mask from found_ f where f.pair_id = c.pair_id and f.side = c.side) and not exists (select 1 from found_ f where f.pair_id = c.pair_id and f.side = c.side and f.mask <> c.mask and (f.mask & c.mask) = c.mask) as int) as maximal from closed_ c""", "closed_"),
+    "lattice_edges": sql("""select b.pair_id, b.side, b.mask as below, a.mask as above from closed_ b join closed_ a on a.pair_id = b.pair_id and a.side = b.side and a.mask <> b.mask and (a.mask & b.mask) = b.mask
+        where not exists (select 1 from closed_ m where m.pair_id = b.pair_id and m.side = b.side and m.mask <> a.mask and m.mask <> b.mask and (m.mask & b.mask) = b.mask and (a.mask & m.mask) = m.mask)""", "closed_"),
     "triangle_properties": sql(f"""select triangle_id, cast({match('f_', 'f_')} + {match('p_', 'p_')} + {match('c_', 'c_')} = 3 as int) as identity,
         cast({match('f_', 'p_')} = {match('p_', 'f_')} and {match('p_', 'c_')} = {match('c_', 'p_')} and {match('f_', 'c_')} = {match('c_', 'f_')} as int) as symmetry,
         cast({match('f_', 'p_')} + {match('p_', 'c_')} + {match('f_', 'c_')} in (0, 1, 3) as int) as transitivity from (select {TID} as triangle_id, {_all(lambda a: f'{FREE(a)} as f_{a}, {PIVOT(a)} as p_{a}, c_{a}')} from bal)""", "bal"),
@@ -209,6 +238,10 @@ ORACLES: dict[str, str] = {
     "parse_answer": "select event_id, cast(event_id % 2 as int) as prediction, cast(user_id as double) as saliency, event_type as changed from events",
     "json_scores": "select event_id, round(cast(value as double), 6) as score from events",
     "judge_picks": "select pick, count(*) as n from (select case when event_id % 3 = 0 then 'system1' when event_id % 3 = 1 then 'system2' else 'tie' end as pick from events) group by 1",
+    "noisy_sources": sql(f"""select concat('0@', ltable_id, '#1@', rtable_id) as pair_id, label, {SHOWN} from truth_ join (select id as ltable_id, {_all(lambda a: f'{a} as ltable_{a}')} from ({copies('l', '[5]')})) using (ltable_id)
+        join (select id as rtable_id, {_all(lambda a: f'{a} as rtable_{a}')} from ({copies('r', '[8]')})) using (rtable_id)""", "truth_"),
+    "noise_f1": sql(f"""select level, tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 6) as f1 from (select level, count(*) filter (label = 1 and p = 1) as tp, count(*) filter (label = 0 and p = 1) as fp, count(*) filter (label = 1 and p = 0) as fn from (
+        select level, label, {match('l.', 'r.')} as p from truth_ join rec l on l.id = ltable_id join ({copies('r', '[0, 2, 4, 6, 8, 10]')}) r on r.id = rtable_id) group by 1)""", "truth_"),
     "pandas_matcher": sql("select pair_id, cast(decision as double) as match_score, 'ok' as status from dec", "dec"),
 }
 

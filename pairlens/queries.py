@@ -250,9 +250,19 @@ def monotone_levels(spark, d):
     return lattice.monotone_levels(explained(spark, d).flips)
 
 
+def spanned(spark: SparkSession, d: str) -> DataFrame:
+    """The lattices that the subsets of the pairs' counterfactuals span."""
+    return lattice.algebra(explained(spark, d).counterfactuals.select("pair_id", "side", "mask"))
+
+
+@query
+def lattice_algebra(spark, d):
+    return spanned(spark, d).drop("members")
+
+
 @query
 def lattice_edges(spark, d):
-    return lattice.edges(spark, len(NAMES))
+    return lattice.covers(spanned(spark, d), len(NAMES))
 
 
 @query
@@ -429,8 +439,20 @@ def pandas_matcher(spark, d):
 
 @query
 def noisy_sources(spark, d):
-    left, right, truth = generate.sources(spark, 150, 105, 150, 200)
-    return pairs.merge(truth, left, right)
+    own = records(spark, d)
+    left, right = (generate.noisy_copies(own, NAMES, salt, [level]).drop("level") for salt, level in (("l", 5), ("r", 8)))
+    return pairs.merge(generate.truth(own), left, right).select("pair_id", "label", *[p + a for p in (L, R) for a in ["id", *NAMES]])
+
+
+@query
+def noise_f1(spark, d):
+    own = records(spark, d)
+    copies = generate.noisy_copies(own, NAMES, "r", [0, 2, 4, 6, 8, 10])
+    rows = generate.truth(own).join(own.select([F.col(c).alias(L + c) for c in own.columns]), f"{L}id")
+    rows = rows.join(copies.select("level", *[F.col(c).alias(R + c) for c in own.columns]), f"{R}id")
+    says = rows.withColumn("p", matchers.token_match([F.col(L + a) for a in NAMES], [F.col(R + a) for a in NAMES]))
+    tp, fp, fn = (F.count_if((F.col("label") == t) & (F.col("p") == p)) for t, p in ((1, 1), (0, 1), (1, 0)))
+    return says.groupBy("level").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), r6(2.0 * tp / (2 * tp + fp + fn)).alias("f1"))
 
 
 #: Names that these queries once had beside others over a sample of the sources.
