@@ -6,7 +6,8 @@ patterns to source quotas: an arc from a pattern carries its tokens once at cost
 documents, and the rest from its documents in the order of a seeded hash.
 
 What reaches the driver are the sums by pattern and by source; more than MAX_PATTERNS of either are refused, none is cut.  The cut within a pattern is found from sums by hash bin,
-then within the one bin that it falls in, so a pattern that holds a third of all rows is never in one task.
+then from sums of equal rows (key and text) within the one bin that it falls in.  Of the equal rows that it falls among as many are taken as the rest
+needs, numbered within the parts that they are read in: neither a pattern nor a row that is repeated for a third of the table meets in one task.
 
 Defined cases: null texts have size 0 and take 0; a null source is a source of its own, last in order; repeated rows count each time;
 ties of the hash are split by id and text hash; a text of any length counts whole; an empty table gives no rows.
@@ -14,7 +15,7 @@ ties of the hash are split by id and text hash; a text of any length counts whol
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, durable, fraction, unused
 
 REPEATS, BINS, MAX_PATTERNS, SEED = 3, 4096, 100_000, 7
-PLACES = ("pattern", "size", "tie", "h", "bin", "cut", "taken")
+PLACES = ("pattern", "size", "tie", "h", "bin", "cut", "taken", "part")
 
 
 def words(text: str) -> Column:
@@ -43,54 +44,70 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], tota
 
 
 def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> dict[tuple, int]:
-    """Tokens that each pattern gives, by successive shortest paths; quotas that can't be met are met as far as possible."""
+    """Tokens that each pattern gives; quotas that can't be met are met as far as possible.
+
+    The one costs are those of the arcs into patterns, and a path never leads back into the start, so the cheapest paths are those of
+    the lowest repetition that still has room: primal-dual steps by repetition, each a maximum flow by layers."""
     names, sources = list(patterns), list(quotas)
-    start, end = 0, 1 + len(names) + len(sources)
+    end = 1 + len(names) + len(sources)
     node = {s: 1 + len(names) + i for i, s in enumerate(sources)}
-    graph: list[list[list]] = [[] for _ in range(end + 1)]  # [to, capacity, cost, place of the way back]
+    heads, room, arcs = [], [], [[] for _ in range(end + 1)]  # an arc's way back is arc ^ 1
 
-    def arc(a: int, b: int, capacity: int, cost: int) -> None:
-        graph[a].append([b, capacity, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
+    def arc(a: int, b: int, capacity: int) -> None:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            arcs[x].append(len(heads))
+            heads.append(y)
+            room.append(c)
 
+    for i in range(len(names)):
+        arc(0, 1 + i, 0)  # arc 2 * i
     for i, p in enumerate(names):
-        for r in range(repeats):
-            arc(start, 1 + i, patterns[p], r * (r + 1) // 2)
         for s in p:
             if s in node:
-                arc(1 + i, node[s], sum(patterns.values()) * repeats, 0)
+                arc(1 + i, node[s], patterns[p] * repeats)
     for s in sources:
-        arc(node[s], end, int(quotas[s]), 0)
-    height = [0] * (end + 1)
-    while True:
-        away, came = [float("inf")] * (end + 1), [None] * (end + 1)
-        away[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > away[a]:
-                continue
-            for j, (b, capacity, cost, _) in enumerate(graph[a]):
-                if capacity > 0 and (n := d + cost + height[a] - height[b]) < away[b]:
-                    away[b], came[b] = n, (a, j)
-                    heapq.heappush(heap, (n, b))
-        if came[end] is None:
-            break
-        height = [h + d if d < float("inf") else h for h, d in zip(height, away, strict=True)]
-        push, b = float("inf"), end
-        while b != start:
-            a, j = came[b]
-            push, b = min(push, graph[a][j][1]), a
-        b = end
-        while b != start:
-            a, j = came[b]
-            graph[a][j][1] -= push
-            graph[b][graph[a][j][3]][1] += push
-            b = a
-    left = dict.fromkeys(range(1, 1 + len(names)), 0)
-    for b, capacity, _, _ in graph[start]:
-        left[b] += capacity
-    return {p: repeats * patterns[p] - left[1 + i] for i, p in enumerate(names)}
+        arc(node[s], end, int(quotas[s]))
+
+    def layers() -> list[int]:
+        depth, queue = [-1] * (end + 1), deque([0])
+        depth[0] = 0
+        while queue:
+            a = queue.popleft()
+            for e in arcs[a]:
+                if room[e] > 0 and depth[heads[e]] < 0:
+                    depth[heads[e]] = depth[a] + 1
+                    queue.append(heads[e])
+        return depth
+
+    def fill(depth: list[int]) -> None:
+        """All that still goes through these layers."""
+        at, path, a = [0] * (end + 1), [], 0
+        while True:
+            if a == end:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                full = next(i for i, e in enumerate(path) if room[e] == 0)
+                a = heads[path[full] ^ 1]
+                del path[full:]
+            while at[a] < len(arcs[a]) and not (room[arcs[a][at[a]]] > 0 and depth[heads[arcs[a][at[a]]]] == depth[a] + 1):
+                at[a] += 1
+            if at[a] < len(arcs[a]):
+                path.append(arcs[a][at[a]])
+                a = heads[path[-1]]
+            elif path:
+                a = heads[path.pop() ^ 1]
+                at[a] += 1
+            else:
+                return
+
+    for _ in range(repeats):
+        for i, p in enumerate(names):
+            room[2 * i] += patterns[p]
+        while (depth := layers())[end] > 0:
+            fill(depth)
+    return {p: room[2 * i + 1] for i, p in enumerate(names)}
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> dict[tuple, int]:
@@ -110,7 +127,7 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> d
         groups.setdefault(find(p[0]) if p else None, []).append(p)
     out: dict[tuple, int] = {}
     for group in groups.values():
-        out |= flow({p: patterns[p] for p in group}, {s: quotas[s] for p in group for s in p}, repeats)
+        out.update(flow({p: patterns[p] for p in group}, {s: quotas[s] for p in group for s in p}, repeats))
     return out
 
 
@@ -152,16 +169,27 @@ def taken(rows: DataFrame, slim: DataFrame, key: str, names: dict[str, str], wei
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = slim.groupBy("pattern", "bin").agg(F.sum("size").alias("n")).withColumn("before", before)
     cuts = bins.join(plan, F.col("pattern").eqNullSafe(F.col("mixed"))).where("before < rest").groupBy("mixed", "passes", "rest").agg(F.max(F.struct("bin", "before")).alias("cut"))
-    all_cuts = plan.select(F.col("mixed").alias("_m"), "passes", "rest").join(cuts.select("mixed", "cut"), F.col("_m").eqNullSafe(F.col("mixed")), "left")
-    cuts = F.broadcast(all_cuts.select(F.struct(F.col("_m").alias("pattern"), "passes", "rest", F.coalesce("cut.bin", F.lit(-1)).alias("bin"), F.coalesce("cut.before", F.lit(0)).alias("before")).alias(names["cut"])))
-    at, size, tie = F.col(names["cut"]), F.col(names["size"]), names["tie"]
+    # within that bin: the last of the sums of equal rows that gives anything
+    cuts = F.broadcast(cuts.select("mixed", "rest", F.col("cut.bin").alias("at_bin"), F.col("cut.before").alias("bin_before")))
+    same = slim.join(cuts, F.col("pattern").eqNullSafe(F.col("mixed")) & (F.col("bin") == F.col("at_bin"))).groupBy("mixed", "rest", "bin_before", "h", "tie").agg(F.sum("size").alias("n"))
+    before = F.col("bin_before") + F.coalesce(F.sum("n").over(Window.partitionBy("mixed").orderBy("h", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = same.withColumn("before", before).where("before < rest").groupBy("mixed").agg(F.max(F.struct("h", "tie", "before")).alias("cut"))
+    none = F.struct(F.lit(-1.0).alias("h"), F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("before"))
+    all_cuts = plan.select(F.col("mixed").alias("_m"), "passes", "rest").join(cuts, F.col("_m").eqNullSafe(F.col("mixed")), "left").withColumn("cut", F.coalesce("cut", none))
+    cuts = F.broadcast(all_cuts.select(F.struct(F.col("_m").alias("pattern"), "passes", "rest", "cut.h", "cut.tie", "cut.before").alias(names["cut"])))
+    at, size, part = F.col(names["cut"]), F.col(names["size"]), names["part"]
     joined = rows.join(cuts, F.col(names["pattern"]).eqNullSafe(at["pattern"]))
-    in_cut = F.col(names["bin"]) == at["bin"]
-    order = Window.partitionBy(names["pattern"], names["bin"]).orderBy(names["h"], tie, key)
-    within = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size
-    cut = joined.where(in_cut).withColumn(names["taken"], F.least(size, F.greatest(at["rest"] - at["before"] - within, F.lit(0))))
-    whole = joined.where(~in_cut).withColumn(names["taken"], F.when(F.col(names["bin"]) < at["bin"], size).otherwise(0))
-    return whole.unionByName(cut).withColumn(names["taken"], size * at["passes"] + F.col(names["taken"])), info
+    place, last = F.struct(F.col(names["h"]).alias("h"), F.col(names["tie"]).alias("tie")), F.struct(at["h"].alias("h"), at["tie"].alias("tie"))
+    whole = joined.where(place != last).withColumn(names["taken"], F.when(place < last, size).otherwise(F.lit(0)))
+    # equal rows among which the cut falls: numbered by the part they were read in (written with them), then within it
+    equal = durable(joined.where(place == last).withColumn(part, F.spark_partition_id()))
+    of, nth, n, first = (unused(rows, c) for c in ("_of", "_place", "_n", "_first"))
+    before_part = Window.partitionBy(of).orderBy(nth).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = equal.groupBy(at["pattern"].alias(of), F.col(part).alias(nth)).agg(F.count("*").alias(n)).withColumn(first, F.coalesce(F.sum(n).over(before_part), F.lit(0)))
+    numbered = equal.join(ahead, at["pattern"].eqNullSafe(F.col(of)) & (F.col(part) == F.col(nth)))
+    number = F.col(first) + F.row_number().over(Window.partitionBy(of, nth).orderBy(key)) - 1
+    numbered = numbered.withColumn(names["taken"], F.least(size, F.greatest(at["rest"] - at["before"] - number * size, F.lit(0)))).select(*whole.columns)
+    return whole.unionByName(numbered).withColumn(names["taken"], size * at["passes"] + F.col(names["taken"])), info
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", member: str | None = None, weights: dict | None = None, seed: int = SEED, repeats: int = REPEATS) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import json
 import math
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -454,6 +455,33 @@ def test_mixed_rows_of_null_and_repeated_keys(spark):
         assert abs(got - own["target"].iloc[0]) <= own["size"].max()
 
 
+def test_mixing_takes_the_rows_of_the_seeded_order(spark):
+    """Plain Python: of each source whole passes, and the rest from its rows in order; half of all rows are one row."""
+    table = [(i, "w " * (i % 13), f"s{i % 3}") for i in range(300)] + [(7, "one hot row", "s1")] * 600 + [(None, "a b", None)] * 40
+    df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(9)
+    order = {(r["doc_id"], r["text"], r["source"]): (r["h"], r["tie"]) for r in rows(mixing.measured(df, "doc_id", "text", "source", None, mixing.SEED, {c: c for c in mixing.PLACES}))}
+    sizes = {s: sum(len(t.split()) for _, t, x in table if x == s) for s in ("s0", "s1", "s2", None)}
+    want = mixing.targets(sizes, {"s0": 1, "s1": 2, "s2": 3, None: 1}, sum(sizes.values()))
+    taken = []
+    for s, n in sizes.items():
+        passes, rest = divmod(round(want[s]), n)
+        for doc, text, _ in sorted((r for r in table if r[2] == s), key=lambda r: order[r]):
+            more = min(len(text.split()), rest)
+            rest -= more
+            taken.append((str(doc), str(s), len(text.split()), passes * len(text.split()) + more))
+    for cut in (df, df.coalesce(1)):
+        assert sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in rows(mixing.mix(cut))) == sorted(taken)
+
+
+def test_mixing_flow_of_many_patterns():
+    many = {tuple(f"s{x}" for x in sorted({i % 97, i % 89, i % 83})): 10 + i % 7 for i in range(20_000)}
+    quotas = {f"s{i}": 2 * sum(many.values()) // 100 for i in range(97)}
+    began = time.process_time()
+    given = mixing.route(many, quotas)
+    assert time.process_time() - began < 60 and all(0 <= given[p] <= 3 * n for p, n in many.items())
+    assert sum(given.values()) == sum(quotas.values())
+
+
 def test_mixing_odd_rows(spark, odd, none):
     out = mixing.mix(odd).toPandas()
     assert len(out) == len(ODD) and (out["taken"] <= 3 * out["size"]).all()
