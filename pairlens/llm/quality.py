@@ -3,7 +3,7 @@
 A document is the average of the learned vectors of its words, the character n-grams (3 to 5) of its words, and its word pairs, all
 hashed to ``BUCKETS`` (pairs of a word with itself to one of them); a softmax over two labels follows.  It is trained by numpy stochastic gradient descent, a document a step, on
 at most about ``max_train`` labelled documents, chosen by a hash of the id; that bound is a parameter.  The features of the sample are
-made in tasks; the driver holds only them.  For scoring, vectors and output layer are multiplied once to one number a bucket.
+made in tasks, and one task, which gets only them, learns; the driver holds what is learned, a number for each bucket.  For scoring, vectors and output layer are multiplied once to one number a bucket.
 
 Defined cases: null and empty texts have the score of the bias alone; null labels teach nothing; repeated rows are scored each, and
 teach once; a document with several labels teaches each of them; texts of any length are scored whole; without labelled rows every score is 0.5; an empty table gives no rows.
@@ -136,12 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             own = bags(pdf["text"])
             yield pd.DataFrame({"y": pdf["y"], "buckets": [b.tobytes() for b, _ in own], "counts": [c.tobytes() for _, c in own]})
 
-    # as bytes, and a partition at a time: lists of numbers, or all rows at once, would take the driver many times the memory
-    rows = sample.mapInPandas(task, "y int, buckets binary, counts binary").toLocalIterator()
-    got = sorted(((bytes(r["buckets"]), r["y"], bytes(r["counts"])) for r in rows), key=lambda r: r[:2])  # whatever order the rows came in
-    if not got:
-        return Model(np.zeros(BUCKETS), 0.0)
-    return fit([(np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.float32)) for b, _, c in got], np.array([y for _, y, _ in got]), seed=seed)
+    # one task learns from the whole sample, which max_train bounds; the driver gets a number for each bucket
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = sorted(zip(pdf["buckets"], pdf["y"], pdf["counts"], strict=True), key=lambda r: r[:2])  # whatever order the rows came in
+        model = fit([(np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.float32)) for b, _, c in got], np.array([y for _, y, _ in got]), seed=seed)
+        return pd.DataFrame({"by_bucket": [model.by_bucket.tobytes()], "bias": [model.bias]})
+
+    learned = sample.mapInPandas(task, "y int, buckets binary, counts binary").groupBy(F.lit(0)).applyInPandas(learn, "by_bucket binary, bias double").first()
+    return Model(np.frombuffer(learned["by_bucket"], dtype=np.float64), learned["bias"]) if learned else Model(np.zeros(BUCKETS), 0.0)
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
