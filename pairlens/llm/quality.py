@@ -136,13 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             own = bags(pdf["text"])
             yield pd.DataFrame({"y": pdf["y"], "buckets": [b.tobytes() for b, _ in own], "counts": [c.tobytes() for _, c in own]})
 
-    # one task learns from the whole sample, which max_train bounds; the driver gets a number for each bucket
+    # one task learns from the whole sample (no y is null), which max_train bounds; the driver gets a number for each bucket
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         got = sorted(zip(pdf["buckets"], pdf["y"], pdf["counts"], strict=True), key=lambda r: r[:2])  # whatever order the rows came in
         model = fit([(np.frombuffer(b, dtype=np.int32), np.frombuffer(c, dtype=np.float32)) for b, _, c in got], np.array([y for _, y, _ in got]), seed=seed)
         return pd.DataFrame({"by_bucket": [model.by_bucket.tobytes()], "bias": [model.bias]})
 
-    learned = sample.mapInPandas(task, "y int, buckets binary, counts binary").groupBy(F.lit(0)).applyInPandas(learn, "by_bucket binary, bias double").first()
+    learned = sample.mapInPandas(task, "y int, buckets binary, counts binary").groupBy(F.col("y").isNull()).applyInPandas(learn, "by_bucket binary, bias double").first()
     return Model(np.frombuffer(learned["by_bucket"], dtype=np.float64), learned["bias"]) if learned else Model(np.zeros(BUCKETS), 0.0)
 
 
