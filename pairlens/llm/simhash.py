@@ -157,9 +157,10 @@ def first_links(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables
 
 
 def _roots(linked: DataFrame, doublings: int = 2) -> DataFrame:
-    """Links (a, b) to (node, above): four steps up, each to the least node that one is linked with.  Nodes that are not at the top by
-    then stay apart, which is no loss: what is left of a group is linked in all halves afterwards."""
-    up = durable(linked.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("above")).groupBy("node").agg(F.min("above").alias("above")))
+    """Links (a, b), one at most for each b, to (node, above): four steps from each b to its a, so that all whom one node stands for come
+    together, whatever the order of their ids.  Nodes that come to the same one are linked with each other; that these steps may end
+    in a circle, or below the top, only leaves some of a group apart, which are linked in all halves afterwards."""
+    up = durable(linked.select(F.col("b").alias("node"), F.col("a").alias("above")))
     for _ in range(doublings):
         further = up.select(F.col("node").alias("above"), F.col("above").alias("further"))
         up = durable(up.join(further, "above", "left").select("node", F.coalesce("further", "above").alias("above")))
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES, similarity: float = SIMILARITY, passes: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the least key, null keys last, then by a hash of the whole row.  Rows are told
     apart by that hash, not by the key, so rows of null or repeated keys are groups' members like any other; of rows that are equal
     in all columns one stays.  Rows are linked as ``links_of_similar`` says; more ``tables`` catch more of the near copies, and tell the
@@ -217,10 +218,11 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         ids = of_node.join(nodes, "node").dropDuplicates([a, b])
         return shingle_sets(ids.join(rows.select(a, b, F.col(text).alias("text")), [a, b]).dropDuplicates(["node"]).select("node", "text"), k)
 
-    first = _roots(first_links(per_fp.select(node, "fps"), sets, tables, similarity))
-    rooted = per_fp.join(first, per_fp["fp"] == first["node"], "left").withColumn("root", F.coalesce("above", "fp"))
-    stands = F.min(F.struct("least", "fp", "fps")).alias("x")  # one of each such group goes on
-    per_fp = durable(rooted.groupBy("root").agg(stands, F.sum("n").alias("n")).select("x.fp", "x.least", "x.fps", "n"))
+    for _ in range(passes):  # a second one, as what is left of a group has others to stand for it
+        up = _roots(first_links(per_fp.select(node, "fps"), sets, tables, similarity))
+        rooted = per_fp.join(up, per_fp["fp"] == up["node"], "left").withColumn("root", F.coalesce("above", "fp"))
+        stands = F.min(F.struct("least", "fp", "fps")).alias("x")  # one of each such group goes on
+        per_fp = durable(rooted.groupBy("root").agg(stands, F.sum("n").alias("n")).select("x.fp", "x.least", "x.fps", "n"))
     linked = links_of_similar(per_fp.select(node, "fps"), sets, tables, radius, similarity)
     chosen = clusters(per_fp.drop("fps"), linked).select(f"name.{a}", f"name.{b}").distinct()
     # rows that repeat over 1/1000 of the table, fewer than 1000 of them, go round the shuffle
