@@ -21,12 +21,13 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unused
+from .common import small_batches, unused
 
 #: Control strings of common chat templates, as regular expressions that match after the first character was seen.
 CONTROL = r"<(?=\|)|<(?=/?s>)|<(?=</?SYS>>)|<(?=/?(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>)|\[(?=/?INST\])|\[(?=/?(?:SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\])"
@@ -110,6 +111,18 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _running_sums(lengths: pd.Series) -> pd.Series:
+    # SQL's aggregate copies the list for each turn that it appends
+    return lengths.map(np.cumsum)
+
+
+@F.pandas_udf(T.StringType())
+def _cut(text: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+    # SQL's substring counts code points from the start of the text for each span
+    return pd.Series([None if t is None or at is None else "".join(t[a - 1 : a - 1 + n] for a, n in zip(at, long, strict=True)) for t, at, long in zip(text, starts, lengths, strict=True)], dtype=object)
+
+
 def render(df: DataFrame, trained: str = "assistant") -> DataFrame:
     """Adds ``formatted`` and ``loss_spans`` (start from 1, length; in code points of ``formatted``) from ``turns``; they replace
     columns of those names."""
@@ -117,16 +130,13 @@ def render(df: DataFrame, trained: str = "assistant") -> DataFrame:
     heads, kept = unused(df, "heads"), [c for c in df.columns if c not in ("formatted", "loss_spans")]
     safe = lambda t, c: escape(F.coalesce(t[c], F.lit("")))
     marked = F.transform(empty, lambda t: F.struct(F.concat(F.lit("<|turn|>"), safe(t, "role"), F.lit("<|text|>")).alias("head"), safe(t, "text").alias("text"), (t["role"] == trained).alias("on")))
+    small_batches(df.sparkSession)
     df = df.select(*kept).withColumn(heads, marked)
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    spans = F.aggregate(
-        heads, zero,
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["head"]) + F.length(t["text"]) + F.length(F.lit("<|end|>"))).alias("at"),
-            F.when(t["on"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    end = F.length(F.lit("<|end|>"))
+    ends = _running_sums(F.transform(heads, lambda t: (F.length(t["head"]) + F.length(t["text"]) + end).cast("long")))
+    place = lambda t, at: F.struct((at - end - F.length(t["text"]) + 1).cast("int").alias("start"), F.length(t["text"]).alias("length"), t["on"].alias("on"))
+    on = F.filter(F.zip_with(heads, ends, place), lambda x: x["on"])
+    spans = F.transform(on, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     text = F.array_join(F.transform(heads, lambda t: F.concat(t["head"], t["text"], F.lit("<|end|>"))), "")
     return df.withColumn("formatted", text).withColumn("loss_spans", spans).drop(heads)
 
@@ -138,8 +148,8 @@ def parse(df: DataFrame) -> DataFrame:
         unescape(F.substring_index(F.regexp_replace(x, r"^<\|turn\|>", ""), "<|text|>", 1)).alias("role"),
         unescape(F.substring_index(x, "<|text|>", -1)).alias("text"),
     ))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"]))), "")
-    return df.withColumn("parsed", turn).withColumn("loss_text", loss)
+    small_batches(df.sparkSession)
+    return df.withColumn("parsed", turn).withColumn("loss_text", unescape(_cut("formatted", F.col("loss_spans.start"), F.col("loss_spans.length"))))
 
 
 def gather(rows: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -206,6 +206,16 @@ def test_chat_roles_layouts_and_clashes(spark):
     assert len(rows(chat_format.canonical_turns(records.unionByName(records)))) == 12
 
 
+def test_chat_of_many_turns_takes_time_by_length(spark):
+    turns = [("assistant" if i % 2 else "user", f"turn {i} <|end|> \\ é𝄞" if i % 5 else None) for i in range(20_000)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    start = time.time()
+    out = rows(chat_format.parse(chat_format.render(chat_format.canonical_turns(chat_format.gather(df), roles={}))))[0]
+    assert [(t["role"], t["text"]) for t in out["parsed"]] == [(r, t or "") for r, t in turns]
+    assert out["loss_text"] == "".join(t or "" for r, t in turns if r == "assistant") and len(out["loss_spans"]) == 10_000
+    assert time.time() - start < 30
+
+
 def test_chat_gather_nulls(spark):
     df = spark.createDataFrame([(1, 1, None, "b"), (1, 0, "user", None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     out = {r["conv_id"]: r for r in rows(chat_format.parse(chat_format.render(chat_format.canonical_turns(chat_format.gather(df)))))}
