@@ -8,9 +8,9 @@ of each other, so each is linked to the least of them (no pairs within the group
 ``representatives`` looks for a similarity of five-word shingles, at which some ten of 64 bits differ: too many for a ball of variants.
 So a text gets several fingerprints, each by a hash function of its own, and each is cut in halves of 32 bits.  Texts meet if any half
 is within the radius, and are linked if all their bits together show that similarity, or, where bits leave it open, their shingles do.  A
-large group
-of near copies would make many links within itself, so it is brought down first: each text is compared with the one text that it shares
-most halves with, and goes where the two are linked.  What is left then meets in all halves.
+large group of near copies would make many links within itself, so it is brought down first: each text is compared with the one text that
+it shares most halves with, and goes where the two are linked.  What is left meets in the halves of the first quarter of its fingerprints,
+one text of each group that this links goes on, and those meet in the halves of the others.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint zero, which is linked like any other; texts of fewer
 words than a shingle hash their whole word sequence; equal fingerprints are always linked; repeated rows stay rows; documents of null
@@ -113,11 +113,11 @@ def most_bits(bits: int, similarity: float = SIMILARITY, errors: int = 2) -> int
     return round(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def _halves(every: DataFrame, tables: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (node, fps) to (node, fp) of all their halves, each with its place above its 32 bits, and to (fp, least, n): of the
+def _halves(every: DataFrame, tables: range) -> tuple[DataFrame, DataFrame]:
+    """Distinct (node, fps) to (node, fp) of the halves of these of their fingerprints, each with its place above its 32 bits, and to (fp, least, n): of the
     nodes of a half the least in an order of that half's own, so that no node stands for the same texts everywhere."""
     low = F.lit((1 << HALF) - 1).cast("long")
-    halves = [F.lit((2 * t + i) << HALF).cast("long").bitwiseOR(half) for t in range(tables) for i, half in enumerate((F.col("fps")[t].bitwiseAND(low), F.shiftrightunsigned(F.col("fps")[t], HALF)))]
+    halves = [F.lit((2 * t + i) << HALF).cast("long").bitwiseOR(half) for t in tables for i, half in enumerate((F.col("fps")[t].bitwiseAND(low), F.shiftrightunsigned(F.col("fps")[t], HALF)))]
     placed = durable(every.select("node", F.explode(F.array(*halves)).alias("fp")))
     order = F.struct(F.xxhash64("fp", "node"), F.col("node").alias("node"))
     return placed, durable(placed.groupBy("fp").agg(F.min(order)["node"].alias("least"), F.count("*").alias("n")))
@@ -150,7 +150,7 @@ def _verified(pairs: DataFrame, every: DataFrame, sets: Callable[[DataFrame], Da
 
 def first_links(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct (node, fps) to links (a, b): each node with the one that stands for most of its halves, if they are alike."""
-    placed, groups = _halves(every, tables)
+    placed, groups = _halves(every, range(tables))
     alike = spread_join(placed, groups, "fp", "n").where("least != node").groupBy("node", "least").agg(F.count("*").alias("halves"))
     best = alike.groupBy("node").agg(F.max(F.struct("halves", "least")).alias("x")).select(F.col("x.least").alias("a"), F.col("node").alias("b"))
     return _verified(durable(best), every, sets, tables, similarity)
@@ -167,10 +167,10 @@ def _roots(linked: DataFrame, doublings: int = 2) -> DataFrame:
     return up
 
 
-def links_of_similar(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def links_of_similar(every: DataFrame, sets: Callable[[DataFrame], DataFrame], tables: int = TABLES, radius: int = RADIUS, similarity: float = SIMILARITY, by: range | None = None) -> DataFrame:
     """Distinct (node, fps), an array of ``tables`` fingerprints each, to links (a, b) of nodes.  The nodes of one half meet its least;
-    halves within the radius meet by those."""
-    placed, groups = _halves(every, tables)
+    halves within the radius meet by those.  ``by`` are the fingerprints whose halves count, all by default."""
+    placed, groups = _halves(every, range(tables) if by is None else by)
     alike = spread_join(placed, groups, "fp", "n").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = durable(links(_spread(groups.select("fp"), "fp"), radius, HALF))
     name = lambda side: groups.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}"))
@@ -191,6 +191,12 @@ def clusters(per_fp: DataFrame, linked: DataFrame) -> DataFrame:
     return spread_join(rooted, names, "root", "fps").select("fp", "n", "name")
 
 
+def _brought_down(per_fp: DataFrame, up: DataFrame) -> DataFrame:
+    """Of the texts (fp, least, fps) that have the same ``above`` in (node, above) the one of the least ``least`` goes on."""
+    rooted = per_fp.join(up, per_fp["fp"] == up["node"], "left").withColumn("root", F.coalesce("above", "fp"))
+    return durable(rooted.groupBy("root").agg(F.min(F.struct("least", "fp", "fps")).alias("x")).select("x.fp", "x.least", "x.fps"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id (the least key in its component)."""
     of_doc = durable(fingerprints(docs, key, text, k).select(key, F.col("fps")[0].alias("fp")))
@@ -199,7 +205,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return spread_join(of_doc, named, "fp", "n").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES, similarity: float = SIMILARITY, passes: int = 2) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, radius: int = RADIUS, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: that of the least key, null keys last, then by a hash of the whole row.  Rows are told
     apart by that hash, not by the key, so rows of null or repeated keys are groups' members like any other; of rows that are equal
     in all columns one stays.  Rows are linked as ``links_of_similar`` says; more ``tables`` catch more of the near copies, and tell the
@@ -210,7 +216,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     of_row = durable(fingerprints(rows, key, text, k, (a, b), tables))
     per_row = durable(of_row.groupBy(a, b).agg(F.min(key).alias("key"), F.min("fps").alias("fps"), F.count("*").alias("copies")))
     first = F.struct(F.col("key").isNull().alias("none"), "key", a, b)
-    per_fp = durable(per_row.groupBy(F.xxhash64("fps").alias("fp")).agg(F.min(first).alias("least"), F.min("fps").alias("fps"), F.count("*").alias("n")))
+    per_fp = durable(per_row.groupBy(F.xxhash64("fps").alias("fp")).agg(F.min(first).alias("least"), F.min("fps").alias("fps")))
     node = F.col("fp").alias("node")
     of_node = durable(per_fp.select(node, f"least.{a}", f"least.{b}"))
 
@@ -218,13 +224,12 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         ids = of_node.join(nodes, "node").dropDuplicates([a, b])
         return shingle_sets(ids.join(rows.select(a, b, F.col(text).alias("text")), [a, b]).dropDuplicates(["node"]).select("node", "text"), k)
 
-    for _ in range(passes):  # a second one, as what is left of a group has others to stand for it
-        up = _roots(first_links(per_fp.select(node, "fps"), sets, tables, similarity))
-        rooted = per_fp.join(up, per_fp["fp"] == up["node"], "left").withColumn("root", F.coalesce("above", "fp"))
-        stands = F.min(F.struct("least", "fp", "fps")).alias("x")  # one of each such group goes on
-        per_fp = durable(rooted.groupBy("root").agg(stands, F.sum("n").alias("n")).select("x.fp", "x.least", "x.fps", "n"))
-    linked = links_of_similar(per_fp.select(node, "fps"), sets, tables, radius, similarity)
-    chosen = clusters(per_fp.drop("fps"), linked).select(f"name.{a}", f"name.{b}").distinct()
+    per_fp = _brought_down(per_fp, _roots(first_links(per_fp.select(node, "fps"), sets, tables, similarity)))
+    few = max(1, tables // 4)  # by these most of what a large group has left is linked, and doesn't meet once more for each of the others
+    for by in filter(None, (range(few), range(few, tables))):
+        linked = links_of_similar(per_fp.select(node, "fps"), sets, tables, radius, similarity, by)
+        per_fp = _brought_down(per_fp, components(linked).withColumnRenamed("component", "above"))
+    chosen = per_fp.select(f"least.{a}", f"least.{b}").distinct()
     # rows that repeat over 1/1000 of the table, fewer than 1000 of them, go round the shuffle
     hot = F.broadcast(per_row.where(F.col("copies") > (per_row.agg(F.sum("copies")).first()[0] or 0) / 1000).select(a, b))
     chosen = durable(chosen)
