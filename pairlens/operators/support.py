@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import count_cosine, diff_label, words
 from ..written import written
 from . import search
+from .calls import key
 from .matchers import Matcher, SqlMatcher, sides
 from .pairs import L, R, attributes, record_text
 
@@ -91,18 +92,23 @@ def copies(rows: DataFrame) -> DataFrame:
 def augmented(found: DataFrame, rows: DataFrame, n: int = TRIANGLES, matcher: Matcher | None = None) -> DataFrame:
     """``found`` candidates with copies of the pair, for pairs of which fewer than n candidates turn the decision; as of records, the
     2n copies most like the other side (least like, if the pair matches) are put to the matcher."""
-    names, matcher = attributes(rows), matcher or SqlMatcher()
+    matcher = matcher or SqlMatcher()
     turned = found.groupBy("pair_id").agg(F.max("decision").alias("decision"), F.sum((F.col("c_decision") != F.col("decision")).cast("int")).alias("_turned"))
     short = turned.where(F.coalesce("_turned", F.lit(0)) < n).select("pair_id", "decision")
-    made = copies(rows).drop("attribute", "position", "diff").join(rows.join(short, "pair_id"), "pair_id")
+    return found.unionByName(_cut(rows.join(short, "pair_id"), n, matcher).select(found.columns))
+
+
+def _cut(short: DataFrame, n: int, matcher: Matcher) -> DataFrame:
+    """The copies that ``augmented`` adds to decided pair rows with too few candidates."""
+    names = attributes(short)
+    made = copies(short).drop("attribute", "position", "diff").join(short, "pair_id")
     other = F.when(F.col("side") == "L", record_text(*[R + a for a in names])).otherwise(record_text(*[L + a for a in names]))
     made = made.withColumn("_a", words(other)).withColumn("_b", words(record_text(*[f"c_{a}" for a in names]))).withColumn("score", count_cosine(F.col("_a"), F.col("_b")))
     order = F.when(F.col("decision") == 0, -F.col("score")).otherwise(F.col("score"))
     made = made.withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy(order, F.desc("c_id")))).where(F.col("place") <= 2 * n)
     on_left = F.col("side") == "L"
     changed = [F.when(on_left, F.col(f"c_{a}")).otherwise(F.col(L + a)) for a in names], [F.when(on_left, F.col(R + a)).otherwise(F.col(f"c_{a}")) for a in names]
-    made = matcher.decide(made, *changed, names, "c_decision").select(found.columns)
-    return found.unionByName(made)
+    return matcher.decide(made, *changed, names, "c_decision")
 
 
 def balanced(found: DataFrame, n: int = TRIANGLES) -> DataFrame:
@@ -118,6 +124,53 @@ def balanced(found: DataFrame, n: int = TRIANGLES) -> DataFrame:
     return turned.where(f"ord <= {n // 2} or ord > _t - {n // 2} or _t <= {n}").drop("_n", "_k", "_t", "rank")
 
 
+def supports(rows: DataFrame, left: DataFrame, right: DataFrame, n: int = TRIANGLES, size: int | None = None, matcher: Matcher | None = None, copied: bool = True) -> DataFrame:
+    """``balanced`` of the ``candidates``, with ``augmented`` between if ``copied``, without a row for each candidate of each pair.
+
+    Which candidates turn a pair depends on its decision and on the record that stays, so they are listed once for each of these (at
+    most 2n, in hash order), and a pair takes its supports from two lists.  Pairs whose lists are too short go the longer way."""
+    names, matcher = attributes(rows), matcher or SqlMatcher()
+    kept = ["pair_id", "decision", *[p + a for p in (L, R) for a in ["id", *names]]]
+    asked = matcher.decide(rows, *sides(rows), "decision").where("decision is not null")
+    asked = written(asked.select(*kept, *[key(*[F.col(p + a).cast("string") for a in names]).alias(f"_{p}") for p in (L, R)]))
+    every, records = asked, []
+    for side, source, other in (("L", left, R), ("R", right, L)):
+        own = (source if size is None else pool(source, size)).select(F.col("id").alias("c_id"), *[F.col(a).alias(f"c_{a}") for a in names])
+        stays = asked.groupBy(f"_{other}", "decision").agg(F.first(F.struct(*[other + a for a in names])).alias("r")).select(f"_{other}", "decision", "r.*")
+        stays = written(stays.withColumn("text", record_text(*[other + a for a in names])).withColumn("most", F.col("decision") == 0))
+        best = scored_whole(stays.select("text", "most"), own.select("c_id", record_text(*[f"c_{a}" for a in names]).alias("c_text")), 2 * n)
+        met = stays.join(best, ["text", "most"]).join(own, "c_id")
+        both = [F.col(f"c_{a}") for a in names], [F.col(other + a) for a in names]
+        met = matcher.decide(met, *(both if side == "L" else both[::-1]), names, "c_decision").where("c_decision != decision")
+        entry = F.struct(F.md5(F.concat(F.lit(f"{side}@"), F.col("c_id").cast("string"))).alias("h"), "c_id", "score")
+        listed = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(F.lit(side).alias("side"), x["c_id"].alias("c_id"), x["score"].alias("score")))
+        every = every.join(met.groupBy(f"_{other}", "decision").agg(listed.alias(f"_of_{side}")), [f"_{other}", "decision"], "left")
+        every = every.withColumn(f"_n_{side}", F.coalesce(F.size(f"_of_{side}"), F.lit(0)))
+        records.append(own.withColumn("side", F.lit(side)))
+    lists = [F.when(F.col(f"_n_{s}") > 0, F.col(f"_of_{s}")).otherwise(F.array()) for s in "LR"]
+    own = records[0].unionByName(records[1])
+
+    def shown(df: DataFrame, *more: str) -> DataFrame:
+        out = df.select(*kept, F.inline("_taken")).join(own, ["side", "c_id"])
+        return out.select("side", *kept, "c_id", *[f"c_{a}" for a in names], "score", (1 - F.col("decision")).alias("c_decision"), *more)
+
+    if copied:
+        every = written(every)
+    l, r = F.col("_n_L"), F.col("_n_R")  # noqa: E741
+    k = F.when((l > 0) & (r > 0), F.least(l, r)).otherwise(F.greatest(l, r))
+    taken = F.concat(*[F.slice(x, F.lit(1), k) for x in lists])
+    numbered = F.transform(taken, lambda x, i: F.struct(x["side"].alias("side"), x["c_id"].alias("c_id"), x["score"].alias("score"), (i + 1).cast("int").alias("ord")))
+    enough = (every.where(l + r >= n) if copied else every).withColumn("_taken", numbered).withColumn("_t", F.size("_taken"))
+    enough = enough.withColumn("_taken", F.filter("_taken", lambda x: (x["ord"] <= n // 2) | (x["ord"] > F.col("_t") - n // 2) | (F.col("_t") <= n)))
+    out = shown(enough, "ord")
+    if not copied:
+        return out
+    short = every.where(l + r < n)
+    found = shown(short.withColumn("_taken", F.concat(*lists)))
+    made = _cut(short.select(kept), n, matcher).select(found.columns)
+    return out.unionByName(balanced(found.unionByName(made), n))
+
+
 def triangles(support: DataFrame) -> DataFrame:
     """pair_id, triangle_id, side, free_id, pivot_id, support_id: the free record is that of the support's side."""
     left = F.col("side") == "L"

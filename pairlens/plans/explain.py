@@ -159,10 +159,8 @@ def explain(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int = suppor
         rows, members = pair_rows.distinct(rows)
     if augment == "always":
         left, right = (with_cuts(s, names) for s in (left, right))
-    found = support.candidates(rows, left, right, n, sample, matcher)
-    if augment == "on_demand":
-        found = support.augmented(written(found), rows, n, matcher)
-    e = Explanation(rows, support.balanced(found, n), names, vary, matcher, features, strategy)
+    found = support.supports(rows, left, right, n, sample, matcher, copied=augment == "on_demand")
+    e = Explanation(rows, found, names, vary, matcher, features, strategy)
     return e if features is not None else Shared(every, e, members)
 
 
