@@ -33,9 +33,13 @@ def perturbed(support: DataFrame, names: list[str] | None = None, sizes: range |
     """Each support row times each subset: the free side's attributes in the subset copied from the support record.
 
     ``names`` limits the attributes that vary, before anything is expanded."""
-    every = attributes(support)
-    names = names or every
-    rows = support.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in subsets(names, sizes)])))
+    names = names or attributes(support)
+    return at_masks(support.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in subsets(names, sizes)]))), names)
+
+
+def at_masks(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``perturbed`` of support rows that have a ``mask`` already."""
+    every = attributes(rows)
     on = lambda a: F.col("mask").bitwiseAND(F.lit(1 << names.index(a))) != 0 if a in names else F.lit(False)
     left = F.col("side") == "L"
     shown = [F.when(left & on(a), F.col(f"c_{a}")).otherwise(F.col(L + a)).alias(L + a) for a in every] + [F.when(~left & on(a), F.col(f"c_{a}")).otherwise(F.col(R + a)).alias(R + a) for a in every]
@@ -97,10 +101,9 @@ def summary(suff: DataFrame) -> DataFrame:
     return best.withColumn("_o", own).where(~F.exists("_o", lambda o: (o != F.col("mask")) & (o.bitwiseAND(F.col("mask")) == o))).drop("_o")
 
 
-def counterfactuals(flipped: DataFrame, best: DataFrame) -> DataFrame:
+def counterfactuals(hits: DataFrame) -> DataFrame:
     """The flipped perturbations of the summary's subsets, equal ones once, fewest attributes first."""
-    hits = flipped.where("flip = 1").join(best.select("pair_id", "side", "mask"), ["pair_id", "side", "mask"], "left_semi")
-    names = attributes(flipped)
+    names = attributes(hits)
     order = Window.partitionBy("pair_id").orderBy(F.bit_count("mask"), "side", "mask", "copied", "dropped")
     one = hits.groupBy("pair_id", "side", "mask", "dropped", "copied").agg(F.min("triangle_id").alias("triangle_id"), F.any_value("decision").alias("decision"), *[F.min(p + a).alias(p + a) for p in (L, R) for a in names])
     return one.withColumn("attr_count", F.bit_count("mask")).withColumn("place", F.row_number().over(order))

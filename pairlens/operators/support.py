@@ -171,6 +171,10 @@ def supports(rows: DataFrame, left: DataFrame, right: DataFrame, n: int = TRIANG
     return out.unionByName(balanced(found.unionByName(made), n))
 
 
+def triangle_id() -> F.Column:
+    return F.concat_ws("|", "pair_id", "side", F.col("c_id").cast("string"))
+
+
 def triangles(support: DataFrame) -> DataFrame:
     """pair_id, triangle_id, side, free_id, pivot_id, support_id: the free record is that of the support's side."""
     left = F.col("side") == "L"

@@ -47,9 +47,12 @@ class Explanation:
 
     @cached_property
     def flips(self) -> DataFrame:
+        """pair_id, triangle_id, side, mask, flip, asked; what a subset makes of a pair follows from the supports."""
         if self.strategy == "levels":
-            return written(lattice.monotone_flips(self.support, self.vary, self.matcher, keep=written))
-        return written(lattice.flips(lattice.perturbed(self.support, self.vary), self.matcher).withColumn("asked", F.lit(1)))
+            out = lattice.monotone_flips(self.support, self.vary, self.matcher, keep=written)
+        else:
+            out = lattice.flips(lattice.perturbed(self.support, self.vary), self.matcher).withColumn("asked", F.lit(1))
+        return written(out.select("pair_id", "triangle_id", "side", "mask", "flip", "asked"))
 
     @property
     def ranking(self) -> DataFrame:
@@ -69,7 +72,9 @@ class Explanation:
 
     @property
     def counterfactuals(self) -> DataFrame:
-        return lattice.counterfactuals(self.flips, self.summary)
+        best = self.flips.where("flip = 1").join(self.summary.select("pair_id", "side", "mask"), ["pair_id", "side", "mask"], "left_semi")
+        hits = self.support.withColumn("triangle_id", support.triangle_id()).join(best.select("triangle_id", "mask"), "triangle_id")
+        return lattice.counterfactuals(lattice.at_masks(hits, self.vary or self.names))
 
     @cached_property
     def token_steps(self) -> DataFrame:

@@ -4,8 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens import oracles, queries
-from pairlens.operators import search, support
+from pairlens import oracles, queries, studies
+from pairlens.operators import pairs, search, support
 from tests.test_engine import SF
 
 
@@ -52,3 +52,28 @@ def test_equal_texts_are_searched_once(spark, monkeypatch):
     assert len(got) == 4
     above = support.scored_whole(asked.where("most"), source, least=0.5).groupBy("text").agg(F.count("*").alias("n")).collect()
     assert {r["n"] for r in above} == {sum(s >= 0.5 for s in every.values())}
+
+
+@pytest.mark.parametrize("copied", [True, False])
+def test_supports_are_those_of_all_candidates(spark, repeated, copied):
+    rows, (left, right) = pairs.distinct(queries.rows_of(spark, repeated))[0], queries.sources(spark, repeated)
+    found = support.candidates(rows, left, right)
+    want = support.balanced(support.augmented(found, rows) if copied else found)
+    got = support.supports(rows, left, right, copied=copied)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_draws_need_no_flips_and_flips_no_values(spark, repeated):
+    e = queries.explained(spark, repeated)
+    drawn = queries.draws(e).select("pair_id", "feature").distinct()
+    assert "flips" not in e.distinct.__dict__
+    assert sorted(drawn.collect()) == sorted(e.saliency.select("pair_id", "feature").collect())
+    assert e.distinct.flips.columns == ["pair_id", "triangle_id", "side", "mask", "flip", "asked"]
+
+
+def test_equal_pairs_are_told_to_a_model_once(spark, repeated, monkeypatch):
+    asked = []
+    monkeypatch.setattr(studies.SelfExplainer, "explain", lambda self, rows, f=studies.SelfExplainer.explain: asked.append(rows.count()) or f(self, rows))
+    (told,) = studies.results(spark, repeated, "self")
+    assert asked[0] < told.count() / 2 and told.count() == queries.rows_of(spark, repeated).count()
