@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,11 @@ from .pairs import L, R, attributes
 
 
 class Matcher:
-    """``score`` adds the two scores to pair rows; all else follows from it.  ``counts``: what has been asked, if the matcher keeps it."""
+    """``score`` adds the two scores to pair rows; all else follows from it.  ``counts``: what has been asked, if the matcher keeps it.
+    ``asks``: whether a decision is worth keeping, as it costs more than to read it again."""
 
     counts: Counts | None = None
+    asks: ClassVar[bool] = True
 
     def score(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -52,6 +55,7 @@ def token_match(left: list[Column], right: list[Column]) -> Column:
 class SqlMatcher(Matcher):
     """A column expression: the plan holds no Python."""
 
+    asks: ClassVar[bool] = False
     rule: Callable[[list[Column], list[Column]], Column] = token_match
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ class SqlMatcher(Matcher):
         return out.withColumn("nomatch_score", 1 - F.col("match_score"))
 
     def decide(self, rows: DataFrame, left: list[Column], right: list[Column], names: list[str], out: str) -> DataFrame:
-        score = self.rule(left, right)
-        return rows.withColumn(out, F.when(score > 0.5, 1).when(score < 0.5, 0))
+        score = F.col("_score")  # named, so it is computed once
+        return rows.withColumn("_score", self.rule(left, right)).withColumn(out, F.when(score > 0.5, 1).when(score < 0.5, 0)).drop("_score")
 
 
 @dataclass

@@ -17,8 +17,8 @@ from ..written import written
 
 @dataclass
 class Explanation:
-    """Tables of all pairs, computed when asked for.  Supports and flips, which the others share and which cost a matcher's answers,
-    are written once to the shared folder."""
+    """Tables of all pairs, computed when asked for.  Supports and rankings, which the others share, are written once to the shared
+    folder, and so are flips and token steps where they cost a matcher's answers; those of a rule are made again by whoever needs them."""
 
     rows: DataFrame
     found: DataFrame
@@ -41,6 +41,11 @@ class Explanation:
     def support(self) -> DataFrame:
         return written(self.found)
 
+    @property
+    def by_pair(self) -> DataFrame:
+        """The supports dealt by pair: what is made of a pair's supports needs no further exchange."""
+        return self.support.repartition("pair_id")
+
     @property
     def triangles(self) -> DataFrame:
         return support.triangles(self.support)
@@ -51,12 +56,18 @@ class Explanation:
         if self.strategy == "levels":
             out = lattice.monotone_flips(self.support, self.vary, self.matcher, keep=written)
         else:
-            out = lattice.flips(lattice.perturbed(self.support, self.vary), self.matcher).withColumn("asked", F.lit(1))
-        return written(out.select("pair_id", "triangle_id", "side", "mask", "flip", "asked"))
+            out = lattice.flips(lattice.perturbed(self.by_pair, self.vary), self.matcher).withColumn("asked", F.lit(1))
+        out = out.select("pair_id", "triangle_id", "side", "mask", "flip", "asked")
+        return written(out) if self._kept else out
 
     @property
+    def _kept(self) -> bool:
+        """Whether flips are kept, as they cost answers or go by levels; else it is cheaper to decide again than to keep and find them."""
+        return self.matcher.asks or self.strategy == "levels"
+
+    @cached_property
     def ranking(self) -> DataFrame:
-        return lattice.ranking(self.flips)
+        return written(lattice.ranking(self.flips))
 
     @property
     def sufficiency(self) -> DataFrame:
@@ -72,13 +83,18 @@ class Explanation:
 
     @property
     def counterfactuals(self) -> DataFrame:
-        best = self.flips.where("flip = 1").join(self.summary.select("pair_id", "side", "mask"), ["pair_id", "side", "mask"], "left_semi")
+        names, best = self.vary or self.names, self.summary.select("pair_id", "side", "mask")
+        if not self._kept:
+            hits = lattice.flips(lattice.at_masks(self.by_pair.join(best, ["pair_id", "side"]), names), self.matcher)
+            return lattice.counterfactuals(hits.where("flip = 1").drop("flip"))
+        best = self.flips.where("flip = 1").join(best, ["pair_id", "side", "mask"], "left_semi")
         hits = self.support.withColumn("triangle_id", support.triangle_id()).join(best.select("triangle_id", "mask"), "triangle_id")
-        return lattice.counterfactuals(lattice.at_masks(hits, self.vary or self.names))
+        return lattice.counterfactuals(lattice.at_masks(hits, names))
 
     @cached_property
     def token_steps(self) -> DataFrame:
-        return written(token_paths.steps(token_paths.spans(self.support), self.support, self.matcher, self.features, early=self.strategy == "levels"))
+        out = token_paths.steps(self.by_pair, self.matcher, self.features, early=self.strategy == "levels")
+        return written(out) if self.matcher.asks else out
 
     @property
     def token_saliency(self) -> DataFrame:
@@ -101,7 +117,7 @@ class Explanation:
         else:
             named = self.summary.select("pair_id", F.explode(F.split(lattice.subset_name(F.col("side"), F.col("mask"), self.vary or self.names), "/")).alias("attribute"))
             chosen = named.distinct()
-        tokens = token_features(self.rows).join(chosen, ["pair_id", "attribute"]).select("pair_id", "feature").distinct()
+        tokens = written(token_features(self.rows).join(chosen, ["pair_id", "attribute"]).select("pair_id", "feature").distinct())
         out = Explanation(self.rows, self.found, self.names, self.vary, self.matcher, tokens, self.strategy)
         out.support = self.support
         return out
