@@ -48,3 +48,9 @@ def test_levels_of_a_rule_are_ended_in_one_plan(spark):
         last[pair] = min((s for s in {r["step"] for r in own} if all(r["flip"] for r in own if r["step"] == s)), default=10**9)
     want = [r for own in rows.values() for r in own if r["step"] <= last[r["pair_id"]]]
     assert sorted(map(str, ended.collect())) == sorted(map(str, want)) and len(want) < sum(map(len, rows.values()))
+
+
+@pytest.mark.parametrize("name", ["noise_f1"])
+def test_sources_are_not_sent_through_the_driver(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
