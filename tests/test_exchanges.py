@@ -5,6 +5,7 @@ import os
 import pytest
 
 from pairlens import queries
+from pairlens.operators import hybrid
 from pairlens.plans.explain import Explanation, explain
 from pairlens.written import shared_dir
 from tests.test_engine import SF
@@ -54,3 +55,12 @@ def test_levels_of_a_rule_are_ended_in_one_plan(spark):
 def test_sources_are_not_sent_through_the_driver(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_widths_are_weighed_in_a_row_for_each_pair(spark, e):
+    """A row for each subset and width, and a plan for each width, made hybrid_adaptive long."""
+    draws = queries.draws(e)
+    sets = hybrid.sets_of(e.ranking.withColumnRenamed("flips", "flip"), e.names)
+    assert sets.count() == e.ranking.select("pair_id").distinct().count()
+    plan = hybrid.adaptive_explanation(draws, sets, e.names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and "Union" not in plan.split("Scan parquet")[0]
