@@ -29,7 +29,7 @@ def post_hoc_results(e: Explanation, name: str = "certa", tokens: bool = False)
     names = [p + a for p in (L, R) for a in e.names]
     d = e.distinct
     saliency = (d.token_saliency if tokens else d.saliency).groupBy("pair_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "saliency")))).alias("saliency"))
-    cf = d.counterfactuals.where("place = 1").select("pair_id", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("string") for n in names])).alias("cf"))
+    cf = d.first_counterfactuals.select("pair_id", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("string") for n in names])).alias("cf"))
     decided = d.matcher.decide(d.rows, *sides(d.rows), "prediction").select("pair_id", "prediction")
     out = original(e.rows).join(e.told(decided.join(saliency, "pair_id", "left").join(cf, "pair_id", "left")), "pair_id")
     return out.select(F.lit(name).alias("explainer"), F.col("pair_id").alias("id"), "prediction", "label", "saliency", "cf", "original")

@@ -91,6 +91,11 @@ class Explanation:
         hits = self.support.withColumn("triangle_id", support.triangle_id()).join(best.select("triangle_id", "mask"), "triangle_id")
         return lattice.counterfactuals(lattice.at_masks(hits, names))
 
+    @cached_property
+    def first_counterfactuals(self) -> DataFrame:
+        """pair_id and the values of each pair's first counterfactual, written once."""
+        return written(self.counterfactuals.where("place = 1").select("pair_id", *sides_of(self)))
+
     @cached_property
     def token_steps(self) -> DataFrame:
         out = token_paths.steps(self.by_pair, self.matcher, self.features, early=self.strategy == "levels")

@@ -6,6 +6,7 @@ import pytest
 
 from pairlens import queries
 from pairlens.operators import hybrid
+from pairlens.plans import experiment
 from pairlens.plans.explain import Explanation, explain
 from pairlens.written import shared_dir
 from tests.test_engine import SF
@@ -64,3 +65,13 @@ def test_widths_are_weighed_in_a_row_for_each_pair(spark, e):
     assert sets.count() == e.ranking.select("pair_id").distinct().count()
     plan = hybrid.adaptive_explanation(draws, sets, e.names)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4 and "Union" not in plan.split("Scan parquet")[0]
+
+
+def test_first_counterfactuals_are_found_once(spark, e):
+    experiment.post_hoc_results(e)
+    before = tables(spark)
+    token = experiment.post_hoc_results(e, "certa_token", tokens=True)
+    assert tables(spark) == before
+    want = {r["pair_id"]: tuple(r[f] for f in queries.FEATURES) for r in e.counterfactuals.where("place = 1").collect()}
+    got = {r["id"]: tuple(r["cf"][f] for f in queries.FEATURES) for r in token.where("cf is not null").collect()}
+    assert got == want and exchanges(token) < 10
