@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairlens import queries
-from pairlens.operators import hybrid
+from pairlens.operators import calls, hybrid
 from pairlens.plans import experiment
 from pairlens.plans.explain import Explanation, explain
 from pairlens.written import shared_dir
@@ -75,3 +76,12 @@ def test_first_counterfactuals_are_found_once(spark, e):
     want = {r["pair_id"]: tuple(r[f] for f in queries.FEATURES) for r in e.counterfactuals.where("place = 1").collect()}
     got = {r["id"]: tuple(r["cf"][f] for f in queries.FEATURES) for r in token.where("cf is not null").collect()}
     assert got == want and exchanges(token) < 10
+
+
+def test_answers_are_not_sent_through_the_driver(spark):
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("q"))
+    few = rows.select("q", F.lit(1).cast("long").alias("n"))
+    out = calls.spread(rows, few, "q", "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1 and "SortMergeJoin" in plan  # hot questions may be broadcast
+    assert out.count() == 1000
