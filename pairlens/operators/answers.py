@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..sources import prompts
-from ..written import written
 from .calls import AnswerStore, Caller, Counts
 from .matchers import Matcher
 from .pairs import L, R, attributes, tuple_of
@@ -29,7 +28,7 @@ def ask(df: DataFrame, conversation: str, out: str, answer: Answer, store: Answe
     def call(pdf: pd.DataFrame) -> pd.Series:
         return answer(pdf["_asked"]).astype(str)
 
-    asked = written(df.withColumn("_asked", F.to_json(conversation)))  # turns build on each other: what went before is computed once
+    asked = df.withColumn("_asked", F.to_json(conversation))
     told = Caller(call, store, counts=Counts() if counts is None else counts)(asked, ["_asked"])
     return told.withColumn(out, F.coalesce("_answer", F.lit(""))).drop("_asked", "_answer", "_status")
 

@@ -31,11 +31,11 @@ class Matcher:
         one half, 0 below it, and null at one half, as of a failure.  Equal pairs of records are asked once."""
         sides = {L + n: c.cast("string") for n, c in zip(names, left, strict=True)} | {R + n: c.cast("string") for n, c in zip(names, right, strict=True)}
         keyed = rows.withColumn("_ask", key(*sides.values()))
-        asked = written(keyed.groupBy("_ask").agg(*[F.first(v).alias(c) for c, v in sides.items()], F.count("*").alias("_n")))
+        asked = keyed.groupBy("_ask").agg(*[F.first(v).alias(c) for c, v in sides.items()], F.count("*").alias("_n"))
         decided = F.when(F.col("match_score") > 0.5, 1).when(F.col("match_score") < 0.5, 0)
         answers = written(self.score(asked).select("_ask", "_n", decided.alias(out)))
         if self.counts is not None:  # score has counted the distinct ones
-            self.counts.rows += asked.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
+            self.counts.rows += answers.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
         return spread(keyed, answers, "_ask", "_n").drop("_ask")
 
 
