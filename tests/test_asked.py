@@ -1,11 +1,13 @@
 """What asking costs: how often rows are put to a function, and what their tables send through the shuffle."""
 
+import json
 import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pairlens.operators import calls, matchers
+from pairlens import studies
+from pairlens.operators import answers, calls, matchers
 from pairlens.operators.calls import Caller, Counts
 
 
@@ -90,3 +92,49 @@ def test_odd_rows_are_asked_as_they_are(spark):
     assert caller.counts == Counts(8, 5, 0, 1)
     none = Caller(call, wait=0)
     assert none(rows.where("id > 9"), ["a.b", "n"]).count() == 0 and none.counts == Counts()
+
+
+PAIR = "pair_id string, label int, ltable_id long, ltable_name string, ltable_size string, rtable_id long, rtable_name string, rtable_size string"
+ODD = [("a", 1, 1, "red bolt", "7", 2, "red bolt", "7"), ("a", 1, 1, "red bolt", "7", 2, "red bolt", "7"), ("b", 0, 3, "red bolt", "7", 4, "red bolt", "7"), ("c", 0, 5, None, "1", 6, "", None), (None, None, None, None, None, None, "nan", "x y z"), ("d", 0, 7, "", None, 8, "{rtuple}", "a b")]
+
+
+def test_turns_lead_equal_conversations_once_and_join_them_once(spark):
+    rows = spark.createDataFrame(ODD, PAIR)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(asked):
+        seen.add(len(asked))
+        return studies.offline(asked)
+
+    model = answers.SelfExplainer(counted)
+    out = model.explain_turns(rows)
+    assert exchanges(out) == 2  # one for the rows, one for the conversations
+    assert out.columns == [*rows.columns, "conversation", "prediction", "why", "saliency", "cf", "tokens"]
+    got = out.collect()
+    assert sorted(str(r[:8]) for r in got) == sorted(map(str, ODD))
+    again = sum(len(r["conversation"]) == 13 for r in got)
+    assert model.counts.rows == 4 * len(ODD) + again and model.counts.distinct == seen.value < model.counts.rows
+    for r in got:
+        asked = [{"role": m["role"], "content": m["content"]} for m in r["conversation"]]
+        for i, m in enumerate(asked):
+            if i > 3 and m["role"] == "assistant":
+                assert m["content"] == studies.offline(pd.Series([json.dumps(asked[:i])])).iloc[0]
+        told = json.loads(asked[-3]["content"])
+        assert r["saliency"] == {k: v["saliency"] for k, v in told.items()} and r["why"] == "They share words."
+        assert r["tokens"] == sum(len(m["content"].split(" ")) for m in asked)
+    assert [m["content"] for m in got[0]["conversation"]][-2].startswith("Give both records") and model.explain_turns(rows.where("label > 9")).count() == 0
+
+
+def test_what_rows_hold_already_is_replaced_where_it_stands(spark):
+    rows = spark.createDataFrame(ODD, PAIR).select(F.lit("old").alias("conversation"), "*", F.lit(7).alias("prediction"))
+    out = answers.SelfExplainer(studies.offline).predict(rows)
+    assert out.columns == [*rows.columns, "tokens"]
+    assert {r["prediction"] for r in out.collect()} <= {0, 1} and {len(r["conversation"]) for r in out.collect()} <= {5, 7}
+
+
+def test_turns_share_a_store(spark, tmp_path):
+    rows, store = spark.createDataFrame(ODD, PAIR), calls.AnswerStore(str(tmp_path / "said"))
+    first, second = (answers.SelfExplainer(f, store=store) for f in (studies.offline, lambda asked: asked.map(lambda c: "no")))
+    shown = lambda out: sorted(str(r.asDict(recursive=True)) for r in out.collect())
+    assert shown(first.explain_turns(rows)) == shown(second.explain_turns(rows))
+    assert second.counts.known == second.counts.distinct == first.counts.distinct and second.counts.rows == first.counts.rows
