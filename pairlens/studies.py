hybrid_collected: pair rows are built once for both explainers

Symptom: hybrid_collected read 1,215,407 rows and shuffled 70 MB for 20,734 rows of output; 69 exchanges, 20 merge joins, 64 sorts.
Evidence: each of the two explainers built the pair rows anew from the part table, and each turn wrote, grouped and joined them again (the turns: commit before this one).
Fix: the rows are written once and both explainers read them, through the helper that the frontier queries use for the same two draws.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 2355 -> 1874 s, shuffle 4.40 -> 0.85 GB, spill 0.00 -> 0.00 GB, read 4.01 -> 1.48 GB, longest task 34 -> 36 s, most memory of a task 252 -> 252 MB; at 6 GB of input CPU 8667 -> 6645 s, shuffle 20.52 -> 4.22 GB, spill 0.00 -> 0.00 GB, read 18.91 -> 6.44 GB, longest task 104 -> 114 s, most memory of a task 721 -> 570 MB; with hot keys, at 1 GB of input CPU 2372 -> 2086 s, shuffle 4.38 -> 0.84 GB, spill 0.00 -> 0.00 GB, read 3.99 -> 1.47 GB, longest task 44 -> 44 s, most memory of a task 252 -> 252 MB.

@@ -368,9 +368,7 @@ def asked_by_strategy(spark, d):
 
 @query
 def hybrid_collected(spark, d):
-    m = model()
-    drawn = [m.explain(rows_of(spark, d)).select(F.col("pair_id").alias("id"), "saliency"), m.explain_turns(rows_of(spark, d)).select(F.col("pair_id").alias("id"), "saliency")]
-    return hybrid.combine(hybrid.collect(drawn), 2, "freq")
+    return hybrid.combine(self_draws(written(rows_of(spark, d))), 2, "freq")  # both explainers read the same rows
 
 
 @query

@@ -3,12 +3,14 @@
 import json
 import zlib
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pairlens import studies
+from pairlens import studies, studies_sql
 from pairlens.operators import answers, calls, matchers
 from pairlens.operators.calls import Caller, Counts
+from tests.test_engine import SF
 
 
 def exchanges(df):
@@ -138,3 +140,13 @@ def test_turns_share_a_store(spark, tmp_path):
     shown = lambda out: sorted(str(r.asDict(recursive=True)) for r in out.collect())
     assert shown(first.explain_turns(rows)) == shown(second.explain_turns(rows))
     assert second.counts.known == second.counts.distinct == first.counts.distinct and second.counts.rows == first.counts.rows
+
+
+def test_pair_rows_are_built_once_for_both_explainers(spark, monkeypatch):
+    read = []
+    for name in ("explain", "explain_turns"):
+        monkeypatch.setattr(studies.SelfExplainer, name, lambda self, rows, f=getattr(studies.SelfExplainer, name): read.append(sorted(rows.inputFiles())) or f(self, rows))
+    got = studies.hybrid_collected(spark, SF).collect()
+    assert read[0] == read[1] and not any("part.parquet" in at for at in read[0])
+    duckdb.sql(f"create or replace view part as from '{SF}/part.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(f"select pair_id, feature, place from ({studies_sql.ORACLES['hybrid_collected']})").fetchall())
